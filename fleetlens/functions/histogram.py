@@ -80,6 +80,9 @@ def statistics(hist: DataFrame, extremes: DataFrame, keys: list[str]) -> DataFra
     95th percentile is the value of the highest bucket past the top 5 %, the
     median the value of the first bucket, from above, leaving at most half.
     """
+    if not keys:
+        one = {"_all": F.lit(0)}
+        return statistics(hist.withColumns(one), extremes.withColumns(one), ["_all"]).drop("_all")
     down = Window.partitionBy(*keys).orderBy(F.col("bucket").desc())
     whole = Window.partitionBy(*keys)
     b = (
@@ -104,7 +107,7 @@ def statistics(hist: DataFrame, extremes: DataFrame, keys: list[str]) -> DataFra
         (F.sum(F.col("n") * F.col("value")) / F.max("total")).alias("mean"),
         (F.sum(F.col("n") * F.col("value") * F.col("value")) / F.max("total")).alias("square"),
     )
-    joined = extremes.join(per_key, keys, "left") if keys else extremes.crossJoin(per_key)
+    joined = extremes.join(per_key, keys, "left")
     cnt, lo, hi = F.col("cnt"), F.col("min"), F.col("max")
     flat = (cnt == 1) | (hi == lo)
     pair = cnt == 2

@@ -74,12 +74,21 @@ def clean_query(sql) -> Column:
     return F.regexp_replace(sql, r"\s{2,}", " ")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fingerprint(sql) -> Column:
-    """The class key of a statement: literals, lists and spacing abstracted away."""
+    """The class key of a statement: literals, lists and spacing abstracted away.
+
+    One chain of rewrites: each step reads the one before once, so the text is
+    passed over a fixed number of times.
+    """
     sql = _c(sql)
-    one_row = F.regexp_extract(sql, MULTI_ROW_INSERT, 1)
-    body = strip_comments(F.when(one_row != "", one_row).otherwise(sql))
-    q = strip_quoted(body)
+    q = F.regexp_replace(sql, MULTI_ROW_INSERT + r".*\z", "$1")
+    q = F.regexp_replace(strip_comments(q), USE_DB, "use ?")
+    q = strip_quoted(q)
     q = F.regexp_replace(q, NUMBER_LIKE, "?")
     q = F.regexp_replace(q, NUMBER_LEFTOVER, "?")
     q = F.regexp_replace(q, r"\A\s+", "")
@@ -87,17 +96,13 @@ def fingerprint(sql) -> Column:
     q = F.lower(F.regexp_replace(q, r"[ \n\t\r\f]+", " "))
     q = F.regexp_replace(q, r"\bnull\b", "?")
     q = F.regexp_replace(q, VALUE_LIST, "$1(?+)")
-    # The back-reference search is quadratic, so only statements with a UNION pay.
-    q = F.when(
-        q.contains(" union"), F.regexp_replace(q, REPEATED_UNION, "$1 /*repeat$2*/")
-    ).otherwise(q)
-    q = F.when(q.contains("limit ?"), F.regexp_replace(q, LIMIT_CLAUSE, "$1limit ?")).otherwise(q)
+    q = F.regexp_replace(q, REPEATED_UNION, "$1 /*repeat$2*/")
+    q = F.regexp_replace(q, LIMIT_CLAUSE, "$1limit ?")
     return (
         F.when(sql.startswith(DUMP_PREFIX), F.lit("mysqldump"))
         .when(sql.rlike(CHECKSUM_MARK), F.lit("maatkit"))
         .when(sql.startswith(ADMIN_PREFIX), sql)
         .when(sql.rlike(CALL), F.lower(F.regexp_extract(sql, CALL, 1)))
-        .when(body.rlike(USE_DB), F.regexp_replace(body, USE_DB, "use ?"))
         .otherwise(q)
     )
 
@@ -138,7 +143,7 @@ def abstract_stmt(sql) -> Column:
         ).otherwise(F.concat(F.lit(" IN (S"), s.cast("string"), F.lit(")")))
 
     in_list = r"(?i) in\s*\((?![ns]\d+).+?\)"
-    return F.when(q.rlike(in_list), _rewrite_matches(q, in_list, counted)).otherwise(q)
+    return _let(q, lambda x: F.when(x.rlike(in_list), _rewrite_matches(x, in_list, counted)).otherwise(x))
 
 
 def shorten(sql, max_length: int) -> Column:
@@ -159,22 +164,26 @@ def shorten(sql, max_length: int) -> Column:
             F.size(items) > IN_LIST_KEEP, F.concat(opening, kept, note)
         ).otherwise(match)
 
-    wanted = (F.length(q) > max_length) & q.rlike(r"(?i)IN\s*\(\s*(?!select)")
     if max_length <= 0:
         return q
-    return F.when(
-        wanted, _rewrite_matches(q, r"(?i)\bIN\s*\([^)]+(?=\))", cut)
-    ).otherwise(q)
+
+    def long_lists(x: Column) -> Column:
+        wanted = (F.length(x) > max_length) & x.rlike(r"(?i)IN\s*\(\s*(?!select)")
+        return F.when(wanted, _rewrite_matches(x, r"(?i)\bIN\s*\([^)]+(?=\))", cut)).otherwise(x)
+
+    return _let(q, long_lists)
 
 
 def _drop_adjacent(words: Column) -> Column:
     """Collapse runs of equal neighbours in an array of strings."""
-    before = F.concat(F.array(F.lit(None).cast("string")), words)
-    pairs = F.filter(
-        F.arrays_zip(words.alias("w"), before.alias("p")),
-        lambda z: z["w"].isNotNull() & ~z["w"].eqNullSafe(z["p"]),
-    )
-    return F.transform(pairs, lambda z: z["w"])
+
+    def new_ones(w: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), w)
+        pairs = F.arrays_zip(w.alias("w"), before.alias("p"))
+        kept = F.filter(pairs, lambda z: z["w"].isNotNull() & ~z["w"].eqNullSafe(z["p"]))
+        return F.transform(kept, lambda z: z["w"])
+
+    return _let(words, new_ones)
 
 
 def _ddl_verb(sql: Column) -> Column:
@@ -262,7 +271,7 @@ def distill_tables(sql) -> Column:
 
 def distill(sql) -> Column:
     """Short form of a statement: its verbs, then its tables."""
-    return F.concat_ws(" ", distill_verbs(sql), F.array_join(distill_tables(sql), " "))
+    return F.array_join(F.concat(F.array(distill_verbs(sql)), distill_tables(sql)), " ")
 
 
 def distill_generic(request, trim_url: bool = False) -> Column:

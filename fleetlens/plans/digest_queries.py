@@ -302,16 +302,14 @@ r AS (SELECT *, coalesce(sum(sum) OVER (ORDER BY sum DESC, user_id ROWS BETWEEN
   row_number() OVER (ORDER BY sum DESC, user_id) AS rn FROM k)
 SELECT user_id, cnt, sum, round(pct_95, 6) AS pct_95,
   CASE WHEN before < 0.95 * (SELECT sum(sum) FROM k) AND rn <= 20 THEN 'top' ELSE 'outlier' END AS reason
-FROM r WHERE (before < 0.95 * (SELECT sum(sum) FROM k) AND rn <= 20) OR (cnt >= 10 AND pct_95 >= 40)""")
+FROM r WHERE (before < 0.95 * (SELECT sum(sum) FROM k) AND rn <= 20) OR (cnt >= 10 AND pct_95 >= 55)""")
 def top_classes(t: Tables):
     classes = _user_classes(t).select("user_id", "cnt", "sum", "pct_95")
-    total = classes.agg((F.sum("sum") * 0.95).alias("_limit"))
-    # One scalar row beside each class row.
-    with_limit = classes.join(F.broadcast(total))
+    limit = classes.agg(F.sum("sum") * 0.95).scalar()
     chosen = dg.top_classes(
-        with_limit, "sum", "user_id", count_limit=20, pct_of=F.col("_limit"),
-        outlier=dg.outlier_test("cnt", "pct_95", 10, 40.0),
-    ).drop("_limit")
+        classes, "sum", "user_id", count_limit=20, pct_of=limit,
+        outlier=dg.outlier_test("cnt", "pct_95", 10, 55.0),
+    )
     return rounded(chosen, 6, "pct_95")
 
 
@@ -321,8 +319,8 @@ r AS (SELECT *, coalesce(sum(sum) OVER (ORDER BY sum DESC, user_id ROWS BETWEEN
 SELECT user_id, cnt, sum, 'top' AS reason FROM r WHERE before < 0.5 * (SELECT sum(sum) FROM k)""")
 def top_classes_by_share(t: Tables):
     classes = rounded(dg.digest(t.events, ["user_id"], numeric=["value"]).select("user_id", "cnt", "sum"), 4, "sum")
-    total = classes.agg((F.sum("sum") * 0.5).alias("_limit"))
-    return dg.top_classes(classes.join(F.broadcast(total)), "sum", "user_id", pct_of=F.col("_limit")).drop("_limit")
+    limit = classes.agg(F.sum("sum") * 0.5).scalar()
+    return dg.top_classes(classes, "sum", "user_id", pct_of=limit)
 
 
 @query("response_profile", """
