@@ -22,8 +22,8 @@ def assign_partition(rows: DataFrame, partitions: DataFrame, value: str, bound:
     """
     listed = F.sort_array(F.collect_list(F.struct(F.col(bound).isNull().alias("open"), F.col(bound).alias("b"), F.col(name).alias("n"))))
     bounds = partitions.agg(listed).scalar()
-    fits = F.filter(bounds, lambda p: p["open"] | (F.col(value) < p["b"]))
-    return rows.withColumn("partition", F.get(fits, F.lit(0))["n"])
+    fits = F.filter("_bounds", lambda p: p["open"] | (F.col(value) < p["b"]))
+    return rows.withColumn("_bounds", bounds).withColumn("partition", F.get(fits, F.lit(0))["n"]).drop("_bounds")
 
 
 def plan_partitions(partitions: DataFrame, end: str, interval: str, prefix: str = "p", limit: int | None = None,

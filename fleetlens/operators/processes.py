@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,20 +77,24 @@ def state_counts(df: DataFrame, keys: list[str], known=KNOWN_STATES) -> DataFram
     )
 
 
-def _split_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Statement heads within one unbroken run: each row is held against its head."""
-    pdf = pdf.sort_values("ts")
-    now, time, etime = pdf["now"].to_numpy(), pdf["time"].to_numpy(), pdf["etime"].to_numpy()
-    head, heads = 0, []
-    for i in range(len(pdf)):
-        if i:
-            fudge = 0.001 if time[i] != int(time[i]) else 1.0
-            start = int(now[head] - time[head])
-            drift = now[i] - time[i] - start - etime[head] - etime[i]
-            if time[i] < time[head] or drift > fudge:
-                head = i
-        heads.append(pdf["ts"].iloc[head])
-    return pdf.assign(head=heads)[["server", "id", "ts", "head"]]
+def _restarted(row: Column, head: Column) -> Column:
+    """Whether a row shows the statement of its head begun anew: time went back or the start drifted."""
+    fudge = F.when(row["time"] == F.floor(row["time"]), F.lit(1.0)).otherwise(F.lit(0.001))
+    drift = row["now"] - row["time"] - F.floor(head["now"] - head["time"]) - head["etime"] - row["etime"]
+    return (row["time"] < head["time"]) | (drift > fudge)
+
+
+def _follow(rows: Column, empty: Column) -> Column:
+    """Heads of a piece row by row: (head row, end of its last row, number of rows)."""
+
+    def step(heads: Column, row: Column) -> Column:
+        fresh = F.array(F.struct(row.alias("r"), row["tick_after"].alias("ended"), F.lit(1).cast("long").alias("n")))
+        last = F.element_at(heads, -1)
+        longer = F.array(F.struct(last["r"].alias("r"), row["tick_after"].alias("ended"), (last["n"] + 1).alias("n")))
+        kept = F.concat(F.slice(heads, 1, F.size(heads) - 1), longer)
+        return F.when(F.size(heads) == 0, fresh).when(_restarted(row, last["r"]), F.concat(heads, fresh)).otherwise(kept)
+
+    return F.aggregate(rows, empty, step)
 
 
 def sessions(samples: DataFrame, block_seconds: int = 86400) -> DataFrame:
@@ -125,18 +128,27 @@ def sessions(samples: DataFrame, block_seconds: int = 86400) -> DataFrame:
     live = live.withColumn("_sure", F.when(F.coalesce(sure, F.lit(False)), 1).otherwise(0))
     upto = Window.partitionBy("server", "id", "_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     live = live.withColumn("_piece", F.sum("_sure").over(upto))
-    types = dict(samples.dtypes)
-    schema = f"server {types['server']}, id {types['id']}, ts {types['ts']}, head {types['ts']}"
-    heads = live.select("server", "id", "ts", "now", F.col("time").cast("double"), F.col("etime").cast("double"), "_run", "_piece")
-    heads = heads.groupBy("server", "id", "_run", "_piece").applyInPandas(_split_runs, schema)
-    last = heads.join(live.select("server", "id", "ts", "tick_after"), ["server", "id", "ts"]).groupBy("server", "id", "head").agg(
-        F.max_by("tick_after", "ts").alias("ended"), F.count(F.lit(1)).alias("samples")
+    fields = [c for c in ("user", "host", "db") if c in samples.columns]
+    row = F.struct(
+        "ts", "now", F.col("time").cast("double").alias("time"), F.col("etime").cast("double").alias("etime"), "tick_after", "info", *fields
+    )
+    piece = Window.partitionBy("server", "id", "_run", "_piece")
+    live = live.select("server", "id", "_run", "_piece", row.alias("r"))
+    head = F.first("r").over(piece.orderBy("r.ts").rowsBetween(Window.unboundedPreceding, 0))
+    live = live.withColumn("_off", _restarted(F.col("r"), head))
+    live = live.withColumn("_dirty", F.max("_off").over(piece))
+    # Nearly every piece is one statement; only the rows of the others are gathered.
+    per = live.groupBy("server", "id", "_run", "_piece").agg(
+        F.struct(F.min_by("r", "r.ts").alias("r"), F.max_by("r.tick_after", "r.ts").alias("ended"), F.count(F.lit(1)).alias("n")).alias("_whole"),
+        F.array_sort(F.collect_list(F.when(F.col("_dirty"), F.col("r")))).alias("_rows"),
     )
-    done = last.filter("ended is not null").withColumnRenamed("head", "ts").join(live, ["server", "id", "ts"])
-    seen = F.unix_micros(F.col("ended").cast("timestamp")) / F.lit(1e6) - F.col("now")
-    begun = F.floor(F.col("now") - F.col("time"))
+    whole = F.array("_whole")
+    heads = F.when(F.size("_rows") == 0, whole).otherwise(_follow(F.col("_rows"), F.slice(whole, 1, 0)))
+    done = per.select(*keys, F.inline(heads)).filter("ended is not null")
+    r = F.col("r")
+    seen = F.unix_micros(F.col("ended").cast("timestamp")) / F.lit(1e6) - r["now"]
     return done.select(
-        *keys, *[c for c in ("user", "host", "db") if c in samples.columns], F.col("info").alias("arg"),
-        F.length("info").alias("bytes"), F.timestamp_seconds(begun + F.col("time")).alias("end_ts"),
-        F.greatest(F.col("time").cast("double"), seen).alias("Query_time"), F.col("ts").alias("first_seen"), "samples",
+        *keys, *[r[c].alias(c) for c in fields], r["info"].alias("arg"), F.length(r["info"]).alias("bytes"),
+        F.timestamp_seconds(F.floor(r["now"] - r["time"]) + r["time"]).alias("end_ts"),
+        F.greatest(r["time"], seen).alias("Query_time"), r["ts"].alias("first_seen"), F.col("n").alias("samples"),
     )
