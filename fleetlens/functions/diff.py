@@ -1,0 +1,21 @@
+"""Unified differences of text versions."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+
+@F.pandas_udf("string")
+def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Difference with three lines of context; NULL counts as empty, equal texts give ''."""
+
+    def one(a, b):
+        a, b = (a or ""), (b or "")
+        if a == b:
+            return ""
+        return "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), "old", "new", lineterm="", n=3))
+
+    return pd.Series([one(a, b) for a, b in zip(old, new)])

@@ -138,10 +138,10 @@ def merge_sources(t: Tables):
 
 
 @query("without_foreign_keys", """
-SELECT c_mktsegment AS database_name, c_name AS table_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT o_orderkey % 100 FROM orders)""")
+SELECT c_mktsegment AS database_name, c_name AS table_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000) AND c_custkey NOT IN (SELECT o_orderkey % 100 FROM orders WHERE o_totalprice > 350000)""")
 def without_foreign_keys(t: Tables):
     named = t.customer.select("c_custkey", F.col("c_mktsegment").alias("database_name"), F.col("c_name").alias("table_name"))
-    child = t.orders.join(named, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "database_name", "table_name")
+    child = t.orders.filter("o_totalprice > 350000").join(named, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "database_name", "table_name")
     parent = named.select(F.col("c_custkey").alias("ref"), F.col("database_name").alias("referenced_database_name"), F.col("table_name").alias("referenced_table_name"))
     fks = child.join(parent, F.col("o_orderkey") % 100 == F.col("ref"))
     return lc.without_foreign_keys(named, fks).select("database_name", "table_name")
