@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text
@@ -48,22 +48,34 @@ def parse_slow_log(records: DataFrame, embed: str | None = None, capture: str |
     those embedded in the statement, are in ``attrs``.
     """
     bare = F.regexp_replace("value", FILE_HEADER, "")
-    # Dropping a server header can join two records; they are cut again.
-    parts = records.select("file", "pos", F.octet_length("value").alias("_size"), F.posexplode(F.split(bare, RECORD_SEPARATOR, -1)).alias("part", "_t"))
+    # Dropping a server header can join two records, so they are cut again; each
+    # part knows its own start and end in the file.
+    cut = F.split(bare, RECORD_SEPARATOR, -1)
+    x = records.select("file", "pos", F.octet_length("value").alias("_size"), F.size(cut).alias("_parts"), F.posexplode(cut).alias("part", "_t"))
+    many = F.col("_parts") > 1
+    if_many = Window.partitionBy("file", "pos").orderBy("part")
+    before = F.sum(F.octet_length("_t") + len(RECORD_SEPARATOR)).over(if_many.rowsBetween(Window.unboundedPreceding, -1))
+    single = x.filter(~many).withColumn("_start", F.col("pos"))
+    several = x.filter(many).withColumn("_start", F.col("pos") + F.coalesce(before, F.lit(0)))
+    x = single.unionByName(several)
+    last = F.col("part") == F.col("_parts") - 1
+    x = x.withColumn("_end", len(RECORD_SEPARATOR) + F.when(last, F.col("pos") + F.col("_size")).otherwise(F.col("_start") + F.octet_length("_t")))
     fixed = F.regexp_replace(F.when(F.col("_t").startswith("#"), F.col("_t")).otherwise(F.concat(F.lit("#"), "_t")), r";\n?#?\z", "")
-    x = parts.withColumn("_text", fixed).filter(F.regexp_replace("_text", r"[#\s]", "") != "")
+    x = x.withColumn("_text", fixed).filter(F.regexp_replace("_text", r"[#\s]", "") != "")
     header = F.regexp_extract("_text", ENTRY_HEADER, 1)
     x = x.withColumn("_head", header).withColumn("_arg", F.substr(F.col("_text"), F.length("_head") + 1))
-    # A header alone goes with the administrator command of the record after it.
+    # A header alone goes with the administrator command of the record after it:
+    # the few such halves meet at the byte where one ends and the other starts.
     lone = F.col("_text").rlike(r"\A# administrator command:[^\n]*\z")
     bodiless = (F.col("_arg") == "") & ~F.col("_head").rlike(ADMIN_LINE)
-    tails = x.filter(lone).select("file", F.col("pos").alias("_end"), F.col("_text").alias("_tail"))
-    heads = x.filter(bodiless).withColumn("_end", F.col("pos") + F.col("_size") + len(RECORD_SEPARATOR))
-    joined = heads.join(tails, ["file", "_end"], "inner")
-    used = joined.select("file", F.col("_end").alias("pos"))
-    whole = x.filter(~lone & ~bodiless).withColumn("_tail", F.lit(None).cast("string"))
-    alone = x.filter(lone).join(used, ["file", "pos"], "left_anti").withColumn("_tail", F.lit(None).cast("string"))
-    x = whole.unionByName(alone).unionByName(joined.drop("_end"))
+    none = F.lit(None).cast("string")
+    whole = x.filter(~lone & ~bodiless).select("file", "pos", "part", "_head", "_arg", none.alias("_tail"))
+    halves = x.filter(lone | bodiless).groupBy("file", F.when(lone, F.col("_start")).otherwise(F.col("_end")).alias("_at")).agg(
+        F.coalesce(F.max(F.when(bodiless, F.col("pos"))), F.max("pos")).alias("pos"), F.min("part").alias("part"),
+        F.coalesce(F.max(F.when(bodiless, F.col("_head"))), F.max("_head")).alias("_head"), F.lit("").alias("_arg"),
+        F.max(F.when(lone, F.col("_text"))).alias("_tail"),
+    ).filter("_tail is not null").drop("_at")
+    x = whole.unionByName(halves)
 
     head = F.col("_head")
     admin = F.coalesce(F.col("_tail"), present(F.regexp_extract(head, ADMIN_LINE, 1)))
