@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text
@@ -51,17 +51,15 @@ def parse_slow_log(records: DataFrame, embed: str | None = None, capture: str |
     # Dropping a server header can join two records, so they are cut again; each
     # part knows its own start and end in the file.
     cut = F.split(bare, RECORD_SEPARATOR, -1)
-    x = records.select("file", "pos", F.octet_length("value").alias("_size"), F.size(cut).alias("_parts"), F.posexplode(cut).alias("part", "_t"))
-    many = F.col("_parts") > 1
-    if_many = Window.partitionBy("file", "pos").orderBy("part")
-    before = F.sum(F.octet_length("_t") + len(RECORD_SEPARATOR)).over(if_many.rowsBetween(Window.unboundedPreceding, -1))
-    single = x.filter(~many).withColumn("_start", F.col("pos"))
-    several = x.filter(many).withColumn("_start", F.col("pos") + F.coalesce(before, F.lit(0)))
-    x = single.unionByName(several)
-    last = F.col("part") == F.col("_parts") - 1
-    x = x.withColumn("_end", len(RECORD_SEPARATOR) + F.when(last, F.col("pos") + F.col("_size")).otherwise(F.col("_start") + F.octet_length("_t")))
+    x = records.select("file", "pos", F.octet_length("value").alias("_size"), cut.alias("_cut"))
+    x = x.select("file", "pos", "_size", F.when(F.size("_cut") > 1, F.col("_cut")).alias("_all"), F.posexplode_outer("_cut").alias("part", "_t"))
+    before = F.octet_length(F.array_join(F.slice("_all", 1, F.col("part")), RECORD_SEPARATOR)) + len(RECORD_SEPARATOR)
+    x = x.withColumn("_start", F.col("pos") + F.when(F.col("part") > 0, before).otherwise(0))
+    inner = F.col("part") < F.size("_all") - 1
+    end = F.when(inner, F.col("_start") + F.octet_length("_t")).otherwise(F.col("pos") + F.col("_size"))
+    x = x.withColumn("_end", end + len(RECORD_SEPARATOR))
     fixed = F.regexp_replace(F.when(F.col("_t").startswith("#"), F.col("_t")).otherwise(F.concat(F.lit("#"), "_t")), r";\n?#?\z", "")
-    x = x.withColumn("_text", fixed).filter(F.regexp_replace("_text", r"[#\s]", "") != "")
+    x = x.filter(F.col("_t").rlike(r"[^#;\s]")).withColumn("_text", fixed)
     header = F.regexp_extract("_text", ENTRY_HEADER, 1)
     x = x.withColumn("_head", header).withColumn("_arg", F.substr(F.col("_text"), F.length("_head") + 1))
     # A header alone goes with the administrator command of the record after it:
@@ -96,8 +94,10 @@ def parse_slow_log(records: DataFrame, embed: str | None = None, capture: str |
         F.when(head.rlike(USER_LINE), F.regexp_extract(head, USER_LINE, 3)).alias("ip"),
         present(F.regexp_extract(head, r"(?m)^use ([^;\n]+)", 1)).alias("db"), arg.alias("arg"),
         F.octet_length(arg).alias("bytes"), attrs.alias("attrs"),
+        # Straight from the header: a query that needs no other attribute never builds the map.
+        *[F.regexp_extract(head, rf"(?m)^# (?:.*?\s)??{c}:\s+(\S+)", 1).try_cast("double").alias(c) for c in SLOW_LOG_COLUMNS],
     )
-    return out.withColumns({c: F.col("attrs")[c].try_cast("double") for c in SLOW_LOG_COLUMNS})
+    return out
 
 
 def slow_log_text(events: DataFrame) -> Column:
