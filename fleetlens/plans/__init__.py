@@ -13,6 +13,7 @@ def load_all() -> dict:
         lifecycle_queries,
         report_queries,
         source_queries,
+        stream_queries,
         text_queries,
     )
 
