@@ -108,7 +108,7 @@ def slow_log_text(events: DataFrame) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in have else F.lit(default)
 
     def number(name: str, fmt: str, cast: str) -> Column:
-        return F.format_string(fmt, get(name).cast(cast))
+        return F.format_string(fmt, get(name).cast("double").cast(cast))
 
     lines = []
     if "ts" in have:
@@ -194,10 +194,15 @@ def read_binlog_text(spark: SparkSession, path, block: int = 64 << 20) -> DataFr
 
 def parse_binlog_text(records: DataFrame, block: int = 64 << 20) -> DataFrame:
     """Events of a decoded binary log. The active DELIMITER is carried from record to record."""
-    given = F.regexp_extract_all("value", F.lit(r"(?m)^DELIMITER[^\S\n]*(\S*)$"), F.lit(1))
-    last = F.when(F.size(given) > 0, F.element_at(given, -1))
-    x = ordered.carry_last(records, {"_delim": last}, ["pos"], ordered.id_block("pos", block), ["file"])
-    mark = F.coalesce(present(F.regexp_replace("_delim", r";\z", "")), F.lit("\u0000"))
+    def delimiter(text) -> Column:
+        given = F.regexp_extract_all(text, F.lit(r"(?m)^DELIMITER[^\S\n]*(\S*)$"), F.lit(1))
+        return F.when(F.size(given) > 0, F.regexp_replace(F.element_at(given, -1), r";\z", ""))
+
+    # In force is what the record sets before its statement, else what came before it.
+    x = ordered.carry_last(
+        records, {"_delim": delimiter("value")}, ["pos"], ordered.id_block("pos", block), ["file"], include_current=False)
+    own = delimiter(F.regexp_extract("value", BINLOG_PREAMBLE, 1))
+    mark = F.coalesce(present(F.coalesce(own, F.col("_delim"))), F.lit("\u0000"))
     value = F.regexp_replace("value", r";\n?#?\z", "")
     plain = F.replace(value, mark, F.lit(""))
     x = x.withColumn("_text", plain)
