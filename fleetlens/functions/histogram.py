@@ -54,80 +54,93 @@ def decade_of(bucket) -> Column:
     return total
 
 
-def histogram(df: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
-    """Counts per (keys, attribute, bucket) for several numeric columns in one pass."""
-    slots = F.array(
-        *[
-            F.when(
-                F.col(a).isNotNull(),
-                F.struct(F.lit(a).alias("attribute"), bucket_index(F.col(a).cast("double")).alias("bucket")),
-            )
-            for a in attributes
-        ]
-    )
-    return (
-        df.select(*keys, F.explode(slots).alias("slot"))
-        .filter("slot is not null")
-        .groupBy(*keys, F.col("slot.attribute").alias("attribute"), F.col("slot.bucket").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
+def buckets(df: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
+    """``n, sum, min, max`` per (keys, attribute, bucket) of several numeric columns, in one pass.
+
+    Class figures are sums over these rows, so one scan and one shuffle of at
+    most 1,000 rows per class and attribute serve every statistic.
+    """
+    slots = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("v")) for a in attributes])
+    x = df.select(*keys, F.inline(slots)).filter("v is not null")
+    return x.groupBy(*keys, "attribute", bucket_index("v").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max")
     )
 
 
-def statistics(hist: DataFrame, extremes: DataFrame, keys: list[str]) -> DataFrame:
-    """``pct_95, median, stddev, cutoff`` per key from a histogram.
+def histogram(df: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
+    """Counts per (keys, attribute, bucket)."""
+    return buckets(df, keys, attributes).select(*keys, "attribute", "bucket", "n")
 
-    ``hist`` has (keys, bucket, n); ``extremes`` has (keys, cnt, min, max). The
-    95th percentile is the value of the highest bucket past the top 5 %, the
-    median the value of the first bucket, from above, leaving at most half.
-    """
-    if not keys:
-        one = {"_all": F.lit(0)}
-        return statistics(hist.withColumns(one), extremes.withColumns(one), ["_all"]).drop("_all")
+
+def _with_ranks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Bucket rows with their value, the counts from above and the cut of the top 5 %."""
     down = Window.partitionBy(*keys).orderBy(F.col("bucket").desc())
-    whole = Window.partitionBy(*keys)
     b = (
-        hist.withColumn("value", bucket_value("bucket"))
-        .withColumn("total", F.sum("n").over(whole))
+        rows.withColumn("value", bucket_value("bucket"))
+        .withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
         .withColumn("seen", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("above", F.lag("value").over(down))
-        .withColumn(
-            "cut",
-            F.when(F.col("total") >= 10, F.floor(F.col("total") * 0.95)).otherwise(F.col("total")),
-        )
     )
+    return b.withColumn(
+        "cut", F.when(F.col("total") >= 10, F.floor(F.col("total") * 0.95)).otherwise(F.col("total"))
+    )
+
+
+def _rank_aggregates() -> list[Column]:
+    """The 95th percentile is the value of the highest bucket past the top 5 %, the
+    median the value of the first bucket, from above, leaving at most half."""
     middle = (F.col("total") - F.col("seen")) <= F.floor(F.col("total") / 2)
     top_value = bucket_value(F.lit(BUCKETS - 1))
     at_middle = F.when(
         (F.col("cut") % 2 == 1) | (F.col("n") > 1), F.col("value")
     ).otherwise((F.col("value") + F.coalesce(F.col("above"), top_value)) / 2)
-    per_key = b.groupBy(*keys).agg(
+    return [
         F.max("cut").alias("cut"),
         F.max(F.when(F.col("seen") > F.col("total") - F.col("cut"), F.col("value"))).alias("p"),
         F.max_by(at_middle, F.when(middle, F.col("bucket"))).alias("m"),
         (F.sum(F.col("n") * F.col("value")) / F.max("total")).alias("mean"),
         (F.sum(F.col("n") * F.col("value") * F.col("value")) / F.max("total")).alias("square"),
-    )
-    joined = extremes.join(per_key, keys, "left")
+    ]
+
+
+def _finish() -> list[Column]:
+    """The statistics from the aggregates and (cnt, min, max), with the exact small cases."""
     cnt, lo, hi = F.col("cnt"), F.col("min"), F.col("max")
     flat = (cnt == 1) | (hi == lo)
     pair = cnt == 2
     spread = F.col("square") - F.col("mean") * F.col("mean")
-    stddev = F.least(F.sqrt(F.greatest(spread, F.lit(0.0))), (hi - lo) / 2)
     half = (lo + hi) / 2
-    return joined.select(
-        *keys,
+    deviation = (
+        F.when(flat, F.lit(0.0))
+        .when(pair, F.sqrt(2 * (hi - half) * (hi - half)))
+        .otherwise(F.least(F.sqrt(F.greatest(spread, F.lit(0.0))), (hi - lo) / 2))
+    )
+    return [
         F.coalesce(F.when(flat | pair, hi).otherwise(F.col("p")), F.lit(0.0)).alias("pct_95"),
-        F.coalesce(
-            F.when(flat, hi).when(pair, half).otherwise(F.col("m")), F.lit(0.0)
-        ).alias("median"),
-        F.coalesce(
-            F.when(flat, F.lit(0.0))
-            .when(pair, F.sqrt(2 * (hi - half) * (hi - half)))
-            .otherwise(stddev),
-            F.lit(0.0),
-        ).alias("stddev"),
+        F.coalesce(F.when(flat, hi).when(pair, half).otherwise(F.col("m")), F.lit(0.0)).alias("median"),
+        F.coalesce(deviation, F.lit(0.0)).alias("stddev"),
         F.when(flat | pair, cnt).otherwise(F.col("cut")).alias("cutoff"),
+    ]
+
+
+def summarize(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``cnt, sum, min, max, avg`` and the histogram statistics per key from bucket rows."""
+    agg = _with_ranks(rows, keys).groupBy(*keys).agg(
+        F.sum("n").alias("cnt"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), *_rank_aggregates()
     )
+    return agg.select(*keys, "cnt", "sum", "min", "max", (F.col("sum") / F.col("cnt")).alias("avg"), *_finish())
+
+
+def statistics(hist: DataFrame, extremes: DataFrame, keys: list[str]) -> DataFrame:
+    """``pct_95, median, stddev, cutoff`` per key from counts and given extremes.
+
+    ``hist`` has (keys, bucket, n); ``extremes`` has (keys, cnt, min, max).
+    """
+    if not keys:
+        one = {"_all": F.lit(0)}
+        return statistics(hist.withColumns(one), extremes.withColumns(one), ["_all"]).drop("_all")
+    per_key = _with_ranks(hist, keys).groupBy(*keys).agg(*_rank_aggregates())
+    return extremes.join(per_key, keys, "left").select(*keys, *_finish())
 
 
 def distribution_bars(hist: DataFrame, keys: list[str]) -> DataFrame:

@@ -98,24 +98,23 @@ def digest_groupings(events: DataFrame, groupings: list[str], value: str) -> Dat
     ).select("grouping", "class", "cnt", "sum", "min", "max")
 
 
+def class_statistics(events: DataFrame, group_by: list[str], numeric: list[str]) -> DataFrame:
+    """cnt, sum, min, max, avg, pct_95, median, stddev per class and attribute, in one pass."""
+    return hist.summarize(hist.buckets(events, group_by, numeric), [*group_by, "attribute"])
+
+
 def metrics(events: DataFrame, group_by: list[str], numeric: list[str]) -> DataFrame:
-    """The metrics row of each class and attribute: cnt, pct, sum, min, max, avg, median, pct_95, stddev."""
-    keys = [*group_by, "attribute"]
-    classes = digest(events, group_by, numeric).drop("text_min", "text_max", "type")
-    buckets = hist.histogram(events, group_by, numeric)
-    stats = hist.statistics(buckets, classes, keys)
-    # One row per attribute: a sum over class rows, small whatever the event count.
-    total = classes.groupBy("attribute").agg(F.sum("cnt").alias("_all"))
-    return (
-        classes.join(stats, keys)
-        .join(total, "attribute")
-        .select(
-            *group_by, "attribute", "cnt",
-            (F.col("cnt") / F.col("_all")).alias("pct"),
-            "sum", "min", "max",
-            (F.col("sum") / F.col("cnt")).alias("avg"),
-            "median", "pct_95", "stddev", "cutoff",
-        )
+    """The metrics row of each class and attribute: cnt, pct, sum, min, max, avg, median, pct_95, stddev.
+
+    The global count behind ``pct`` is one narrow pass over the counted columns,
+    kept as a scalar, so the class rows need not be built twice.
+    """
+    counts = events.agg(*[F.count(a).alias(a) for a in numeric])
+    everything = counts.select(F.map_from_arrays(F.array(*[F.lit(a) for a in numeric]), F.array(*numeric))).scalar()
+    x = class_statistics(events, group_by, numeric).withColumn("_all", everything)
+    return x.select(
+        *group_by, "attribute", "cnt", (F.col("cnt") / F.col("_all")[F.col("attribute")]).alias("pct"),
+        "sum", "min", "max", "avg", "median", "pct_95", "stddev", "cutoff",
     )
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators import lineage
+
 # --- Fixed values: keys every entry must have. ---------------------------------------
 SERVER_KEYS = ("active", "version", "readfor", "writefor")
 CLUSTER_KEYS = ("active", "schemas", "primary", "failover", "servers")
@@ -66,27 +68,30 @@ def hosts_for(servers: DataFrame, role: str, cluster: str | None = None) -> Data
 
 
 def backup_chain(backups: DataFrame, key: str = "backup_directory", last: str = "last_backup", level: str = "backup_level",
-                 max_depth: int = 32, group: list[str] = ()) -> DataFrame:
+                 group: list[str] = (), max_rounds: int = 40) -> DataFrame:
     """The full backup each backup rests on, by following ``last`` until level 0.
 
     Every round doubles the distance (pointer jumping), so the number of joins is
-    the logarithm of the longest chain, not its length. A chain without a full
-    backup has ``complete`` false and a NULL ``full_backup``.
+    the logarithm of the longest chain. Rounds are written out, and only rows
+    still under way go into the next. A chain without a full backup (or one in a
+    circle) has ``complete`` false and a NULL ``full_backup``.
     """
     g = list(group)
+    full = F.col(level) == 0
     cur = backups.select(
-        *g, F.col(key).alias("backup"), F.when(F.col(level) == 0, F.col(key)).otherwise(F.col(last)).alias("_to"),
-        F.when(F.col(level) == 0, 0).otherwise(1).alias("steps"),
+        *g, F.col(key).alias("backup"), F.when(full, F.col(key)).otherwise(F.col(last)).alias("_to"),
+        F.when(full, 0).otherwise(1).alias("steps"), F.when(full, True).when(F.col(last).isNull(), False).alias("complete"),
     )
-    hops = 1
-    while hops < max_depth:
-        nxt = cur.select(*g, F.col("backup").alias("_to"), F.col("_to").alias("_far"), F.col("steps").alias("_more"))
-        cur = cur.join(nxt, [*g, "_to"], "left").select(
-            *g, "backup", F.col("_far").alias("_to"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps")
+    cur = lineage.written(cur, "backup-chain")
+    for _ in range(max_rounds):
+        going = cur.filter("complete is null")
+        if going.isEmpty():
+            break
+        ahead = cur.select(*g, F.col("backup").alias("_to"), F.col("_to").alias("_far"), F.col("steps").alias("_more"), F.col("complete").alias("_done"), F.lit(True).alias("_known"))
+        moved = going.join(ahead, [*g, "_to"], "left").select(
+            *g, "backup", F.col("_far").alias("_to"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
+            F.when(F.col("_known").isNull(), False).otherwise(F.col("_done")).alias("complete"),
         )
-        hops *= 2
-    full = backups.filter(F.col(level) == 0).select(*g, F.col(key).alias("_to"), F.col(key).alias("full_backup"))
-    return cur.join(full, [*g, "_to"], "left").select(
-        *g, "backup", "full_backup", F.when(F.col("full_backup").isNotNull(), F.col("steps")).alias("steps"),
-        F.col("full_backup").isNotNull().alias("complete"),
-    )
+        cur = lineage.written(cur.filter("complete is not null").unionByName(moved), "backup-chain")
+    ok = F.coalesce("complete", F.lit(False))
+    return cur.select(*g, "backup", F.when(ok, F.col("_to")).alias("full_backup"), F.when(ok, F.col("steps")).alias("steps"), ok.alias("complete"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import histogram as hist
 from fleetlens.operators import digest as dg
-from fleetlens.operators import ordered
+from fleetlens.operators import lineage, ordered
 from fleetlens.plans.registry import Tables, query, rounded
 
 BLOCK = 65536
@@ -120,9 +120,7 @@ SELECT k, cnt, round(pct_95, 6) AS pct_95, round(median, 6) AS median, round(std
 def small_class_statistics(t: Tables):
     hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
     e = t.events.select((F.col("user_id") * 100000 + hour % 100000).alias("k"), "value")
-    h = hist.histogram(e, ["k"], ["value"]).drop("attribute")
-    x = dg.digest(e, ["k"], numeric=["value"]).select("k", "cnt", "min", "max")
-    out = hist.statistics(h, x, ["k"]).join(x.select("k", "cnt"), "k").drop("cutoff")
+    out = dg.class_statistics(e, ["k"], ["value"]).select("k", "cnt", "pct_95", "median", "stddev")
     return rounded(rounded(out, 6, "pct_95", "median"), 5, "stddev")
 
 
@@ -292,7 +290,9 @@ USERS_STATS = f"WITH e AS (SELECT user_id, value AS v FROM events), {stats_sql('
 
 
 def _user_classes(t: Tables):
-    return dg.metrics(t.events, ["user_id"], ["value"]).withColumn("sum", F.round("sum", 4))
+    """The class table of a report: written once, then read by each of its parts."""
+    classes = dg.class_statistics(t.events, ["user_id"], ["value"]).withColumn("sum", F.round("sum", 4))
+    return lineage.written(classes.select("user_id", "cnt", "sum", "pct_95"), "classes")
 
 
 @query("top_classes", f"""
@@ -304,7 +304,7 @@ SELECT user_id, cnt, sum, round(pct_95, 6) AS pct_95,
   CASE WHEN before < 0.95 * (SELECT sum(sum) FROM k) AND rn <= 20 THEN 'top' ELSE 'outlier' END AS reason
 FROM r WHERE (before < 0.95 * (SELECT sum(sum) FROM k) AND rn <= 20) OR (cnt >= 10 AND pct_95 >= 55)""")
 def top_classes(t: Tables):
-    classes = _user_classes(t).select("user_id", "cnt", "sum", "pct_95")
+    classes = _user_classes(t)
     limit = classes.agg(F.sum("sum") * 0.95).scalar()
     chosen = dg.top_classes(
         classes, "sum", "user_id", count_limit=20, pct_of=limit,
@@ -318,7 +318,7 @@ WITH k AS (SELECT user_id, count(*) AS cnt, round(sum(value), 4) AS sum FROM eve
 r AS (SELECT *, coalesce(sum(sum) OVER (ORDER BY sum DESC, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
 SELECT user_id, cnt, sum, 'top' AS reason FROM r WHERE before < 0.5 * (SELECT sum(sum) FROM k)""")
 def top_classes_by_share(t: Tables):
-    classes = rounded(dg.digest(t.events, ["user_id"], numeric=["value"]).select("user_id", "cnt", "sum"), 4, "sum")
+    classes = _user_classes(t).drop("pct_95")
     limit = classes.agg(F.sum("sum") * 0.5).scalar()
     return dg.top_classes(classes, "sum", "user_id", pct_of=limit)
 

@@ -244,7 +244,7 @@ def table_access(t: Tables):
         F.when(k == 0, F.concat(F.lit("SELECT a FROM t"), sup)).when(k == 1, F.concat(F.lit("UPDATE t"), sup, F.lit(" SET a = 1")))
         .otherwise(F.concat(F.lit("SELECT a FROM b"), sup))
     )
-    s = t.lineitem.select("l_orderkey", "l_linenumber", sql.alias("sql"))
+    s = t.spread("lineitem").select("l_orderkey", "l_linenumber", sql.alias("sql"))
     s = s.select("l_orderkey", "l_linenumber", text.query_type("sql").alias("rw"), text.get_tables("sql").alias("tables"))
     # Ties on (order, line) are told apart by the access kind.
     return dg.table_access(s, "rw", "tables", ["l_orderkey", "l_linenumber", "rw"])

@@ -315,7 +315,7 @@ def mask_unique(t: Tables):
 SELECT o_orderkey, o_orderkey + 1 AS a, true AS b_ok, true AS c_ok, true AS w_ok, true AS n_ok FROM orders""")
 def synthetic_table(t: Tables):
     spec = {"a": ("int_pk",), "b": ("varchar", 5), "c": ("varchar", 20), "w": ("words", 4), "n": ("integer", 100), "at": ("timestamp",)}
-    out = masking.synthetic_table(t.orders.select(F.col("o_orderkey").alias("id")), spec, seed=88953)
+    out = masking.synthetic_table(t.spread("orders").select(F.col("o_orderkey").alias("id")), spec, seed=88953)
     return out.select(
         F.col("id").alias("o_orderkey"), "a", F.col("b").rlike(r"\A[a-zA-Z]{1,5}\z").alias("b_ok"), F.col("c").rlike(r"\A[a-zA-Z]{1,20}\z").alias("c_ok"),
         F.col("w").rlike(r"\A[a-zA-Z]+( [a-zA-Z]+){0,3}\z").alias("w_ok"), F.col("n").between(0, 100).alias("n_ok"),

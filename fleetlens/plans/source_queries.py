@@ -18,7 +18,7 @@ BLOCK = 4096
 
 def _slow_records(t: Tables):
     """``events`` as slow-log records: ``;\\n#`` is cut off, as the reader does."""
-    e = t.events.select(
+    e = t.spread("events").select(
         "event_id", F.col("user_id").alias("file"), F.date_format("ts", "yyMMdd HH:mm:ss").alias("ts"),
         F.concat(F.lit("u"), "user_id").alias("user"), F.concat(F.lit("h"), F.col("user_id") % 5).alias("host"), F.col("user_id").alias("Thread_id"),
         F.col("value").alias("Query_time"), (F.col("event_id") % 100).alias("Rows_sent"), F.lit("Yes").alias("QC_Hit"),
@@ -88,7 +88,7 @@ def _general_lines(t: Tables):
     first = F.concat(stamp, F.lit("\t     "), "user_id", F.lit(" "), kind, F.lit("\t"), arg)
     more = F.when(kind == "Query", F.lit("  FROM t"))
     lines = F.array_compact(F.array(first, more))
-    x = t.events.select("event_id", F.posexplode(lines).alias("_i", "value"))
+    x = t.spread("events").select("event_id", F.posexplode(lines).alias("_i", "value"))
     return x.select(F.lit("general").alias("file"), (F.col("event_id") * 1000 + F.col("_i")).alias("pos"), "value")
 
 
@@ -112,7 +112,7 @@ def binlog_events(t: Tables):
     body = F.when(k % 5 == 0, F.concat(F.lit("Xid = "), "o_custkey", F.lit("\nCOMMIT/*!*/"))).otherwise(F.concat(
         F.lit("Query\tthread_id="), F.col("o_custkey") % 90, F.lit("\texec_time="), k % 7, F.lit("\terror_code=0\nuse db"), k % 3,
         F.lit("/*!*/;\nSET TIMESTAMP="), k + 1000, F.lit("/*!*/;\nINSERT INTO t\nVALUES ("), k, F.lit(")\n/*!*/")))
-    r = t.orders.select((k % 10).cast("string").alias("file"), k.alias("pos"), F.concat(head, body).alias("value"))
+    r = t.spread("orders").select((k % 10).cast("string").alias("file"), k.alias("pos"), F.concat(head, body).alias("value"))
     out = logs.parse_binlog_text(r, block=BLOCK)
     return out.select("pos", "offset", "ts", "Xid", "Thread_id", "Query_time", "db", "arg", F.col("attrs")["timestamp"].alias("stamp"))
 
@@ -147,7 +147,7 @@ def _hex_records(t: Tables):
     rest = F.length(F.concat(ip, tcp, payload)) % 4
     dump = F.when(rest == 2, F.regexp_replace(dump, r"(..)\z", " $1")).otherwise(dump)
     line = F.concat(F.date_format("ts", "yy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" IP 10.0.0."), F.col("user_id") % 200, F.lit(".4"), F.col("event_id") % 100, F.lit(" > 10.0.0.2.memcached: tcp"))
-    return t.events.select(F.lit("dump").alias("file"), F.col("event_id").alias("pos"), F.concat(line, F.lit("\n\t0x0000: "), dump).alias("value"))
+    return t.spread("events").select(F.lit("dump").alias("file"), F.col("event_id").alias("pos"), F.concat(line, F.lit("\n\t0x0000: "), dump).alias("value"))
 
 
 @query("packet_fields", """
@@ -192,7 +192,7 @@ def key_value_requests(t: Tables):
         .when(k == 5, F.concat(found, F.lit("x"))).when(k > 0, F.concat(found, val, F.lit("\r\nEND\r\n")))
     )
     rest = F.when(k == 5, F.concat(F.substring(val, 2, 2), F.lit("\r\nEND\r\n")))
-    base = t.events.withColumn("cl", F.col("user_id"))
+    base = t.spread("events").withColumn("cl", F.col("user_id"))
     p = base.select(F.inline(F.array_compact(F.array(
         _packet(True, at, eid * 10, eid * 3, ask), F.when(answer.isNotNull(), _packet(False, later(1), eid * 10 + 1, eid * 3 + 1, answer)),
         F.when(rest.isNotNull(), _packet(False, later(2), eid * 10 + 2, eid * 3 + 2, rest)),
@@ -232,7 +232,7 @@ def engine_status(t: Tables):
         F.lit("---TRANSACTION 0 1, not started\n---TRANSACTION 0 2, ACTIVE 5 sec\nPages read "), k, F.lit(", created 2, written 3\n"),
         F.lit("11 OS file reads, 12 OS file writes, 13 OS fsyncs\nLog sequence number "), c, F.lit(" 500\nLog flushed up to   "), c, F.lit(" 100\n"),
     )
-    out = status.status_metrics(t.orders.select("o_orderkey", text.alias("text")), ["o_orderkey"])
+    out = status.status_metrics(t.spread("orders").select("o_orderkey", text.alias("text")), ["o_orderkey"])
     return out.withColumn("value", F.col("value").cast("string"))
 
 

@@ -27,7 +27,7 @@ BINLOG_HEADER = (
     r"(?m)^#(\d{6}\s+\d{1,2}:\d\d:\d\d)\s+server\s+id\s+(\d+)\s+end_log_pos\s+(\d+)\s+(\S+)[^\S\n]*([^\n]*)$"
 )
 BINLOG_QUERY = r"thread_id=(\d+)\s+exec_time=(\d+)\s+error_code=(\d+)"
-BINLOG_PREAMBLE = r"(?i)\A((?:(?:#|\s*at \d+|use |SET|DELIMITER|/\*.+\*/;|End of log file)[^\n]*(?:\n|\z))*+)"
+BINLOG_PREAMBLE = r"(?i)\A((?:(?:#|\s*at \d+|use |SET|DELIMITER|/\*.+\*/;|\s*End of log file)[^\n]*(?:\n|\z))*+)"
 SLOW_LOG_COLUMNS = ("Query_time", "Lock_time", "Rows_sent", "Rows_examined", "Thread_id")
 YES_NO_COLUMNS = ("QC_Hit", "Full_scan", "Full_join", "Tmp_table", "Disk_tmp_table", "Filesort", "Disk_filesort")
 STATEMENT_VERBS = (

@@ -23,12 +23,7 @@ def windowed_buckets(events: DataFrame, group_by: list[str], value: str, ts: str
 
 def window_report(buckets: DataFrame, group_by: list[str]) -> DataFrame:
     """The metrics of each window and class from its bucket rows (a batch)."""
-    keys = ["start", *group_by]
-    x = buckets.groupBy(*keys).agg(
-        F.sum("n").alias("cnt"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max")
-    )
-    stats = hist.statistics(buckets.select(*keys, "bucket", "n"), x.select(*keys, "cnt", "min", "max"), keys)
-    return x.join(stats.drop("cutoff"), keys).withColumn("avg", F.col("sum") / F.col("cnt"))
+    return hist.summarize(buckets, ["start", *group_by]).drop("cutoff")
 
 
 def rollup_stream(points: DataFrame, series: list[str], ts: str, value: str, step: str, retention: str) -> DataFrame:

@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's checkpoint directory.
-
-    Only where the session names none, as in tests, a local folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetlens-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from fleetlens.operators.lineage import shared_dir  # noqa: F401
 
 
 def append_batches(stream: DataFrame, folder: str, mode: str = "append") -> StreamingQuery:
