@@ -127,6 +127,45 @@ def running_sum(df: DataFrame, sums: dict[str, Column], order: list, block: Colu
     return x.select(*[F.col(c) for c in df.columns], *[total(n) for n in names])
 
 
+def islands(df: DataFrame, cols: list[str], starts, order: list[str], block: Column, keys: list[str] = (),
+            name: str = "island", following_cols: list[str] = ()) -> DataFrame:
+    """Number the islands of each key: a row opens one when ``starts(previous, row)`` holds.
+
+    ``starts`` gets two structs of ``cols``. The first row of a key always opens
+    one. ``following_cols`` (among ``cols``) of the next row come as ``next_<col>``.
+    Neighbours, counts and the next row come from the same block window and the
+    same edge rows, so the input is read twice, the second time narrow.
+    """
+    keys = list(keys)
+    row = F.struct(*cols)
+    inside = Window.partitionBy("_k").orderBy(*order)
+    x = _keyed(df, keys, block).withColumns({
+        "_cur": row, "_prev": F.lag(row).over(inside), "_next": F.lead(F.struct(row.alias("r"))).over(inside),
+        "_n": F.row_number().over(inside),
+    })
+    opens = F.when((F.col("_n") > 1) & F.coalesce(starts(F.col("_prev"), F.col("_cur")), F.lit(False)), 1).otherwise(0)
+    x = x.withColumn("_open", opens)
+    edge = x.groupBy("_k").agg(
+        F.min_by("_cur", "_n").alias("_first"), F.max_by("_cur", "_n").alias("_last"), F.sum("_open").alias("_opened")
+    )
+    over = _over_blocks(keys)
+    edge = edge.withColumns({"_before_first": F.lag("_last").over(over), "_ahead": F.lead("_first").over(over), "_b": F.row_number().over(over)})
+    first_opens = F.when(
+        (F.col("_b") == 1) | F.coalesce(starts(F.col("_before_first"), F.col("_first")), F.lit(False)), 1
+    ).otherwise(0)
+    edge = edge.withColumn("_first_opens", first_opens)
+    earlier = F.sum(F.col("_opened") + F.col("_first_opens")).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    edge = edge.select("_k", "_ahead", (F.coalesce(earlier, F.lit(0)) + F.col("_first_opens")).alias("_base"))
+    x = x.withColumn("_running", F.sum("_open").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.join(edge, "_k", "left")
+    after = F.when(F.col("_next").isNotNull(), F.col("_next.r")).otherwise(F.col("_ahead"))
+    x = x.withColumn("_after", after)
+    return x.select(
+        *[F.col(c) for c in df.columns], (F.col("_base") + F.col("_running")).alias(name),
+        *[F.col(f"_after.{c}").alias(f"next_{c}") for c in following_cols],
+    )
+
+
 def runs(df: DataFrame, value: list[str], order: list[str], block: Column,
          keys: list[str] = (), aggregates: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Runs of equal ``value`` in order: one row per run.

@@ -116,10 +116,11 @@ def sessions(samples: DataFrame, block_seconds: int = 86400) -> DataFrame:
     ticks = tick.select("server", "ts", F.lag("ts").over(by_server).alias("tick_before"), F.lead("ts").over(by_server).alias("tick_after"))
     live = x.filter("info is not null and info <> '' and time is not null").join(ticks, ["server", "ts"])
     block = ordered.time_block("ts", block_seconds)
-    live = ordered.previous(live, ["ts", "info"], ["ts"], block, keys)
-    broken = ~(F.col("prev_ts").eqNullSafe(F.col("tick_before")) & F.col("prev_ts").isNotNull() & (F.col("prev_info") == F.col("info")))
-    live = live.withColumn("_break", F.when(broken, 1).otherwise(0)).drop("prev_ts", "prev_info")
-    live = ordered.running_sum(live, {"_run": F.col("_break")}, ["ts"], block, keys)
+
+    def broken(before: Column, row: Column) -> Column:
+        return ~(before["ts"].eqNullSafe(row["tick_before"]) & before["info"].eqNullSafe(row["info"]))
+
+    live = ordered.islands(live, ["ts", "info", "tick_before"], broken, ["ts"], block, keys, "_run")
     # Past every earlier start of the run, whichever row is the head: a sure break.
     earlier = Window.partitionBy("server", "id", "_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("now") - F.col("time")

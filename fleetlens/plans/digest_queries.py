@@ -302,13 +302,13 @@ r AS (SELECT *, coalesce(sum(sum) OVER (ORDER BY sum DESC, user_id ROWS BETWEEN
   row_number() OVER (ORDER BY sum DESC, user_id) AS rn FROM k)
 SELECT user_id, cnt, sum, round(pct_95, 6) AS pct_95,
   CASE WHEN before < 0.95 * (SELECT sum(sum) FROM k) AND rn <= 20 THEN 'top' ELSE 'outlier' END AS reason
-FROM r WHERE (before < 0.95 * (SELECT sum(sum) FROM k) AND rn <= 20) OR (cnt >= 10 AND pct_95 >= 55)""")
+FROM r WHERE (before < 0.95 * (SELECT sum(sum) FROM k) AND rn <= 20) OR (cnt >= 10 AND pct_95 >= 170)""")
 def top_classes(t: Tables):
     classes = _user_classes(t)
     limit = classes.agg(F.sum("sum") * 0.95).scalar()
     chosen = dg.top_classes(
         classes, "sum", "user_id", count_limit=20, pct_of=limit,
-        outlier=dg.outlier_test("cnt", "pct_95", 10, 55.0),
+        outlier=dg.outlier_test("cnt", "pct_95", 10, 170.0),
     )
     return rounded(chosen, 6, "pct_95")
 

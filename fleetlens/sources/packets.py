@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 import pandas as pd
@@ -64,23 +65,20 @@ def exchanges(packets: DataFrame, server_port: str, order: list[str], block) ->
     An exchange is the client packets up to the next client packet that follows
     a server packet. State never outlives it, so a busy client is many small
     groups, and these, not clients, are what is shuffled to tasks.
-    ``next_client_ts`` is the time of the client packet that cuts it off.
+    On its last packet ``next_ts`` is the time of the client packet that cuts it off.
     """
     p = packets.filter((F.col("data_len") > 0) & ((F.col("src_port") == server_port) | (F.col("dst_port") == server_port)))
     from_server = F.col("src_port") == server_port
     client = F.when(from_server, F.concat_ws(":", "dst_host", "dst_port")).otherwise(F.concat_ws(":", "src_host", "src_port"))
     p = p.withColumn("client", client).withColumn("from_server", from_server)
-    p = ordered.previous(p, ["from_server"], order, block, ["client"])
-    starts = F.when(~F.col("from_server") & F.coalesce(F.col("prev_from_server"), F.lit(True)), 1).otherwise(0)
-    p = p.withColumn("_starts", starts)
-    p = ordered.running_sum(p, {"exchange": F.col("_starts")}, order, block, ["client"]).drop("prev_from_server")
-    first = p.filter("_starts = 1").select("client", (F.col("exchange") - 1).alias("exchange"), F.col("ts").alias("next_client_ts"))
-    return p.join(first, ["client", "exchange"], "left").drop("_starts")
+    return ordered.islands(
+        p, ["from_server", "ts"], lambda before, row: before["from_server"] & ~row["from_server"], order, block, ["client"], "exchange", ["ts"]
+    )
 
 
 def _seconds(start: str, end: str) -> float:
     """Difference of two packet times; past midnight when it would be negative."""
-    diff = (pd.Timestamp(end) - pd.Timestamp(start)).total_seconds()
+    diff = (dt.datetime.fromisoformat(end) - dt.datetime.fromisoformat(start)).total_seconds()
     return diff if diff >= 0 else diff + 86400.0
 
 
@@ -229,7 +227,7 @@ def pair_requests(packets: DataFrame, protocol: str, server_port: str | None = N
     names = [part.strip().split()[0] for part in schema.split(",")]
     cut = block if block is not None else ordered.time_block(F.to_timestamp("ts"), 3600)
     x = exchanges(packets, server_port or port, list(order), cut)
-    x = x.select("client", "exchange", "next_client_ts", "from_server", "ts", "pos", "seq", "src_host", "data")
+    x = x.select("client", "exchange", "next_ts", "from_server", "ts", "pos", "seq", "src_host", "data")
     x = x.repartition("client", "exchange").sortWithinPartitions("client", "exchange", *order)
 
     def run(batches):
@@ -240,7 +238,8 @@ def pair_requests(packets: DataFrame, protocol: str, server_port: str | None = N
                 if (p.client, p.exchange) != key:
                     if session is not None and cut_off:
                         out.append(session.interrupted(cut_off))
-                    key, session, cut_off = (p.client, p.exchange), machine(p.client), p.next_client_ts
+                    key, session = (p.client, p.exchange), machine(p.client)
+                cut_off = p.next_ts
                 data = bytes.fromhex(p.data).decode("latin-1")
                 out.append(session.server_packet(p, data) if p.from_server else session.client_packet(p, data))
             yield pd.DataFrame([e for e in out if e], columns=names)

@@ -102,10 +102,10 @@ def status_metrics(texts: DataFrame, keys: list[str], text: str = "text") -> Dat
     rows = rows.select(*keys, "_n", "_m.metric", "_m.value")
     agg = rows.groupBy(*keys, "metric").agg(F.sum("value").alias("_sum"), F.max_by("value", "_n").alias("_last"))
     value = F.when(F.col("metric").isin(*SUMMED), F.col("_sum")).otherwise(F.col("_last")).cast("decimal(38,0)")
-    base = agg.select(*keys, "metric", value.alias("value"))
     pick = lambda name: F.max(F.when(F.col("metric") == name, F.col("value")))
-    both = base.groupBy(*keys).agg(
-        F.array(*[F.struct(F.lit(n).alias("metric"), (pick(a) - pick(b)).cast("decimal(38,0)").alias("value")) for n, a, b in DERIVED]).alias("_d")
+    extra = [F.struct(F.lit(n).alias("metric"), (pick(a) - pick(b)).cast("decimal(38,0)").alias("value")) for n, a, b in DERIVED]
+    # A status text has at most one row per known metric, so its list is short.
+    both = agg.select(*keys, "metric", value.alias("value")).groupBy(*keys).agg(
+        F.concat(F.collect_list(F.struct("metric", "value")), F.array(*extra)).alias("_all")
     )
-    extra = both.select(*keys, F.inline("_d")).filter("value is not null")
-    return base.filter("metric <> 'purged_to'").unionByName(extra)
+    return both.select(*keys, F.inline("_all")).filter("value is not null and metric <> 'purged_to'")

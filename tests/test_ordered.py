@@ -53,6 +53,17 @@ def test_runs(rows, size, keys):
     assert same(out, plain)
 
 
+@pytest.mark.parametrize("size", [1, 13, 10**6])
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_islands(rows, size, keys):
+    w = Window.partitionBy(*keys).orderBy("pos") if keys else Window.partitionBy(F.lit(0)).orderBy("pos")
+    x = rows.withColumn("n", F.when(F.lag("state").over(w).eqNullSafe(F.col("state")), 0).otherwise(1))
+    plain = x.withColumn("g", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next_pos", F.lead("pos").over(w)).drop("n")
+    differs = lambda a, b: a["state"] != b["state"]
+    out = ordered.islands(rows, ["state", "pos"], differs, ["pos"], ordered.id_block("pos", size), keys, "g", ["pos"])
+    assert same(out, plain)
+
+
 def expected_statistics(values):
     """The rule, written out over a plain list."""
     import math
