@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from fleetlens.functions import dates
 
 
+# Fixed value: partitions a table can have at most.
+MAX_PARTITIONS = 8192
+
+
 # --- range partitions ---------------------------------------------------------------
 
 
@@ -20,8 +24,9 @@ def assign_partition(rows: DataFrame, partitions: DataFrame, value: str, bound:
     its place in it: no range join, no shuffle of the rows. A table has at most
     8,192 partitions, which bounds that array.
     """
+    too_many = F.when(F.count(F.lit(1)) > MAX_PARTITIONS, F.raise_error(F.lit("more partitions than a table can have")).cast("boolean"))
     listed = F.sort_array(F.collect_list(F.struct(F.col(bound).isNull().alias("open"), F.col(bound).alias("b"), F.col(name).alias("n"))))
-    bounds = partitions.agg(listed).scalar()
+    bounds = partitions.agg(listed.alias("b"), too_many.alias("c")).filter("c is null").select("b").scalar()
     fits = F.filter("_bounds", lambda p: p["open"] | (F.col(value) < p["b"]))
     return rows.withColumn("_bounds", bounds).withColumn("partition", F.get(fits, F.lit(0))["n"]).drop("_bounds")
 
@@ -240,11 +245,18 @@ def insert_if_absent(existing: DataFrame, rows: DataFrame, keys: list[str]) -> D
     return existing.unionByName(fresh.select(*existing.columns))
 
 
-def host_edges(events: DataFrame, checksum: str, source: str, destination: str) -> DataFrame:
-    """Distinct source -> query -> destination edges from the two sides of the host map."""
-    src = events.filter(F.col("type") == "SOURCE").select(checksum, F.col("host").alias(source)).distinct()
-    dst = events.filter(F.col("type") == "DESTINATION").select(checksum, F.col("host").alias(destination)).distinct()
-    return src.join(dst, checksum).distinct()
+def host_edges(hosts: DataFrame, checksum: str = "checksum") -> DataFrame:
+    """Edges of the host -> query -> host graph: (from_node, to_node, kind), each once.
+
+    A query's sources and destinations meet in its node, so the graph grows with
+    the host map and not with sources times destinations.
+    """
+    is_source = F.col("type") == "SOURCE"
+    return hosts.filter(F.col("type").isin("SOURCE", "DESTINATION")).select(
+        F.when(is_source, F.col("host")).otherwise(F.col(checksum)).alias("from_node"),
+        F.when(is_source, F.col(checksum)).otherwise(F.col("host")).alias("to_node"),
+        F.lower("type").alias("kind"),
+    ).distinct()
 
 
 def with_latest_history(queries: DataFrame, history: DataFrame, key: str = "checksum", ts: str = "ts_max") -> DataFrame:

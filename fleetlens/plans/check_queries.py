@@ -238,32 +238,31 @@ def job_outcomes(t: Tables):
 
 
 @query("referential_violations", """
-WITH s AS (SELECT 's' || s_suppkey AS server, s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE '8.0' END AS version FROM supplier),
-cl AS (SELECT 'c' || n_nationkey AS cluster, n_nationkey FROM nation),
-claims AS (SELECT server, 'c' || s_suppkey % 27 AS cluster, s_suppkey FROM s),
-wf AS (SELECT server, cluster FROM claims WHERE s_suppkey % 2 = 0), rf AS (SELECT server, cluster FROM claims WHERE s_suppkey % 2 = 1),
-mem AS (SELECT c.cluster, s.server FROM claims c JOIN s ON c.server = s.server WHERE s.s_suppkey % 5 > 0)
+WITH s AS (SELECT 's' || s_suppkey AS server, s_suppkey AS k, 'c' || s_suppkey // 4 AS cluster, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE '8.0' END AS version FROM supplier),
+cl AS (SELECT DISTINCT 'c' || s_suppkey // 4 AS cluster, s_suppkey // 4 AS g FROM supplier WHERE s_suppkey // 4 % 10 <> 7),
+wf AS (SELECT server, cluster FROM s WHERE k % 2 = 0), rf AS (SELECT server, cluster FROM s WHERE k % 2 = 1)
 SELECT 'MissingKey:version' AS rule, server, NULL AS cluster FROM s WHERE version IS NULL
-UNION ALL SELECT 'UnknownCluster', server, cluster FROM claims WHERE cluster NOT IN (SELECT cluster FROM cl)
-UNION ALL SELECT 'ClusterMismatch', server, cluster FROM claims WHERE cluster IN (SELECT cluster FROM cl) AND s_suppkey % 5 = 0
-UNION ALL SELECT 'PrimaryMismatch', 's' || n_nationkey, cluster FROM cl WHERE ('s' || n_nationkey, cluster) NOT IN (SELECT server, cluster FROM wf)
-UNION ALL SELECT 'FailoverMismatch', 's' || (n_nationkey + 27), cluster FROM cl WHERE ('s' || (n_nationkey + 27), cluster) NOT IN (SELECT server, cluster FROM rf)""")
+UNION ALL SELECT 'UnknownCluster', server, cluster FROM s WHERE cluster NOT IN (SELECT cluster FROM cl)
+UNION ALL SELECT 'ClusterMismatch', server, cluster FROM s WHERE cluster IN (SELECT cluster FROM cl) AND k % 5 = 0
+UNION ALL SELECT 'PrimaryMismatch', 's' || (g * 4 + g % 3), cluster FROM cl WHERE ('s' || (g * 4 + g % 3), cluster) NOT IN (SELECT server, cluster FROM wf)
+UNION ALL SELECT 'FailoverMismatch', 's' || (g * 4 + 3 - g % 2), cluster FROM cl WHERE ('s' || (g * 4 + 3 - g % 2), cluster) NOT IN (SELECT server, cluster FROM rf)""")
 def referential_violations(t: Tables):
+    # Four servers share a cluster, so member lists stay short.
     key = F.col("s_suppkey")
-    mine = F.array(F.concat(F.lit("c"), (key % 27).cast("string")))
+    g = F.floor(key / 4)
+    mine = F.array(F.concat(F.lit("c"), g.cast("string")))
     none = F.array().cast("array<string>")
     servers = t.supplier.select(
         F.concat(F.lit("s"), key).alias("server"), F.lit("true").alias("active"), F.when(key % 9 > 0, "8.0").alias("version"),
-        F.when(key % 2 == 1, mine).otherwise(none).alias("readfor"), F.when(key % 2 == 0, mine).otherwise(none).alias("writefor"), key.alias("k"),
+        F.when(key % 2 == 1, mine).otherwise(none).alias("readfor"), F.when(key % 2 == 0, mine).otherwise(none).alias("writefor"),
     )
-    claimed = servers.filter("k % 5 > 0").select("server", F.concat(F.lit("c"), F.col("k") % 27).alias("cluster"))
-    members = claimed.groupBy("cluster").agg(F.collect_list("server").alias("servers"))
-    n = F.col("n_nationkey")
-    clusters = t.nation.select(
-        F.concat(F.lit("c"), n).alias("cluster"), F.lit("true").alias("active"), F.array(F.col("n_name")).alias("schemas"),
-        F.concat(F.lit("s"), n).alias("primary"), F.concat(F.lit("s"), n + 27).alias("failover"),
-    ).join(members, "cluster", "left").withColumn("servers", F.coalesce("servers", none))
-    return topo.referential_violations(servers.drop("k"), clusters)
+    member = F.when(key % 5 > 0, F.concat(F.lit("s"), key))
+    clusters = t.supplier.groupBy(g.alias("g")).agg(F.collect_list(member).alias("servers")).filter("g % 10 <> 7").select(
+        F.concat(F.lit("c"), "g").alias("cluster"), F.lit("true").alias("active"), F.array(F.lit("d")).alias("schemas"),
+        F.concat(F.lit("s"), F.col("g") * 4 + F.col("g") % 3).alias("primary"),
+        F.concat(F.lit("s"), F.col("g") * 4 + 3 - F.col("g") % 2).alias("failover"), "servers",
+    )
+    return topo.referential_violations(servers, clusters)
 
 
 @query("orphaned_orders", """

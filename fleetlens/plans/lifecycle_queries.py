@@ -234,10 +234,9 @@ def host_map(t: Tables):
 
 
 @query("host_edges", f"""
-WITH {HOSTS_SQL} SELECT DISTINCT a.checksum, a.host AS source, b.host AS destination FROM (SELECT DISTINCT checksum, host FROM h WHERE type = 'SOURCE') a
-JOIN (SELECT DISTINCT checksum, host FROM h WHERE type = 'DESTINATION') b ON a.checksum = b.checksum""")
+WITH {HOSTS_SQL} SELECT DISTINCT CASE WHEN type = 'SOURCE' THEN host ELSE checksum END AS from_node, CASE WHEN type = 'SOURCE' THEN checksum ELSE host END AS to_node, lower(type) AS kind FROM h""")
 def host_edges(t: Tables):
-    return lc.host_edges(_hosts(t), "checksum", "source", "destination")
+    return lc.host_edges(_hosts(t))
 
 
 @query("queries_with_history", """
