@@ -181,25 +181,25 @@ def worst_samples(t: Tables):
     return dg.worst_samples(t.events, ["event_type"], "value", ["event_id", "value", "props"], "event_id")
 
 
-RATES_SQL = """count(*) AS cnt, round(sum(value), 4) AS sum, epoch(max(ts)) - epoch(min(ts)) AS secs FROM events"""
+RATES_SQL = """count(*) AS cnt, round(sum(value), 4) AS sum, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS secs FROM events"""
 
 
 @query("class_rates", f"""
 WITH r AS (SELECT event_type, {RATES_SQL} GROUP BY 1)
-SELECT event_type, cnt, sum, round(secs, 3) AS seconds, CASE WHEN secs > 0 THEN round(cnt / secs, 9) ELSE 0 END AS qps,
+SELECT event_type, cnt, sum, round(secs, 6) AS seconds, CASE WHEN secs > 0 THEN round(cnt / secs, 9) ELSE 0 END AS qps,
   CASE WHEN secs > 0 THEN round(sum / secs, 9) ELSE 0 END AS concurrency FROM r""")
 def class_rates(t: Tables):
     out = rounded(dg.rates(t.events, ["event_type"], "value", "ts"), 4, "sum")
-    return rounded(rounded(out, 9, "qps", "concurrency"), 3, "seconds")
+    return rounded(rounded(out, 9, "qps", "concurrency"), 6, "seconds")
 
 
 @query("global_rates", f"""
 WITH r AS (SELECT {RATES_SQL})
-SELECT cnt, sum, round(secs, 3) AS seconds, CASE WHEN secs > 0 THEN round(cnt / secs, 9) ELSE 0 END AS qps,
+SELECT cnt, sum, round(secs, 6) AS seconds, CASE WHEN secs > 0 THEN round(cnt / secs, 9) ELSE 0 END AS qps,
   CASE WHEN secs > 0 THEN round(sum / secs, 9) ELSE 0 END AS concurrency FROM r""")
 def global_rates(t: Tables):
     out = rounded(dg.rates(t.events, [], "value", "ts"), 4, "sum")
-    return rounded(rounded(out, 9, "qps", "concurrency"), 3, "seconds")
+    return rounded(rounded(out, 9, "qps", "concurrency"), 6, "seconds")
 
 
 @query("distribution_bars", f"""
@@ -266,11 +266,11 @@ def sample_moments(t: Tables):
 WITH l AS (SELECT *, CASE WHEN lag(event_type) OVER (ORDER BY event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS st FROM events),
 g AS (SELECT *, sum(st) OVER (ORDER BY event_id) AS grp FROM l)
 SELECT any_value(event_type) AS event_type, min(event_id) AS start_event_id, count(*) AS cnt, round(sum(value), 4) AS sum,
-  min(value) AS min, max(value) AS max, min(ts) AS ts_min, max(ts) AS ts_max, round(epoch(max(ts)) - epoch(min(ts)), 3) AS seconds
+  min(value) AS min, max(value) AS max, min(ts) AS ts_min, max(ts) AS ts_max, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS seconds
 FROM g GROUP BY grp""")
 def event_timeline(t: Tables):
     out = dg.timeline(t.events, ["event_type"], "value", "ts", ["event_id"], ordered.id_block("event_id", BLOCK))
-    return rounded(rounded(out, 4, "sum"), 3, "seconds")
+    return rounded(rounded(out, 4, "sum"), 6, "seconds")
 
 
 @query("user_timeline", """
