@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
-MODULES = ("rules",)
+MODULES = ("rules", "pieces")
 
 
 def query(name: str, sql: str | None = None):
