@@ -24,6 +24,8 @@ from fleetlens.llm.bytepairs import Encoder, encoder
 
 #: Pre-tokens of a segment when it is made.
 SEGMENT = 32
+#: Edits with fewer characters between them are one region, encoded once.
+NEAR = 64
 EDITS = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -119,15 +121,20 @@ def apply_edits(text: str, edits: list, own: Encoder) -> dict:
     """Token counts of a text before and after edits, whose places are those of the text before."""
     tree = SegmentTree(text, own)
     before, built = tree.total, tree.encoded
-    shift, reached, skipped = 0, 0, 0
+    regions, reached, skipped = [], 0, 0
     for e in edits:
         if e is None or None in (e["start"], e["end"]) or not reached <= e["start"] <= e["end"] <= len(text):
             skipped += 1
             continue
-        new = e["text"] or ""
-        tree.replace(e["start"] + shift, e["end"] + shift, new)
-        shift += len(new) - (e["end"] - e["start"])
+        if regions and e["start"] - reached < NEAR:
+            regions[-1] = (regions[-1][0], e["end"], regions[-1][2] + text[reached : e["start"]] + (e["text"] or ""))
+        else:
+            regions.append((e["start"], e["end"], e["text"] or ""))
         reached = e["end"]
+    shift = 0
+    for start, end, new in regions:
+        tree.replace(start + shift, end + shift, new)
+        shift += len(new) - (end - start)
     return {
         "tokens_before": before, "n_tokens": tree.total, "n_segments": len(tree.texts),
         "chars_encoded": tree.encoded - built, "n_chars_after": tree.chars[1], "n_skipped": skipped,
