@@ -31,7 +31,7 @@ MARK = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
 UNKNOWN_TEXT = " ⁇ "  # what the library decodes an unknown id to
 #: Stretches a task remembers, and the longest one worth it; both bound memory only.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 
 def _one_byte(error):
