@@ -109,8 +109,8 @@ def _named(rows: DataFrame, parts, kind: str, level: int) -> DataFrame:
     """``row``, ``key``, ``sha``, ``names`` of the parts, and ``single``: whether some part occurs once only."""
     chunks = written(_chunks(rows, parts, kind), f"chunks-{level}")
     sent = chunks.filter(F.col("part").isNotNull()).groupBy("part").agg(F.sum("n").alias("n"), F.collect_list(F.struct("chunk", "place")).alias("at"))
-    names = sent.sortWithinPartitions("part").select(F.monotonically_increasing_id().alias("name"), (F.col("n") == 1).alias("once"), F.explode("at").alias("a"))
-    names = names.select("name", "once", "a.chunk", "a.place")
+    names = sent.sortWithinPartitions("part").select(F.monotonically_increasing_id().alias("name"), (F.col("n") == 1).alias("once"), "at")
+    names = names.select("name", "once", F.explode("at").alias("a")).select("name", "once", "a.chunk", "a.place")
     asked = chunks.filter(F.col("part").isNull()).select("chunk", "row", "key", "sha", "places")
 
     def back(asked: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:

@@ -75,8 +75,8 @@ def tokenized(documents: DataFrame, tokenizer: str, length: int = LENGTH, key: s
 def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP, seed: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: its document, place there, checksum, sequence and offset in it."""
     rows = written(tokenized(documents, tokenizer, length, key, text), "tokenized")
-    groups = rows.groupBy().count().select(F.greatest(F.lit(1), F.ceil(F.col("count") / group)).alias("n_groups"))
-    rows = rows.crossJoin(F.broadcast(groups)).withColumn("group", F.pmod(F.xxhash64("key", "doc_tokens", "crcs", F.lit(seed)), F.col("n_groups"))).drop("n_groups")
+    n_groups = max(1, -(-rows.count() // group))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "doc_tokens", "crcs", F.lit(seed)), F.lit(n_groups)))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(ident, rows: pd.DataFrame) -> pd.DataFrame:

@@ -158,8 +158,7 @@ def disclosures(seen: DataFrame, documents: DataFrame, text: str = "text", min_c
         .filter(F.col("contexts") >= min_contexts)
     )
     values = seen.select("key", "text_key", F.explode("near.value").alias("value")).distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    total = seen.groupBy().agg(F.count("*").alias("n_docs"))
-    joined = pairs.join(term_counts(documents, text).withColumnRenamed("n", "n_term"), "term").join(values, "value").crossJoin(F.broadcast(total))
+    joined = pairs.join(term_counts(documents, text).withColumnRenamed("n", "n_term"), "term").join(values, "value").withColumn("n_docs", F.lit(seen.count()))
     both = F.least("n_both", "n_term", "n_value")
     ic = F.log(F.col("n_docs") / F.col("n_value"))
     pmi = F.log(both * F.col("n_docs") / (F.col("n_term") * F.col("n_value")))
