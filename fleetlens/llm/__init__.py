@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
-MODULES = ("pii", "quality", "packing", "exact", "language", "pieces", "rules", "edits")
+MODULES = ("pii", "quality", "packing", "lm", "exact", "language", "pieces", "rules", "edits")
 
 
 def query(name: str, sql: str | None = None):

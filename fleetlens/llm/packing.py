@@ -79,7 +79,7 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, group: int
     rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "doc_tokens", "crcs", F.lit(seed)), F.lit(n_groups)))
     kind = rows.schema["key"].dataType.simpleString()
 
-    def run(ident, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(ident: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(first=[c[0] for c in rows["crcs"]]).sort_values(["key", "doc_tokens", "first"], kind="stable")
         keys, sizes, crcs = rows["key"].array, rows["doc_tokens"].to_numpy(), rows["crcs"].tolist()
         full, rest = sizes // length, sizes % length
