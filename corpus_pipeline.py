@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fleetlens.llm import exact, language, near, packing, pii
 from fleetlens.operators.lineage import written
 
-STAGES: list = []
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a wide enough margin."""
+    return language.keep_identified(docs, language.dictionaries(language.training_rows(docs)))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id."""
+    return exact.deduplicate(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are alike the document with the smallest id."""
+    return near.deduplicate(docs)
+
+
+def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data and the terms that give it away masked; ``n_chars`` follows."""
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language", identified), ("exact", without_copies), ("near", without_near_copies), ("pii", sanitised), ("packing", packed)]
 
 #: SQL has no language model, sketches or tokenizers; the tests hold the pipeline against brute force.
 ORACLE_SQL = None
