@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,7 +167,7 @@ def cleaning_edits(text: Column) -> Column:
     """Edits that a cleaning step makes: personal data is masked, repeated lines and runs of signs go."""
 
     @F.pandas_udf(EDITS)
-    def find(texts):
+    def find(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _cleaning(t or ""))
 
     return find(text)

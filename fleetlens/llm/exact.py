@@ -150,13 +150,13 @@ def groups(documents: DataFrame, key: str = "doc_id", text: str = "text", block:
 
 def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    stays = groups(documents, key, text).filter("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_stays"))
+    stays = groups(documents, key, text).filter("kept").select(F.col(key).alias("stays"), F.col("text_sha256").alias("as"))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
-    rows = documents.withColumn("_sha", sha)
-    rows = rows.join(stays, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_stays")), "left_semi")
+    rows = documents.select(F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("whole"), F.col(key).alias("key"), sha.alias("sha"))
+    rows = rows.join(stays, F.col("key").eqNullSafe(F.col("stays")) & (F.col("sha") == F.col("as")), "left_semi")
     # Of repeated rows with one key and text, one stays.
-    nth = F.row_number().over(Window.partitionBy(key, "_sha").orderBy(F.lit(0)))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{n}`") for n in documents.columns])
+    nth = F.row_number().over(Window.partitionBy("key", "sha").orderBy(F.lit(0)))
+    return rows.withColumn("nth", nth).filter("nth = 1").select("whole.*")
 
 
 SQL = r"""

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,9 +119,9 @@ def keep_identified(documents: DataFrame, content: dict[str, bytes], text: str =
     held = tuple(content.items())
 
     @F.pandas_udf("boolean")
-    def accepted(texts):
+    def accepted(texts: pd.Series) -> pd.Series:
         done = [classify(t, held) for t in texts]
-        return texts.__class__([lang != UNKNOWN and m >= margin for lang, _, m in done], dtype=bool)
+        return pd.Series([lang != UNKNOWN and m >= margin for lang, _, m in done], dtype=bool)
 
     return documents.filter(accepted(F.col(text)))
 

@@ -288,10 +288,9 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, recall: float =
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, one of each group, with all their columns; of a repeated row all stay."""
     stays = classes(documents, threshold, recall, key, text).filter(F.col(key).eqNullSafe(F.col("class_id")))
-    stays = stays.select(F.col(key).alias("_key"), F.col("text_hash").alias("_stays"))
-    rows = documents.withColumn("_hash", F.xxhash64(text))
-    kept = rows.join(stays, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_stays")), "left_semi")
-    return kept.select(*[F.col(f"`{n}`") for n in documents.columns])
+    stays = stays.select(F.col(key).alias("stays"), F.col("text_hash").alias("as"))
+    rows = documents.select(F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("whole"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    return rows.join(stays, F.col("key").eqNullSafe(F.col("stays")) & (F.col("hash") == F.col("as")), "left_semi").select("whole.*")
 
 
 @query("op4_near_duplicates")

@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,21 +193,25 @@ def masked(text: str, base: list, added: list, remove: float = REMOVE) -> str:
 
 def sanitise(documents: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """The rows with their texts masked; a null text stays null."""
-    told = find(documents, key, text, **thresholds).filter(F.size("added") > 0).select(F.col(key).alias("_key"), "text_key", F.col("added").alias("_added"))
-    told = told.groupBy("_key", "text_key").agg(F.first("_added").alias("_added"))
-    names = documents.columns
+    told = find(documents, key, text, **thresholds).filter(F.size("added") > 0).select(F.col(key).alias("told"), "text_key", "added")
+    told = told.groupBy("told", "text_key").agg(F.first("added").alias("added"))
 
     @F.pandas_udf("string")
-    def mask(texts, added):
-        return texts.combine(added, lambda t, a: None if t is None else masked(t, [{"kind": k, "start": x, "end": y} for x, y, k in base_spans(t)], [] if a is None else list(a)))
+    def mask(texts: pd.Series, added: pd.Series) -> pd.Series:
+        done = [
+            None if t is None else masked(t, [{"kind": k, "start": x, "end": y} for x, y, k in base_spans(t)], [] if a is None else list(a))
+            for t, a in zip(texts, added)
+        ]
+        return pd.Series(done, dtype=object)
 
     @F.pandas_udf("binary")
-    def named(texts):
+    def named(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: hashlib.blake2b((t or "").encode(), digest_size=16).digest())
 
-    rows = documents.withColumn("_text_key", named(F.col(text)))
-    rows = rows.join(told, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_key") == F.col("text_key")), "left")
-    return rows.withColumn(text, mask(F.col(text), F.col("_added"))).select(*[F.col(f"`{n}`") for n in names])
+    rows = documents.select(F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("whole"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = rows.withColumn("as", named("text"))
+    rows = rows.join(told, F.col("key").eqNullSafe(F.col("told")) & (F.col("as") == F.col("text_key")), "left")
+    return rows.withColumn("whole", F.col("whole").withField(f"`{text}`", mask("text", "added"))).select("whole.*")
 
 
 @query("op1_personal_data")
