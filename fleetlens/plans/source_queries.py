@@ -4,12 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.functions.diff import unified_diff
-from fleetlens.operators import catalog as cat
 from fleetlens.operators import digest as dg
 from fleetlens.operators import ordered
-from fleetlens.plans import derived
-from fleetlens.plans.derived import VERSION_SQL
 from fleetlens.plans.registry import Tables, query, rounded
 from fleetlens.sources import logs, packets, status, tables
 
@@ -197,7 +193,7 @@ def key_value_requests(t: Tables):
         _packet(True, at, eid * 10, eid * 3, ask), F.when(answer.isNotNull(), _packet(False, later(1), eid * 10 + 1, eid * 3 + 1, answer)),
         F.when(rest.isNotNull(), _packet(False, later(2), eid * 10 + 2, eid * 3 + 2, rest)),
     ))))
-    out = packets.pair_requests(p, "key-value", order=("pos",), block=ordered.id_block("pos", 40960))
+    out = packets.key_value_requests(p, order=("pos",), block=ordered.id_block("pos", 40960))
     return rounded(out.select("pos", "client", "cmd", "key", "res", "val", "Query_time"), 6, "Query_time")
 
 
@@ -216,7 +212,7 @@ def http_requests(t: Tables):
         _packet(False, at(3), pid * 10 + 1, F.when(swapped, 2).otherwise(1), F.when(swapped, tail).otherwise(head), "80"),
         _packet(False, at(5), pid * 10 + 2, F.when(swapped, 1).otherwise(2), F.when(swapped, head).otherwise(tail), "80"),
     )))
-    out = packets.pair_requests(p, "http", order=("pos",), block=ordered.id_block("pos", 40960))
+    out = packets.http_requests(p, order=("pos",), block=ordered.id_block("pos", 40960))
     return rounded(out.select("pos", "arg", "Status_code", "bytes", "Query_time", "Transmit_time"), 4, "Query_time", "Transmit_time")
 
 
@@ -249,13 +245,3 @@ SELECT event_type, count(*) AS n, DATE '2024-02-01' AS collected_date FROM event
 def usage_rows(t: Tables):
     counters = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return tables.usage_rows(counters, "2024-02-01 03:00:00").drop("collected_at")
-
-
-@query("version_diffs", f"""
-WITH p AS (SELECT id, create_syntax AS n, lag(create_syntax) OVER (PARTITION BY server, database_name, table_name ORDER BY id) AS o FROM {VERSION_SQL})
-SELECT id, CASE WHEN n IS NOT DISTINCT FROM o THEN '' ELSE '--- old' || chr(10) || '+++ new' || chr(10) ||
-  CASE WHEN o IS NULL THEN '@@ -0,0 +1 @@' || chr(10) || '+' || n WHEN n IS NULL THEN '@@ -1 +0,0 @@' || chr(10) || '-' || o
-  ELSE '@@ -1 +1 @@' || chr(10) || '-' || o || chr(10) || '+' || n END END AS diff FROM p""")
-def version_diffs(t: Tables):
-    v = cat.with_previous(derived.versions(t), ["create_syntax"], block=ordered.id_block("id", BLOCK))
-    return v.select("id", unified_diff("prev_create_syntax", "create_syntax").alias("diff"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +17,11 @@ HEX_LINE = r"\s+0x[0-9a-f]+:\s((?:\s[0-9a-f]{2,4})+)"
 FIN, SYN, RST = 1, 2, 4
 STORE_COMMANDS = ("set", "add")
 COUNT_COMMANDS = ("incr", "decr")
+KEY_VALUE_OPENING = r"\A(?i)(?:get|gets|set|add|replace|append|prepend|cas|delete|incr|decr|stats|version|quit|flush_all|verbosity) *[^\r\n]*\r\n"
+HTTP_VERBS = ("get", "post")
+HTTP_HOST = r"(?im)^Host: *(\S+)"
+HTTP_LENGTH = r"(?im)^Content-Length: *(\d+)"
+CRLF = "\r\n"
 # -------------------------------------------------------------------------------------------
 
 
@@ -59,191 +60,103 @@ def parse_packets(records: DataFrame) -> DataFrame:
     )
 
 
-def exchanges(packets: DataFrame, server_port: str, order: list[str], block) -> DataFrame:
-    """Payload packets with the client, the side, and the number of the exchange.
+def exchanges(packets: DataFrame, server_port: str, order: list[str], block, opening: str | None = None) -> DataFrame:
+    """Payload packets with the client, the side, the text and the number of the exchange.
 
-    An exchange is the client packets up to the next client packet that follows
-    a server packet. State never outlives it, so a busy client is many small
-    groups, and these, not clients, are what is shuffled to tasks.
-    On its last packet ``next_ts`` is the time of the client packet that cuts it off.
+    An exchange is the client packets up to the next client packet that follows a
+    server packet, or whose text matches ``opening``. A busy client is many small
+    groups, and these, not clients, are what is shuffled. ``next_ts`` on the last
+    packet of an exchange is the time of the client packet that cuts it off. Hex
+    digits that form no bytes give a NULL text.
     """
     p = packets.filter((F.col("data_len") > 0) & ((F.col("src_port") == server_port) | (F.col("dst_port") == server_port)))
     from_server = F.col("src_port") == server_port
     client = F.when(from_server, F.concat_ws(":", "dst_host", "dst_port")).otherwise(F.concat_ws(":", "src_host", "src_port"))
-    p = p.withColumn("client", client).withColumn("from_server", from_server)
+    text = F.decode(F.unhex("data"), "ISO-8859-1")
+    opens = text.rlike(opening) if opening else F.lit(False)
+    p = p.withColumns({"client": client, "from_server": from_server, "text": text, "opens": F.coalesce(opens, F.lit(False))})
     return ordered.islands(
-        p, ["from_server", "ts"], lambda before, row: before["from_server"] & ~row["from_server"], order, block, ["client"], "exchange", ["ts"]
+        p, ["from_server", "opens", "ts"], lambda before, row: ~row["from_server"] & (before["from_server"] | row["opens"]),
+        order, block, ["client"], "exchange", ["ts"],
     )
 
 
-def _seconds(start: str, end: str) -> float:
+def _seconds(start, end):
     """Difference of two packet times; past midnight when it would be negative."""
-    diff = (dt.datetime.fromisoformat(end) - dt.datetime.fromisoformat(start)).total_seconds()
-    return diff if diff >= 0 else diff + 86400.0
-
-
-KEY_VALUE_SCHEMA = (
-    "client string, host string, pos long, ts string, cmd string, key string, val string, res string, "
-    "flags string, exptime string, bytes long, Query_time double"
-)
-
-
-class _KeyValue:
-    """One client's exchange in a key-value text protocol."""
-
-    def __init__(self, client):
-        self.client, self.req = client, None
-
-    def _event(self, res: str, val: str, ts: str) -> dict:
-        r, self.req = self.req, None
-        return {
-            "client": self.client, "host": r["host"], "pos": r["pos"], "ts": r["ts"], "cmd": r["cmd"], "key": r["key"],
-            "val": val, "res": res, "flags": r["flags"] or "0", "exptime": r["exptime"] or "0", "bytes": r["bytes"] or 0,
-            "Query_time": _seconds(r["ts"], ts),
-        }
-
-    def interrupted(self, ts):
-        if self.req and self.req["state"] != "sending":
-            return self._event("INTERRUPTED", self.req["val"], ts)
-        return None
-
-    def client_packet(self, p, data: str):
-        out = None
-        if self.req and self.req["state"] != "sending":
-            out = self.interrupted(p.ts)
-        if not self.req:
-            line, _, rest = data.partition("\r\n")
-            words = line.split()
-            cmd = words[0].lower() if words else ""
-            args = words[1:] + [None] * 4
-            stored = cmd in STORE_COMMANDS
-            self.req = {
-                "cmd": cmd, "key": args[0], "flags": args[1] if stored else None, "exptime": args[2] if stored else None,
-                "bytes": int(args[3]) if stored and args[3] and args[3].isdigit() else None, "host": p.src_host,
-                "pos": p.pos, "ts": p.ts, "val": "", "state": "waiting", "parts": [],
-            }
-            if not (stored and rest):
-                return out
-        else:
-            rest = data
-        r = self.req
-        r["parts"].append((p.seq, rest))
-        have = "".join(t for _, t in sorted(r["parts"]))
-        done = len(have) >= (r["bytes"] or 0) + 2
-        r["state"] = "waiting" if done else "sending"
-        if done:
-            r["val"] = have[:-2] if have.endswith("\r\n") else have
-            r["parts"] = []
-        return out
-
-    def server_packet(self, p, data: str):
-        r = self.req
-        if not r:
-            return None
-        if r["state"] == "receiving":
-            r["parts"].append((p.seq, data))
-            have = "".join(t for _, t in sorted(r["parts"]))
-            if len(have) < r["bytes"] + 2:
-                return None
-            return self._event("VALUE", have[: r["bytes"]], p.ts)
-        line, _, rest = data.partition("\r\n")
-        words = line.split()
-        res, val = (words[0] if words else ""), r["val"]
-        if r["cmd"] in COUNT_COMMANDS and res.isdigit():
-            return self._event("", res, p.ts)
-        if res == "VALUE" and len(words) >= 4:
-            r["flags"], r["bytes"] = r["flags"] or words[2], r["bytes"] or int(words[3])
-            if rest and len(rest) > r["bytes"]:
-                val = rest[: r["bytes"]]
-            elif rest:
-                r["parts"], r["state"] = [(p.seq, rest)], "receiving"
-                return None
-        elif res == "END":
-            res = "NOT_FOUND"
-        return self._event(res, val, p.ts)
-
-
-HTTP_SCHEMA = (
-    "client string, host string, pos long, ts string, arg string, Virtual_host string, Status_code string, "
-    "bytes long, Query_time double, Transmit_time double"
-)
-
-
-class _Http:
-    """One request and the reply packets after it; replies may arrive out of order."""
-
-    def __init__(self, client):
-        self.client, self.req, self.reply = client, None, []
-
-    @staticmethod
-    def _header(data: str):
-        head, _, body = data.partition("\r\n\r\n")
-        line, _, fields = head.partition("\r\n")
-        get = lambda name: re.search(rf"(?im)^{name}: *(\S+)", fields)
-        return line.split(), get("Content-Length"), get("Host"), body
-
-    def interrupted(self, ts):
-        return None
-
-    def client_packet(self, p, data: str):
-        if self.req:
-            return None
-        words, _, host, _ = self._header(data)
-        if len(words) >= 2 and words[0].lower() in ("get", "post"):
-            vh = host.group(1) if host else ""
-            self.req = {"host": p.src_host, "pos": p.pos, "ts": p.ts, "arg": f"{words[0].lower()} {vh}{words[1]}", "vh": vh}
-        return None
-
-    def server_packet(self, p, data: str):
-        if not self.req:
-            return None
-        self.reply.append((p.seq, data, p.ts))
-        first = next((t for _, t, _ in sorted(self.reply) if t.startswith("HTTP/")), None)
-        if first is None:
-            return None
-        words, length, _, _ = self._header(first)
-        size = int(length.group(1)) if length else 0
-        have = sum(len(t) for _, t, _ in self.reply) - len(first) + len(first.partition("\r\n\r\n")[2])
-        if have < size:
-            return None
-        r, times = self.req, [ts for _, _, ts in self.reply]
-        self.req, self.reply = None, []
-        return {
-            "client": self.client, "host": r["host"], "pos": r["pos"], "ts": r["ts"], "arg": r["arg"], "Virtual_host": r["vh"] or None,
-            "Status_code": words[1] if len(words) > 1 else None, "bytes": size,
-            "Query_time": _seconds(r["ts"], times[0]), "Transmit_time": _seconds(times[0], times[-1]),
-        }
-
-
-def pair_requests(packets: DataFrame, protocol: str, server_port: str | None = None, order=("ts", "pos"), block=None) -> DataFrame:
-    """Requests with their first reply and latency, for ``key-value`` or ``http`` traffic.
-
-    Exchanges are spread over tasks by (client, exchange) and sorted there; a
-    small state machine then reads each task's rows as one stream of batches.
+    diff = (F.unix_micros(end.try_cast("timestamp")) - F.unix_micros(start.try_cast("timestamp"))) / 1e6
+    return F.when(diff < 0, diff + 86400).otherwise(diff)
+
+
+def _sides(packets: DataFrame, server_port: str, order: list[str], block, opening: str | None) -> DataFrame:
+    """One row per exchange: its first request, the reply's first packet and times, and the texts of both sides.
+
+    Texts are put together by sequence number; one of a packet that was not
+    captured whole is NULL.
     """
-    machine, schema, port = {
-        "key-value": (_KeyValue, KEY_VALUE_SCHEMA, "11211"), "http": (_Http, HTTP_SCHEMA, "80"),
-    }[protocol]
-    names = [part.strip().split()[0] for part in schema.split(",")]
     cut = block if block is not None else ordered.time_block(F.to_timestamp("ts"), 3600)
-    x = exchanges(packets, server_port or port, list(order), cut)
-    x = x.select("client", "exchange", "next_ts", "from_server", "ts", "pos", "seq", "src_host", "data")
-    x = x.repartition("client", "exchange").sortWithinPartitions("client", "exchange", *order)
-
-    def run(batches):
-        key = session = cut_off = None
-        for pdf in batches:
-            out = []
-            for p in pdf.itertuples(index=False):
-                if (p.client, p.exchange) != key:
-                    if session is not None and cut_off:
-                        out.append(session.interrupted(cut_off))
-                    key, session = (p.client, p.exchange), machine(p.client)
-                cut_off = p.next_ts
-                data = bytes.fromhex(p.data).decode("latin-1")
-                out.append(session.server_packet(p, data) if p.from_server else session.client_packet(p, data))
-            yield pd.DataFrame([e for e in out if e], columns=names)
-        if session is not None and cut_off:
-            yield pd.DataFrame([e for e in [session.interrupted(cut_off)] if e], columns=names)
-
-    return x.mapInPandas(run, schema)
+    x = exchanges(packets, server_port, order, cut, opening)
+    at, asked, answered = F.struct(*order), F.expr("not from_server"), F.col("from_server")
+    packet = F.struct("seq", "text", "data_len")
+    x = x.groupBy("client", "exchange").agg(
+        F.min_by(F.when(asked, F.struct("src_host", "pos", "ts", "text")), F.when(asked, at)).alias("first"),
+        F.array_sort(F.collect_list(F.when(asked, packet))).alias("sent"), F.array_sort(F.collect_list(F.when(answered, packet))).alias("got"),
+        F.min_by(F.when(answered, F.col("ts")), F.when(answered, at)).alias("answered"), F.max_by(F.when(answered, F.col("ts")), F.when(answered, at)).alias("ended"),
+        F.max_by("next_ts", at).alias("cut_off"),
+    )
+
+    def joined(side: str):
+        return F.when(~F.exists(side, lambda p: p["text"].isNull()), F.array_join(F.transform(side, lambda p: p["text"]), ""))
+
+    return x.filter("first is not null").withColumns({"request": joined("sent"), "reply": joined("got")})
+
+
+def _line(text):
+    return F.substring_index(text, CRLF, 1)
+
+
+def _after_line(text):
+    return F.when(F.instr(text, CRLF) > 0, F.substr(text, F.instr(text, CRLF) + 2)).otherwise("")
+
+
+def key_value_requests(packets: DataFrame, server_port: str = "11211", order=("ts", "pos"), block=None) -> DataFrame:
+    """Requests of a key-value text protocol with their answers; one without answer before the next is INTERRUPTED."""
+    x = _sides(packets, server_port, list(order), block, KEY_VALUE_OPENING)
+    asked = F.split(F.trim(_line(F.col("first.text"))), " +")
+    said = F.split(F.trim(_line(F.col("reply"))), " +")
+    x = x.withColumns({"asked": asked, "said": said, "cmd": F.lower(F.get(asked, F.lit(0))), "word": F.get(said, F.lit(0)), "body": _after_line(F.col("reply"))})
+    stored, found = F.col("cmd").isin(*STORE_COMMANDS), F.col("word") == "VALUE"
+    counted = F.col("cmd").isin(*COUNT_COMMANDS) & F.col("word").rlike(r"\A\d+\z")
+    no_answer = F.col("answered").isNull()
+
+    def argument(words: str, at: int):
+        return F.get(F.col(words), F.lit(at))
+
+    size = F.when(stored, argument("asked", 4)).when(found, argument("said", 3)).otherwise("0").try_cast("long")
+    x = x.withColumn("bytes", F.coalesce(size, F.lit(0)))
+    body = F.when(stored, F.substr(_after_line(F.col("request")), F.lit(1), F.col("bytes").cast("int")))
+    val = F.when(no_answer, F.lit("")).when(counted, F.col("word")).when(found, F.substr(F.col("body"), F.lit(1), F.col("bytes").cast("int"))).otherwise(F.when(stored, body).otherwise(""))
+    res = F.when(no_answer, "INTERRUPTED").when(counted, "").when(F.col("word") == "END", "NOT_FOUND").otherwise(F.col("word"))
+    until = F.when(no_answer, F.col("cut_off")).when(found, F.col("ended")).otherwise(F.col("answered"))
+    return x.filter(~no_answer | F.col("cut_off").isNotNull()).select(
+        "client", F.col("first.src_host").alias("host"), "first.pos", "first.ts", "cmd", argument("asked", 1).alias("key"), val.alias("val"), res.alias("res"),
+        F.coalesce(F.when(stored, argument("asked", 2)).when(found, argument("said", 2)), F.lit("0")).alias("flags"),
+        F.coalesce(F.when(stored, argument("asked", 3)), F.lit("0")).alias("exptime"), "bytes", _seconds(F.col("first.ts"), until).alias("Query_time"),
+    )
+
+
+def http_requests(packets: DataFrame, server_port: str = "80", order=("ts", "pos"), block=None) -> DataFrame:
+    """GET and POST requests whose replies came whole, judged by lengths; replies may arrive out of order."""
+    x = _sides(packets, server_port, list(order), block, None)
+    ask, head = F.split(_line(F.col("first.text")), " +"), F.filter("got", lambda p: p["text"].startswith("HTTP/"))
+    x = x.withColumns({"ask": ask, "head": F.get(head, F.lit(0))["text"]})
+    header = F.substring_index("head", CRLF + CRLF, 1)
+    host = F.regexp_extract(_after_line(F.substring_index(F.col("first.text"), CRLF + CRLF, 1)), HTTP_HOST, 1)
+    size = F.coalesce(F.regexp_extract(header, HTTP_LENGTH, 1).try_cast("long"), F.lit(0))
+    have = F.aggregate("got", F.lit(0).cast("long"), lambda n, p: n + p["data_len"]) - F.length(header) - 4
+    verb = F.lower(F.get("ask", F.lit(0)))
+    x = x.filter(verb.isin(*HTTP_VERBS) & F.col("head").isNotNull() & (F.size("ask") >= 2)).withColumns({"host_name": host, "size": size, "have": have})
+    return x.filter("have >= size").select(
+        "client", F.col("first.src_host").alias("host"), "first.pos", "first.ts", F.concat(verb, F.lit(" "), "host_name", F.get("ask", F.lit(1))).alias("arg"),
+        F.nullif("host_name", F.lit("")).alias("Virtual_host"), F.get(F.split(_line(F.col("head")), " +"), F.lit(1)).alias("Status_code"), F.col("size").alias("bytes"),
+        _seconds(F.col("first.ts"), F.col("answered")).alias("Query_time"), _seconds(F.col("answered"), F.col("ended")).alias("Transmit_time"),
+    )

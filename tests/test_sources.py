@@ -182,7 +182,7 @@ def test_packets_and_key_value_pairs(spark, write):
     p = packets.read_packet_text(spark, write(text))
     first = p.orderBy("pos").first()
     assert (first.src_host, first.src_port, first.dst_port, first.data_len, first.complete) == ("10.0.0.1", "4000", "11211", 12, True)
-    got = {(r.cmd, r.key): (r.res, r.val, round(r.Query_time, 3)) for r in packets.pair_requests(p, "key-value").collect()}
+    got = {(r.cmd, r.key): (r.res, r.val, round(r.Query_time, 3)) for r in packets.key_value_requests(p).collect()}
     assert got == {
         ("get", "my_key"): ("VALUE", "Some val", 0.9), ("get", "gone"): ("NOT_FOUND", "", 0.25), ("set", "k"): ("STORED", "1234567890", 0.2),
         ("get", "lost"): ("INTERRUPTED", "", 1.0), ("incr", "n"): ("", "8", 0.5)}
@@ -196,10 +196,23 @@ def test_http_pairs(spark, write):
         packet(d + "0.200000", s, c, 2, "56789"), packet(d + "0.300000", s, c, 1, "HTTP/1.1 200 OK\r\nContent-Length: 10\r\n\r\n01234"),
         packet(d + "1.000000", c, s, 3, "HEAD /skip HTTP/1.1\r\n\r\n"), packet(d + "1.100000", s, c, 3, "HTTP/1.1 404 NO\r\n\r\n"),
     ])
-    r = packets.pair_requests(packets.read_packet_text(spark, write(text)), "http").collect()
+    r = packets.http_requests(packets.read_packet_text(spark, write(text))).collect()
     assert [(x.arg, x.Status_code, x.bytes, round(x.Query_time, 3), round(x.Transmit_time, 3)) for x in r] == [("get x.org/a?b=1", "200", 10, 0.2, 0.1)]
 
 
+def test_bad_packets_give_nulls(spark):
+    schema = "ts string, pos long, seq long, src_host string, src_port string, dst_host string, dst_port string, data_len long, data string"
+    client, server = ("10.0.0.1", "4000", "10.0.0.2", "11211"), ("10.0.0.2", "11211", "10.0.0.1", "4000")
+    hexed = lambda t: t.encode().hex()
+    rows = [
+        ("2024-01-01 10:00:00", 1, 1, *client, 5, "abc0z"), ("2024-01-01 10:00:01", 2, 1, *server, 5, hexed("END\r\n")),
+        ("2024-01-01 10:00:02", 3, 2, *client, 9, hexed("set k 0 0 many\r\nx\r\n")), ("2024-01-01 10:00:03", 4, 2, *server, 8, hexed("STORED\r\n")),
+        ("no time", 5, 3, *client, 9, hexed("get a\r\n")), ("2024-01-01 10:00:05", 6, 3, *server, 9, "6"),
+    ]
+    got = packets.key_value_requests(spark.createDataFrame(rows, schema), order=("pos",), block=F.lit(0)).orderBy("pos").collect()
+    assert [(r.cmd, r.res, r.bytes, r.Query_time) for r in got] == [(None, "NOT_FOUND", 0, 1.0), ("set", "STORED", 0, 1.0), ("get", "\x06", 0, None)]
+
+
 STATUS = """Mutex spin waits 0, rounds 265, OS waits 88
 RW-shared spins 2442, OS waits 1219; RW-excl spins 4, OS waits 3
 Trx id counter 861B144C

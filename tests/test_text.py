@@ -3,7 +3,6 @@ from conftest import one
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text
-from fleetlens.functions.diff import unified_diff
 
 FINGERPRINTS = [
     ("SELECT /*!40001 SQL_NO_CACHE */ * FROM `t`", "mysqldump"),
@@ -111,10 +110,3 @@ def test_small_functions(spark):
     assert one(spark, "ENGINE=InnoDB AUTO_INCREMENT=79 DEFAULT", text.strip_auto_increment) == "ENGINE=InnoDB DEFAULT"
     found = one(spark, "SELECT 1 /* file: a, line: 2, file: b */", lambda c: text.embedded_attributes(c, r"/\*.*\*/", r"(\w+): (\w+)"))
     assert found == {"file": "b", "line": "2"}
-
-
-def test_unified_diff(spark):
-    df = spark.createDataFrame([("a\nb\nc", "a\nx\nc"), (None, "n"), ("s", "s")], "o string, n string")
-    out = [r[0] for r in df.select(unified_diff("o", "n")).collect()]
-    assert out[0] == "--- old\n+++ new\n@@ -1,3 +1,3 @@\n a\n-b\n+x\n c"
-    assert out[1].endswith("+n") and out[2] == ""
