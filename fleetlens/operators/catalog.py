@@ -302,9 +302,3 @@ def counter_deltas(samples: DataFrame, keys: list[str], ts: str, value: str, blo
     """Difference of each counter to its previous sample, NULL for the first."""
     x = ordered.previous(samples, [ts, value], [ts], block, keys)
     return x.withColumn("delta", F.col(value) - F.col(f"prev_{value}")).drop(f"prev_{ts}", f"prev_{value}")
-
-
-def previous_by_window(rows: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
-    """Plain ``lag`` for keys known to be short (one object's versions, a few runs)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumns({f"prev_{c}": F.lag(c).over(w) for c in cols})

@@ -218,8 +218,6 @@ def top_classes(classes: DataFrame, order_by: str, class_id: str, total_limit: f
         head = head.withColumn("_before", before)
         top = head if no_limit else head.filter((F.col("_before") < limit) | (limit == 0))
         chosen = top.select(class_id).withColumn("_top", F.lit(True))
-        # At most ``count_limit`` keys: small limits are worth a broadcast, others join by key.
-        chosen = F.broadcast(chosen) if count_limit <= 10_000 else chosen
         marked = ranked.join(chosen, class_id, "left")
         is_top = F.coalesce(F.col("_top"), F.lit(False))
     else:

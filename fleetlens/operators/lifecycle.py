@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import dates
+from fleetlens.operators import lineage
 
-
-# Fixed value: partitions a table can have at most.
-MAX_PARTITIONS = 8192
+#: Bounds that are looked up together.
+BOUNDS = 1024
 
 
 # --- range partitions ---------------------------------------------------------------
@@ -20,15 +20,18 @@ MAX_PARTITIONS = 8192
 def assign_partition(rows: DataFrame, partitions: DataFrame, value: str, bound: str = "bound", name: str = "name") -> DataFrame:
     """The range partition of each row: the first with ``value < bound`` (NULL bound is MAXVALUE).
 
-    The sorted bounds become one array by a scalar subquery, and each row finds
-    its place in it: no range join, no shuffle of the rows. A table has at most
-    8,192 partitions, which bounds that array.
+    A NULL value belongs to the lowest partition; a value beyond all bounds to none.
+    The sorted bounds are cut into blocks: a row finds its block among the blocks'
+    last bounds, meets it by an equality join and finds its place there.
     """
-    too_many = F.when(F.count(F.lit(1)) > MAX_PARTITIONS, F.raise_error(F.lit("more partitions than a table can have")).cast("boolean"))
-    listed = F.sort_array(F.collect_list(F.struct(F.col(bound).isNull().alias("open"), F.col(bound).alias("b"), F.col(name).alias("n"))))
-    bounds = partitions.agg(listed.alias("b"), too_many.alias("c")).filter("c is null").select("b").scalar()
-    fits = F.filter("_bounds", lambda p: p["open"] | (F.col(value) < p["b"]))
-    return rows.withColumn("_bounds", bounds).withColumn("partition", F.get(fits, F.lit(0))["n"]).drop("_bounds")
+    nth = F.row_number().over(Window.orderBy(F.col(bound).asc_nulls_last(), name)) - 1
+    one = F.struct(F.col(bound).isNull().alias("open"), F.col(bound).alias("b"), F.col(name).alias("n"))
+    blocks = partitions.select(F.floor(nth / BOUNDS).alias("_block"), one.alias("_p")).groupBy("_block").agg(F.sort_array(F.collect_list("_p")).alias("_bounds"))
+    ends = blocks.agg(F.sort_array(F.collect_list(F.struct("_block", F.element_at("_bounds", -1).alias("last"))))).scalar()
+    fits = lambda p: F.col(value).isNull() | p["open"] | (F.col(value) < p["b"])
+    x = rows.withColumn("_ends", ends).withColumn("_block", F.get(F.filter("_ends", lambda e: fits(e["last"])), F.lit(0))["_block"]).drop("_ends")
+    found = x.join(blocks, "_block", "left").withColumn("partition", F.get(F.filter("_bounds", fits), F.lit(0))["n"])
+    return found.select(*rows.columns, "partition")
 
 
 def plan_partitions(partitions: DataFrame, end: str, interval: str, prefix: str = "p", limit: int | None = None,
@@ -40,12 +43,16 @@ def plan_partitions(partitions: DataFrame, end: str, interval: str, prefix: str
     (keys, cnt) makes the plan fail when MAXVALUE holds data, unless forced.
     """
     step = F.expr(f"interval {interval}")
-    number = F.regexp_extract("name", rf"\A{prefix}(\d+)\z", 1).try_cast("int")
+    # The last bounded partition must fit the prefix, and there must be one.
+    number = F.regexp_extract("name", rf"\A\Q{prefix}\E(\d+)\z", 1).try_cast("int")
+    number = F.when(number.isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit("the name does not fit the prefix: "), "name")).cast("int"))
     last = partitions.groupBy(*keys).agg(
         F.max("bound").alias("_last"),
-        F.max_by(number, F.when(F.col("bound").isNotNull(), F.col("bound"))).alias("_n"),
+        F.max_by("name", F.when(F.col("bound").isNotNull(), F.col("bound"))).alias("name"),
         F.bool_or(F.col("bound").isNull()).alias("reorganize"),
     )
+    none = F.raise_error(F.lit("no partition with a bound to go on from")).cast("date")
+    last = last.withColumns({"_last": F.when(F.col("_last").isNotNull(), F.col("_last").cast("date")).otherwise(none), "_n": number})
     if maxvalue_rows is not None and not force:
         if keys:
             last = last.join(maxvalue_rows, list(keys), "left")
@@ -94,12 +101,17 @@ def purge_older(rows: DataFrame, ts: str, retention: str, now) -> DataFrame:
 
 
 def split_rows(rows: DataFrame, condition: str, limit: int | None = None, order=()) -> tuple[DataFrame, DataFrame]:
-    """Rows matching a condition (at most ``limit``, in order) and the rest."""
+    """Rows matching a condition (at most ``limit``, in order, NULLs first) and the rest.
+
+    With a limit the rows are written once with a number each, so that equal rows
+    and NULLs in the order are told apart: every row is on one side exactly.
+    """
     hit = F.coalesce(F.expr(condition), F.lit(False))
     if limit is None:
         return rows.filter(hit), rows.filter(~hit)
-    picked = rows.filter(hit).orderBy(*order).limit(limit)
-    return picked, rows.join(picked.select(*order), list(order), "left_anti")
+    numbered = lineage.written(rows.withColumn("_row", F.monotonically_increasing_id()), "archive")
+    picked = lineage.written(numbered.filter(hit).orderBy(*order, "_row").limit(limit).select("_row"), "archived")
+    return numbered.join(picked, "_row", "left_semi").select(*rows.columns), numbered.join(picked, "_row", "left_anti").select(*rows.columns)
 
 
 def archive_by_name_age(tables: DataFrame, name: str, pattern: str, retention: str, now) -> DataFrame:
@@ -122,15 +134,18 @@ def rotation_plan(tables: DataFrame, existing: DataFrame, name: str, date, patte
 def prune(parents: DataFrame, children: list[tuple[DataFrame, str]], key: str, keep: int) -> tuple[DataFrame, list[DataFrame]]:
     """Keep the first ``keep`` parents by key; children of dropped parents go, orphans stay.
 
-    The cut is one key (a top-k, one task holds ``keep`` keys at most), so big
-    tables are filtered, not joined: nothing is shuffled.
+    The cut is one key, from a top-k of ``keep`` keys. Parents of equal keys at the
+    cut all stay; a parent without a key is no one's parent and stays too. With
+    ``keep`` 0 every parent with a key goes.
     """
-    head = parents.select(key).orderBy(key).limit(keep)
-    last = head.agg(F.max(key)).scalar()
-    kept = parents.filter(F.col(key) <= last)
+    if keep <= 0:
+        kept, gone = parents.filter(F.col(key).isNull()), parents.filter(F.col(key).isNotNull())
+    else:
+        last = parents.select(key).filter(F.col(key).isNotNull()).orderBy(key).limit(keep).agg(F.max(key)).scalar()
+        kept, gone = parents.filter(F.col(key).isNull() | (F.col(key) <= last)), parents.filter(F.col(key) > last)
     out = []
     for child, ref in children:
-        dropped = parents.filter(F.col(key) > last).select(F.col(key).alias(ref))
+        dropped = gone.select(F.col(key).alias(ref)).distinct()
         out.append(child.join(dropped, ref, "left_anti").select(*child.columns))
     return kept, out
 
@@ -144,19 +159,22 @@ def children_by_column(columns: DataFrame, parent: str, key: str) -> DataFrame:
 def merge_sources(sources: list[DataFrame], key: list[str], on_conflict: str = "ignore") -> DataFrame:
     """Union of several copies of a table; on equal keys the first source wins, or the job fails.
 
-    One partial aggregate per key, so a key repeated many times combines map side.
+    Of equal keys inside one source the least row stays. A row with a NULL in its key
+    equals no other and is passed on. One partial aggregate per key, so a key repeated
+    many times combines map side.
     """
     tagged = [s.withColumn("_src", F.lit(i)) for i, s in enumerate(sources)]
     x = reduce(lambda a, b: a.unionByName(b), tagged)
     cols = sources[0].columns
     rest = [c for c in cols if c not in key]
-    agg = x.groupBy(*key).agg(F.min_by(F.struct(*rest), "_src").alias("_r"), F.count(F.lit(1)).alias("_n"))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    agg = x.filter(whole).groupBy(*key).agg(F.min(F.struct("_src", *rest)).alias("_r"), F.count(F.lit(1)).alias("_n"))
     if on_conflict == "die":
         clash = F.raise_error(F.concat(F.lit("duplicate key: "), F.to_json(F.struct(*key)))).cast("bigint")
         agg = agg.withColumn("_n", F.when(F.col("_n") > 1, clash).otherwise(F.col("_n"))).filter("_n >= 0")
     elif on_conflict != "ignore":
         raise ValueError("on_conflict is 'ignore' or 'die'")
-    return agg.select(*key, "_r.*").select(*cols)
+    return agg.select(*key, "_r.*").select(*cols).unionByName(x.filter(~whole).select(*cols))
 
 
 def without_foreign_keys(tables: DataFrame, foreign_keys: DataFrame) -> DataFrame:
@@ -197,10 +215,12 @@ def unreviewed(classes: DataFrame, review: DataFrame) -> DataFrame:
 
 
 def apply_review_marks(review: DataFrame, marks: DataFrame) -> DataFrame:
-    """Take over reviewer, comment and time of newer marks."""
-    m = marks.select("checksum", *[F.col(c).alias(f"_{c}") for c in ("reviewed_by", "reviewed_on", "comments")])
-    x = review.join(m, "checksum", "left")
-    new = {c: F.coalesce(f"_{c}", c) for c in ("reviewed_by", "reviewed_on", "comments")}
+    """Take over reviewer, comment and time of each class's newest mark, where it is not older than the review."""
+    names = ("reviewed_by", "reviewed_on", "comments")
+    newest = F.max(F.struct("reviewed_on", "reviewed_by", "comments")).alias("_m")
+    x = review.join(marks.groupBy("checksum").agg(newest), "checksum", "left")
+    newer = F.col("_m").isNotNull() & (F.col("reviewed_on").isNull() | F.coalesce(F.col("_m.reviewed_on") >= F.col("reviewed_on"), F.lit(False)))
+    new = {c: F.when(newer, F.coalesce(f"_m.{c}", c)).otherwise(F.col(c)) for c in names}
     return x.withColumns(new).select(*review.columns)
 
 
@@ -217,8 +237,14 @@ def history_rows(metrics: DataFrame, checksum: str, attributes: list[str], ts_mi
 
 
 def replace_history(history: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """History with rows of equal keys replaced."""
-    return history.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+    """History with rows of equal keys replaced; NULLs in keys are equal."""
+    return _absent(history, rows, keys).unionByName(rows, allowMissingColumns=True)
+
+
+def _absent(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not known; NULLs are equal."""
+    other = known.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
+    return rows.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys]), "left_anti")
 
 
 def merge_hosts(known: DataFrame, seen: DataFrame) -> DataFrame:
@@ -240,8 +266,16 @@ def host_rows(events: DataFrame, checksum: str, source_ip: str, destination_ip:
 
 
 def insert_if_absent(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows and those new rows whose keys are not there yet."""
-    fresh = rows.join(existing.select(*keys), keys, "left_anti")
+    """Existing rows and those new rows whose keys are not there yet; NULLs in keys are equal.
+
+    Of new rows with equal keys the least one is inserted.
+    """
+    rest = [c for c in existing.columns if c not in keys]
+    fresh = _absent(rows.select(*existing.columns), existing, keys)
+    if rest:
+        fresh = fresh.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+    else:
+        fresh = fresh.distinct()
     return existing.unionByName(fresh.select(*existing.columns))
 
 

@@ -6,7 +6,7 @@ report over a class table; nothing is kept in executor memory or on their disks.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's checkpoint directory.
 
-    Only where the session names none, as in tests, a local folder is made.
+    A session in one process that names none uses its warehouse; on a cluster the
+    setting is needed, since no other folder is known to be shared.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetlens-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -6,9 +6,10 @@ does not depend on partitioning, retries or the number of executors.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators import ordered
@@ -44,10 +45,10 @@ class MaskSpec:
     routine: str | None = None
 
 
-def hash_text(length: Column, *keys: Column, alphabet: str = ALPHABET, longest: int = 64) -> Column:
+def hash_text(length: Column, *keys: Column, alphabet: str = ALPHABET) -> Column:
     """Text of a given length whose letters are hashes of the keys and the place."""
     letters = F.array(*[F.lit(c) for c in alphabet])
-    n = F.least(length, F.lit(longest)).cast("int")
+    n = length.cast("int")
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return F.array_join(
         F.transform(places, lambda i: F.element_at(letters, (F.pmod(F.xxhash64(*keys, i), F.lit(len(alphabet))) + 1).cast("int"))), ""
@@ -96,25 +97,35 @@ def mask(df: DataFrame, specs: dict[str, MaskSpec], key: list[str], seed: int =
     return df.withColumns({c: mask_column(c, s, key, seed, rank) for c, s in specs.items()})
 
 
-def mask_unique(df: DataFrame, column: str, key: list[str], seed: int = 0, length: int = 12, rounds: int = 3) -> DataFrame:
-    """Random text that stays unique: colliding rows are hashed again with another salt.
+def mask_unique(df: DataFrame, column: str, key: list[str], seed: int = 0, length: int = 12) -> DataFrame:
+    """Text of ``length`` letters that no other row has, or of as many as it takes to give each row its own.
 
-    Only the smallest key of each colliding group keeps its text, so every round
-    leaves strictly fewer collisions; the last round appends the key's own hash
-    and rank, which cannot collide.
+    Rows are numbered by the hash of their key, block by block; a number is
+    scattered by a multiplier without a common factor with the number of texts
+    and written in letters. Every row of a table follows this one rule.
     """
-    salted = df.withColumn("_salt", F.lit(0))
-    for r in range(rounds):
-        text = hash_text(F.lit(length), *[F.col(k) for k in key], F.lit(column), F.lit(seed), F.col("_salt"))
-        w = Window.partitionBy("_text").orderBy(*key)
-        salted = salted.withColumn("_text", text)
-        again = F.when(F.row_number().over(w) > 1, F.lit(r + 1)).otherwise(F.col("_salt"))
-        salted = salted.withColumn("_salt", again)
-    text = hash_text(F.lit(length), *[F.col(k) for k in key], F.lit(column), F.lit(seed), F.col("_salt"))
-    w = Window.partitionBy("_text").orderBy(*key)
-    final = salted.withColumn("_text", text).withColumn("_n", F.row_number().over(w))
-    unique = F.when(F.col("_n") == 1, F.col("_text")).otherwise(F.concat("_text", F.lit("-"), F.col("_n").cast("string")))
-    return final.withColumn(column, unique).drop("_text", "_n", "_salt")
+    base, places, n = len(ALPHABET), min(length, 10), df.count()
+    while base**places < n:
+        places += 1
+    texts, length = base**places, max(length, places)
+    x = df.withColumns({"_at": F.xxhash64(*key, F.lit(seed)), "_one": F.lit(1).cast("long")})
+    x = ordered.running_sum(x, {"_row": F.col("_one")}, ["_at", *key], F.shiftright("_at", 44), include_current=False)
+    factor, offset = _scatter(texts, seed)
+    whole = "decimal(19,0)"
+    scattered = F.pmod(F.col("_row").cast(whole) * F.lit(factor).cast(whole) + F.lit(offset).cast(whole), F.lit(texts).cast(whole)).cast("long")
+    letters = F.array(*[F.lit(c) for c in ALPHABET])
+    unique = F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(places - 1)), lambda i: F.element_at(letters, (F.pmod(F.floor(F.col("_n") / F.element_at(F.array(*[F.lit(base**k) for k in range(places)]), i + 1)), F.lit(base)) + 1).cast("int"))), "")
+    rest = hash_text(F.lit(length - places), *[F.col(k) for k in key], F.lit(column), F.lit(seed)) if length > places else F.lit("")
+    return x.withColumn("_n", scattered).withColumn(column, F.concat(unique, rest)).select(*df.columns)
+
+
+def _scatter(texts: int, seed: int) -> tuple[int, int]:
+    """A multiplier without a common factor with ``texts``, and an offset."""
+    factor = ((seed * 2_654_435_761 + texts // 3 + 40_503) % texts) | 1
+    while math.gcd(factor, texts) > 1:
+        factor += 2
+    return factor, (seed * 97 + 12_345) % texts
 
 
 # --- synthetic tables -----------------------------------------------------------------
@@ -140,13 +151,13 @@ def synthetic_table(ids: DataFrame, spec: dict[str, tuple], seed: int, id_col: s
         elif kind == "integer":
             out[name] = _spread(0, args[0] if args else 2**31 - 1, *keys)
         elif kind == "varchar":
-            out[name] = hash_text(_spread(1, args[0], *keys, F.lit("n")), *keys, longest=args[0])
+            out[name] = hash_text(_spread(1, args[0], *keys, F.lit("n")), *keys)
         elif kind == "timestamp":
             out[name] = F.timestamp_seconds(_spread(0, 1_300_000_000, *keys))
         elif kind == "words":
             count = _spread(1, args[0], *keys, F.lit("n")).cast("int")
             out[name] = F.array_join(
-                F.transform(F.sequence(F.lit(1), count), lambda i: hash_text(_spread(1, 10, *keys, i), *keys, i, longest=10)), " "
+                F.transform(F.sequence(F.lit(1), count), lambda i: hash_text(_spread(1, 10, *keys, i), *keys, i)), " "
             )
         elif kind in ("linear_integer", "linear_timestamp"):
             sums[name] = _spread(0, args[0] if args else 10, *keys)

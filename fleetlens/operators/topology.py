@@ -22,11 +22,6 @@ def missing_references(children: DataFrame, parents: DataFrame, child_key: str,
     return gone.select(F.lit(rule).alias("rule"), *[c for c in children.columns])
 
 
-def membership_mismatches(claims: DataFrame, members: DataFrame, keys: list[str], rule: str) -> DataFrame:
-    """Claims (child says it belongs) that the parent's member list does not confirm."""
-    return claims.select(*keys).distinct().join(members.select(*keys), keys, "left_anti").select(F.lit(rule).alias("rule"), *keys)
-
-
 def referential_violations(servers: DataFrame, clusters: DataFrame) -> DataFrame:
     """All broken rules between servers and clusters: (rule, server, cluster).
 
@@ -68,13 +63,14 @@ def hosts_for(servers: DataFrame, role: str, cluster: str | None = None) -> Data
 
 
 def backup_chain(backups: DataFrame, key: str = "backup_directory", last: str = "last_backup", level: str = "backup_level",
-                 group: list[str] = (), max_rounds: int = 40) -> DataFrame:
+                 group: list[str] = ()) -> DataFrame:
     """The full backup each backup rests on, by following ``last`` until level 0.
 
     Every round doubles the distance (pointer jumping), so the number of joins is
-    the logarithm of the longest chain. Rounds are written out, and only rows
-    still under way go into the next. A chain without a full backup (or one in a
-    circle) has ``complete`` false and a NULL ``full_backup``.
+    the logarithm of the longest chain. Only rows still under way go into the next
+    round and are written again. No chain is longer than the number of rows: who is
+    under way after so many steps is in a circle. A chain without a full backup (or
+    one in a circle) has ``complete`` false and a NULL ``full_backup``.
     """
     g = list(group)
     full = F.col(level) == 0
@@ -83,15 +79,22 @@ def backup_chain(backups: DataFrame, key: str = "backup_directory", last: str =
         F.when(full, 0).otherwise(1).alias("steps"), F.when(full, True).when(F.col(last).isNull(), False).alias("complete"),
     )
     cur = lineage.written(cur, "backup-chain")
-    for _ in range(max_rounds):
-        going = cur.filter("complete is null")
-        if going.isEmpty():
-            break
-        ahead = cur.select(*g, F.col("backup").alias("_to"), F.col("_to").alias("_far"), F.col("steps").alias("_more"), F.col("complete").alias("_done"), F.lit(True).alias("_known"))
-        moved = going.join(ahead, [*g, "_to"], "left").select(
+    ended, left, reached = [cur.filter("complete is not null")], cur.filter("complete is null"), 1
+    going = left.count()
+    most = backups.count() if going else 0
+    ahead = cur.select(*g, F.col("backup").alias("_to"), F.col("_to").alias("_far"), F.col("steps").alias("_more"), F.col("complete").alias("_done"), F.lit(True).alias("_known"))
+    while going and reached <= most:
+        moved = left.join(ahead, [*g, "_to"], "left").select(
             *g, "backup", F.col("_far").alias("_to"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
             F.when(F.col("_known").isNull(), False).otherwise(F.col("_done")).alias("complete"),
         )
-        cur = lineage.written(cur.filter("complete is not null").unionByName(moved), "backup-chain")
+        moved = lineage.written(moved, "backup-chain")
+        ended.append(moved.filter("complete is not null"))
+        left = moved.filter("complete is null")
+        # Rows that ended stay where others may meet them.
+        done = reduce(lambda a, b: a.unionByName(b), ended)
+        ahead = done.unionByName(left).select(*g, F.col("backup").alias("_to"), F.col("_to").alias("_far"), F.col("steps").alias("_more"), F.col("complete").alias("_done"), F.lit(True).alias("_known"))
+        going, reached = left.count(), reached * 2
+    cur = reduce(lambda a, b: a.unionByName(b), [*ended, left])
     ok = F.coalesce("complete", F.lit(False))
     return cur.select(*g, "backup", F.when(ok, F.col("_to")).alias("full_backup"), F.when(ok, F.col("steps")).alias("steps"), ok.alias("complete"))

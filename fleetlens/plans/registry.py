@@ -18,16 +18,6 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table for work that is heavy per row.
-
-        Files with fewer splits than cores would leave cores idle, so their rows
-        are dealt out once; a table of many splits is read as it is.
-        """
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -33,7 +33,7 @@ SHAPES = ["l_linenumber = 1", "l_linenumber = 2", "l_linenumber = 3", "l_linenum
 
 
 def statements(t: Tables):
-    return t.spread("lineitem").select(*ID.split(", "), F.expr(STATEMENT).alias("sql"))
+    return t.lineitem.select(*ID.split(", "), F.expr(STATEMENT).alias("sql"))
 
 
 def per_shape(name: str, *expected: str) -> str:
@@ -121,7 +121,7 @@ def shorten_statement(t: Tables):
     ids = F.array_join(
         F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: k.cast("string")), ", "
     )
-    q = t.spread("orders").groupBy(F.floor(F.col("o_orderkey") / 30).alias("grp")).agg(
+    q = t.orders.groupBy(F.floor(F.col("o_orderkey") / 30).alias("grp")).agg(
         F.concat(F.lit("SELECT * FROM orders WHERE id IN ("), ids, F.lit(")")).alias("sql")
     )
     return q.select("grp", text.shorten("sql", 60).alias("short"))
@@ -135,7 +135,7 @@ def shorten_insert(t: Tables):
         F.lit("INSERT INTO t VALUES ("), F.col("l_partkey").cast("string"), F.lit(", 1), (2, 3), (4, 5) "),
         F.when(F.col("l_linenumber") % 2 == 0, F.lit("ON DUPLICATE KEY UPDATE a = 1")).otherwise(F.lit("")),
     )
-    return t.spread("lineitem").select(*ID.split(", "), text.shorten(sql, 0).alias("short"))
+    return t.lineitem.select(*ID.split(", "), text.shorten(sql, 0).alias("short"))
 
 
 FP_STEPS = [
@@ -158,34 +158,34 @@ def fp_sql(col: str) -> str:
 WITH f AS (SELECT doc_id, {fp_sql('text')} AS fp FROM documents)
 SELECT doc_id, length(fp) AS fp_length, upper(right(md5(fp), 16)) AS class_id FROM f""")
 def document_classes(t: Tables):
-    d = t.spread("documents").select("doc_id", text.fingerprint("text").alias("fp"))
+    d = t.documents.select("doc_id", text.fingerprint("text").alias("fp"))
     return d.select("doc_id", F.length("fp").cast("long").alias("fp_length"), text.class_id("fp").alias("class_id"))
 
 
 @query("document_class_counts", f"""
 SELECT upper(right(md5({fp_sql('text')}), 16)) AS class_id, count(*) AS cnt, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1""")
 def document_class_counts(t: Tables):
-    d = t.spread("documents").select(text.class_id(text.fingerprint("text")).alias("class_id"), "n_chars")
+    d = t.documents.select(text.class_id(text.fingerprint("text")).alias("class_id"), "n_chars")
     return d.groupBy("class_id").agg(F.count(F.lit(1)).alias("cnt"), F.sum("n_chars").alias("chars"))
 
 
 @query("conversation_classes", f"""
 SELECT upper(right(md5({fp_sql('text')}), 16)) AS class_id, role, count(*) AS cnt FROM conversations GROUP BY 1, 2""")
 def conversation_classes(t: Tables):
-    c = t.spread("conversations").select(text.class_id(text.fingerprint("text")).alias("class_id"), "role")
+    c = t.conversations.select(text.class_id(text.fingerprint("text")).alias("class_id"), "role")
     return c.groupBy("class_id", "role").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query("strip_comments", r"""
 SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?:--|#)[^''"\r\n]*([\r\n]|\z)', '\1', 'g'), '(?s)/\*[^!].*?\*/', '', 'g')) AS h FROM documents""")
 def strip_comments(t: Tables):
-    return t.spread("documents").select("doc_id", F.md5(text.strip_comments("text")).alias("h"))
+    return t.documents.select("doc_id", F.md5(text.strip_comments("text")).alias("h"))
 
 
 @query("clean_query", r"""
 SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '/\*.*?\*/', ' ', 'g'), '\A[\s\v]+', '', 'g'), '[\s\v]+\z', '', 'g'), '[\s\v]{2,}', ' ', 'g')) AS h FROM documents""")
 def clean_query(t: Tables):
-    return t.spread("documents").select("doc_id", F.md5(text.clean_query("text")).alias("h"))
+    return t.documents.select("doc_id", F.md5(text.clean_query("text")).alias("h"))
 
 
 @query("derived_tables", r"""

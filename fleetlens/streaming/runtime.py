@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from fleetlens.operators.lineage import shared_dir  # noqa: F401
 
@@ -28,8 +28,24 @@ def latest_rows(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select(*keys, "_r.*")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped because they came after the watermark, over the recent progress."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows of every query that came after its watermark, from the first batch on."""
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        ident = str(event.progress.id)
+        self.dropped[ident] = self.dropped.get(ident, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def rows(self, query: StreamingQuery) -> int:
+        return self.dropped.get(str(query.id), 0)

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,9 +42,18 @@ def test_late_rows_are_counted(spark, tmp_path):
     schema = "k string, ts timestamp, v double"
     parts = [[("a", T0 + dt.timedelta(hours=h), 1.0)] for h in (0, 10, 20)] + [[("a", T0, 5.0)]]
     stream = batches(spark, str(tmp_path), parts, schema)
-    q = runtime.append_batches(sdigest.windowed_buckets(stream, ["k"], "v", "ts", "1 hour", "1 hour"), str(tmp_path / "o"), "update")
-    q.awaitTermination()
-    assert runtime.late_rows(q) == 1
+    late = runtime.LateRows()
+    spark.streams.addListener(late)
+    try:
+        q = runtime.append_batches(sdigest.windowed_buckets(stream, ["k"], "v", "ts", "1 hour", "1 hour"), str(tmp_path / "o"), "update")
+        q.awaitTermination()
+        for _ in range(100):  # events come after the batch
+            if late.rows(q):
+                break
+            time.sleep(0.1)
+        assert late.rows(q) == 1
+    finally:
+        spark.streams.removeListener(late)
 
 
 def test_samples_and_watches_by_batch(spark, tmp_path):

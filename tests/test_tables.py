@@ -145,8 +145,11 @@ def test_masks(spark):
     one = masking.mask(mail, {"m": masking.MaskSpec(masking.PATTERNS["email"])}, ["id"], seed=3)
     two = masking.mask(mail.repartition(9), {"m": masking.MaskSpec(masking.PATTERNS["email"])}, ["id"], seed=3)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
-    uniq = masking.mask_unique(mail, "m", ["id"], length=1)
-    assert uniq.select("m").distinct().count() == 500
+    for wanted, letters in ((1, 2), (2, 2), (12, 12), (100, 100)):
+        uniq = masking.mask_unique(mail, "m", ["id"], length=wanted)
+        assert uniq.select("m").distinct().count() == 500 and {len(r.m) for r in uniq.collect()} == {letters}
+    long = spark.range(20).withColumn("m", F.concat(F.repeat(F.lit("u"), 300), F.lit("@x.org")))
+    assert max(len(r.m) for r in masking.mask(long, {"m": masking.MaskSpec(masking.PATTERNS["email"])}, ["id"], seed=3).collect()) > 100
     spark.udf.register("shout", lambda x: x.upper())
     assert masking.mask(df.filter("id = 2"), {"name": masking.MaskSpec(routine="shout")}, ["id"]).first().name == "CHER"
 
@@ -187,3 +190,48 @@ def test_latency_and_merge(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "name string, value double")
     b = spark.createDataFrame([("y", 9.0)], "name string, value double")
     assert sorted(map(tuple, reports.merge_metrics(a, b, ["name"]).collect())) == [("x", 1.0), ("y", 9.0)]
+
+
+def test_rows_are_on_one_side_exactly(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, 5), (4, 5), (4, 5), (5, 7)], "id int, at int")
+    gone, kept = lc.split_rows(rows, "id > 0", 3, ["at"])
+    assert sorted(r.id for r in gone.collect()) == [1, 2, 3] and sorted(r.id for r in kept.collect()) == [4, 4, 5]
+
+
+def test_null_and_repeated_keys(spark):
+    schema = "k int, v string"
+    a, b = spark.createDataFrame([(None, "a"), (None, "b"), (1, "z"), (1, "y")], schema), spark.createDataFrame([(1, "c"), (None, "d"), (2, "e")], schema)
+    assert sorted(map(str, lc.merge_sources([a, b], ["k"]).collect())) == sorted(f"Row(k={k}, v='{v}')" for k, v in ((None, "a"), (None, "b"), (None, "d"), (1, "y"), (2, "e")))
+    have, new = spark.createDataFrame([(None, "a"), (1, "b")], schema), spark.createDataFrame([(None, "x"), (1, "y"), (3, "q"), (3, "p")], schema)
+    assert {(r.k, r.v) for r in lc.insert_if_absent(have, new, ["k"]).collect()} == {(None, "a"), (1, "b"), (3, "p")}
+    assert {(r.k, r.v) for r in lc.replace_history(have, new.filter("v <> 'p'"), ["k"]).collect()} == {(None, "x"), (1, "y"), (3, "q")}
+    parents, kids = spark.createDataFrame([(None,), (1,), (2,)], "id int"), spark.createDataFrame([(1,), (2,), (9,), (None,)], "ref int")
+    for keep, left, children in ((0, {None}, {9, None}), (1, {None, 1}, {1, 9, None}), (5, {None, 1, 2}, {1, 2, 9, None})):
+        kept, (out,) = lc.prune(parents, [(kids, "ref")], "id", keep)
+        assert {r.id for r in kept.collect()} == left and {r.ref for r in out.collect()} == children
+
+
+def test_newest_mark_is_taken_once(spark):
+    schema = "checksum int, reviewed_by string, reviewed_on timestamp, comments string"
+    day = lambda d: dt.datetime(2024, 1, d)
+    review = spark.createDataFrame([(1, "ann", day(5), None), (2, "ann", day(5), None), (3, None, None, None)], schema)
+    marks = spark.createDataFrame([(1, "bob", day(6), "b"), (1, "cy", day(7), "c"), (2, "bob", day(2), "old"), (3, "dee", None, None)], schema)
+    assert {r.checksum: r.reviewed_by for r in lc.apply_review_marks(review, marks).collect()} == {1: "cy", 2: "ann", 3: "dee"}
+
+
+def test_many_bounds_and_refusals(spark):
+    bounds = spark.range(9000).select((F.col("id") * 10 + 10).alias("bound"), F.concat(F.lit("p"), "id").alias("name"))
+    rows = spark.createDataFrame([(None,), (-5,), (9,), (10,), (89_999,), (90_000,)], "v long")
+    got = {r.v: r.partition for r in lc.assign_partition(rows, bounds, "v").collect()}
+    assert got == {None: "p0", -5: "p0", 9: "p0", 10: "p1", 89_999: "p8999", 90_000: None}
+    dated = spark.createDataFrame([("p1", "2024-01-01"), ("odd", "2024-02-01")], "name string, bound string").withColumn("bound", F.col("bound").cast("date"))
+    with pytest.raises(Exception, match="does not fit"):
+        lc.plan_partitions(dated, "2024-06-01", "1 month").collect()
+    with pytest.raises(Exception, match="no partition with a bound"):
+        lc.plan_partitions(dated.withColumn("bound", F.lit(None).cast("date")), "2024-06-01", "1 month").collect()
+
+
+def test_backups_in_a_circle(spark):
+    rows = [("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("f", None, 0)] + [(f"i{i}", f"i{i - 1}" if i else "f", 1) for i in range(50)]
+    got = {r.backup: (r.full_backup, r.steps) for r in topo.backup_chain(spark.createDataFrame(rows, "backup_directory string, last_backup string, backup_level int")).collect()}
+    assert got["a"] == got["b"] == got["c"] == (None, None) and got["i49"] == ("f", 50) and len(got) == 54
