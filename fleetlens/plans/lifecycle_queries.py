@@ -86,11 +86,15 @@ def purge_older(t: Tables):
 
 
 @query("archive_rows", """
-WITH a AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000 ORDER BY o_orderkey LIMIT 100)
-SELECT o_orderkey, o_orderkey IN (SELECT o_orderkey FROM a) AS archived FROM orders""")
+WITH o AS (SELECT o_orderkey, nullif(o_custkey % 10, 3) AS k, o_orderstatus = 'F' AND o_totalprice > 200000 AS hit FROM orders),
+a AS (SELECT *, hit AND row_number() OVER (PARTITION BY hit ORDER BY k NULLS FIRST, o_orderkey) <= 100 AS archived FROM o)
+SELECT archived, count(*) AS rows, count(DISTINCT o_orderkey) AS orders, count(*) - count(k) AS without_k, CAST(sum(k) AS BIGINT) AS sum_k FROM a GROUP BY 1""")
 def archive_rows(t: Tables):
-    gone, kept = lc.split_rows(t.orders, "o_orderstatus = 'F' AND o_totalprice > 200000", 100, ["o_orderkey"])
-    return gone.select("o_orderkey", F.lit(True).alias("archived")).unionByName(kept.select("o_orderkey", F.lit(False).alias("archived")))
+    rows = t.orders.select("o_orderkey", F.nullif(F.col("o_custkey") % 10, F.lit(3)).alias("k"), "o_orderstatus", "o_totalprice")
+    gone, kept = lc.split_rows(rows, "o_orderstatus = 'F' AND o_totalprice > 200000", 100, ["k"])
+    both = gone.withColumn("archived", F.lit(True)).unionByName(kept.withColumn("archived", F.lit(False)))
+    return both.groupBy("archived").agg(
+        F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("orders"), F.count_if(F.col("k").isNull()).alias("without_k"), F.sum("k").alias("sum_k"))
 
 
 @query("archive_tables_by_age", """
@@ -111,13 +115,19 @@ def rotation_plan(t: Tables):
 
 
 @query("prune", """
-WITH k AS (SELECT max(o_orderkey) AS last FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000))
-SELECT 'parent' AS side, count(*) AS rows FROM orders, k WHERE o_orderkey <= last
-UNION ALL SELECT 'child', count(*) FROM lineitem, k WHERE NOT (l_orderkey > last AND l_orderkey IN (SELECT o_orderkey FROM orders))""")
+WITH p AS (SELECT CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey // 2 END AS id FROM orders), c AS (SELECT CASE WHEN l_linenumber < 7 THEN l_orderkey // 2 END AS ref FROM lineitem),
+k AS (SELECT max(id) AS last FROM (SELECT id FROM p WHERE id IS NOT NULL ORDER BY id LIMIT 1000))
+SELECT 'parent' AS side, count(*) AS rows FROM p, k WHERE id IS NULL OR id <= last
+UNION ALL SELECT 'child', count(*) FROM c, k WHERE ref IS NULL OR NOT (ref > last AND ref IN (SELECT id FROM p WHERE id IS NOT NULL))
+UNION ALL SELECT 'parent of none', count(*) FROM p WHERE id IS NULL
+UNION ALL SELECT 'child of none', count(*) FROM c WHERE ref IS NULL OR ref NOT IN (SELECT id FROM p WHERE id IS NOT NULL)""")
 def prune(t: Tables):
-    kept, (lines,) = lc.prune(t.orders, [(t.lineitem, "l_orderkey")], "o_orderkey", 1000)
+    parents = t.orders.select(F.when(F.col("o_orderkey") % 11 > 0, F.floor(F.col("o_orderkey") / 2)).alias("id"))
+    children = t.lineitem.select(F.when(F.col("l_linenumber") < 7, F.floor(F.col("l_orderkey") / 2)).alias("ref"))
     one = lambda df, side: df.agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("rows"))
-    return one(kept, "parent").unionByName(one(lines, "child"))
+    kept, (lines,) = lc.prune(parents, [(children, "ref")], "id", 1000)
+    bare, (orphans,) = lc.prune(parents, [(children, "ref")], "id", 0)
+    return one(kept, "parent").unionByName(one(lines, "child")).unionByName(one(bare, "parent of none")).unionByName(one(orphans, "child of none"))
 
 
 @query("child_tables", """
@@ -130,11 +140,14 @@ def child_tables(t: Tables):
 
 
 @query("merge_sources", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a' WHEN o_orderkey % 3 = 0 THEN 'b' ELSE 'c' END AS src FROM orders""")
+WITH x AS (SELECT nullif(o_custkey, 13) AS k, 0 AS n, 'a' || o_orderkey AS src FROM orders WHERE o_orderkey % 2 = 0
+ UNION ALL SELECT nullif(o_custkey, 13), 1, 'b' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT nullif(c_custkey, 17), 2, 'c' || c_custkey FROM customer)
+SELECT k, (array_agg(src ORDER BY n, src))[1] AS src FROM x WHERE k IS NOT NULL GROUP BY k UNION ALL SELECT k, src FROM x WHERE k IS NULL""")
 def merge_sources(t: Tables):
-    a = t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("a").alias("src"))
-    b = t.orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("b").alias("src"))
-    return lc.merge_sources([a, b, t.orders.select("o_orderkey", F.lit("c").alias("src"))], ["o_orderkey"])
+    key = F.nullif("o_custkey", F.lit(13)).alias("k")
+    a = t.orders.filter("o_orderkey % 2 = 0").select(key, F.concat(F.lit("a"), "o_orderkey").alias("src"))
+    b = t.orders.filter("o_orderkey % 3 = 0").select(key, F.concat(F.lit("b"), "o_orderkey").alias("src"))
+    return lc.merge_sources([a, b, t.customer.select(F.nullif("c_custkey", F.lit(17)).alias("k"), F.concat(F.lit("c"), "c_custkey").alias("src"))], ["k"])
 
 
 @query("without_foreign_keys", """
@@ -186,11 +199,18 @@ def unreviewed_classes(t: Tables):
 
 
 @query("review_marks", """
-SELECT DISTINCT user_id AS checksum, CASE WHEN user_id % 4 = 0 THEN 'bob' WHEN user_id % 10 = 0 THEN 'ann' END AS reviewed_by FROM events WHERE user_id % 2 = 0""")
+SELECT DISTINCT user_id AS checksum, CASE WHEN user_id % 4 = 0 THEN 'eve' WHEN user_id % 10 = 0 THEN 'ann' END AS reviewed_by,
+  CASE WHEN user_id % 4 = 0 THEN TIMESTAMP '2024-03-02' WHEN user_id % 10 = 0 THEN TIMESTAMP '2024-02-01' END AS reviewed_on FROM events""")
 def review_marks(t: Tables):
-    marks = t.events.filter("user_id % 4 = 0").select(F.col("user_id").alias("checksum")).distinct().select(
-        "checksum", F.lit("bob").alias("reviewed_by"), F.lit("2024-03-01").cast("timestamp").alias("reviewed_on"), F.lit("seen").alias("comments"))
-    return lc.apply_review_marks(_review(t), marks).select("checksum", "reviewed_by")
+    users = t.events.select(F.col("user_id").alias("checksum")).distinct()
+    at = lambda day: F.lit(day).cast("timestamp").alias("reviewed_on")
+    mark = lambda df, who, day: df.select("checksum", F.lit(who).alias("reviewed_by"), at(day), F.lit("seen").alias("comments"))
+    done = F.col("checksum") % 10 == 0
+    review = users.select(
+        "checksum", F.when(done, "ann").alias("reviewed_by"), F.when(done, F.lit("2024-02-01").cast("timestamp")).alias("reviewed_on"), F.lit(None).cast("string").alias("comments"))
+    fourth, tenth = users.filter("checksum % 4 = 0"), users.filter(done)
+    marks = mark(fourth, "bob", "2024-03-01").unionByName(mark(fourth, "eve", "2024-03-02")).unionByName(mark(tenth, "old", "2024-01-01"))
+    return lc.apply_review_marks(review, marks).select("checksum", "reviewed_by", when_ts("reviewed_on").alias("reviewed_on"))
 
 
 @query("history_rows", """
@@ -240,18 +260,20 @@ def host_edges(t: Tables):
 
 
 @query("queries_with_history", """
-WITH h AS (SELECT user_id, max(event_id) AS ts_max, arg_max(value, event_id) AS value FROM events WHERE event_type = 'error' GROUP BY 1)
+WITH h AS (SELECT user_id, max(event_id) AS ts_max, arg_max(value, event_id) AS value FROM events GROUP BY 1)
 SELECT c_custkey, ts_max, value FROM customer JOIN h ON c_custkey = user_id""")
 def queries_with_history(t: Tables):
-    h = t.events.filter("event_type = 'error'").select(F.col("user_id").alias("c_custkey"), F.col("event_id").alias("ts_max"), "value")
+    h = t.events.select(F.col("user_id").alias("c_custkey"), F.col("event_id").alias("ts_max"), "value")
     return lc.with_latest_history(t.customer.select("c_custkey"), h, "c_custkey")
 
 
 @query("insert_if_absent", """
-SELECT c_custkey AS id, 'old' AS src FROM customer UNION ALL SELECT DISTINCT o_orderkey, 'new' FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)""")
+WITH o AS (SELECT nullif(c_custkey, 5) AS id FROM customer), n AS (SELECT nullif(o_orderkey // 2, 7) AS id, 'new' || o_orderkey AS src FROM orders UNION ALL SELECT nullif(c_custkey, 5), 'again' FROM customer)
+SELECT id, 'old' AS src FROM o UNION ALL SELECT id, min(src) FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.id IS NOT DISTINCT FROM n.id) GROUP BY id""")
 def insert_if_absent(t: Tables):
-    old = t.customer.select(F.col("c_custkey").alias("id"), F.lit("old").alias("src"))
-    return lc.insert_if_absent(old, t.orders.select(F.col("o_orderkey").alias("id"), F.lit("new").alias("src")).distinct(), ["id"])
+    key = F.nullif("c_custkey", F.lit(5)).alias("id")
+    new = t.orders.select(F.nullif(F.floor(F.col("o_orderkey") / 2), F.lit(7)).alias("id"), F.concat(F.lit("new"), "o_orderkey").alias("src"))
+    return lc.insert_if_absent(t.customer.select(key, F.lit("old").alias("src")), new.unionByName(t.customer.select(key, F.lit("again").alias("src"))), ["id"])
 
 
 @query("jobs_report", """
