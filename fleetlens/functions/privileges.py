@@ -59,17 +59,15 @@ def _c(col) -> Column:
 
 
 def flags_from_text(text) -> Column:
-    """``Select,Show view`` to the sorted array of flag column names."""
-    return F.array_sort(
-        F.transform(
-            F.split(_c(text), ","),
-            lambda p: F.concat(
-                F.upper(F.substring(p, 1, 1)),
-                F.lower(F.replace(F.substr(p, F.lit(2)), F.lit(" "), F.lit("_"))),
-                F.lit("_priv"),
-            ),
-        )
-    )
+    """``Select,Show view`` to the sorted array of flag column names; an unknown name fails the job."""
+    known = F.array(*map(F.lit, FLAGS))
+
+    def flag(p: Column) -> Column:
+        name = F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.replace(F.substr(p, F.lit(2)), F.lit(" "), F.lit("_"))), F.lit("_priv"))
+        unknown = F.raise_error(F.concat(F.lit("unknown privilege: "), p)).cast("string")
+        return F.when((p == "") | F.array_contains(known, name), name).otherwise(unknown)
+
+    return F.array_sort(F.transform(F.split(_c(text), ","), flag))
 
 
 def flags_from_row(flags=FLAGS) -> Column:

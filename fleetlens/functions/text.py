@@ -29,6 +29,9 @@ VERB = (
     r"(?i)\b(^SHOW|^FLUSH|^COMMIT|^ROLLBACK|^BEGIN|SELECT|INSERT|UPDATE|DELETE"
     r"|REPLACE|^SET|UNION|^START|^LOCK)\b"
 )
+SHOWN = r"(?i)SHOW\s+(\S+)(?:\s+(\S+))?"
+CALLED = r"(?i)\A\s*call\s+(\S+)\("
+XA = r"(?i)\A\s*xa\s+(\S+)"
 DDL_VERB = r"(?:CREATE|ALTER|TRUNCATE|DROP|RENAME)"
 DML_VERB = r"(?:INSERT|UPDATE|DELETE|REPLACE)"
 IDENT = r"(?:`[^`]+`|\w+)(?:\.(?:`[^`]+`|\w+))?"
@@ -198,30 +201,39 @@ def _ddl_table(sql: Column) -> Column:
 def distill_verbs(sql) -> Column:
     """The verbs of a statement in order, neighbours de-duplicated."""
     sql = _c(sql)
-    q = strip_comments(sql)
-    first = F.upper(F.regexp_extract(q, r"(?i)SHOW\s+(\S+)(?:\s+(\S+))?", 1))
-    second = F.upper(F.regexp_extract(q, r"(?i)SHOW\s+(\S+)(?:\s+(\S+))?", 2))
-    show = F.when(
-        first.contains("CREATE") | second.contains("STATUS"),
-        F.concat(F.lit("SHOW "), first, F.lit(" "), second),
-    ).otherwise(F.concat(F.lit("SHOW "), first))
-    ddl = F.upper(_ddl_verb(q))
+    return _let(strip_comments(sql), lambda q: _verbs(sql, q))
+
+
+def _verbs(sql: Column, q: Column) -> Column:
+    """Verbs of a statement; ``q`` is its text without comments."""
+
+    def shown(words: Column) -> Column:
+        first, second = F.upper(F.get(words, F.lit(0))), F.upper(F.get(words, F.lit(1)))
+        return F.when(
+            first.contains("CREATE") | second.contains("STATUS"),
+            F.concat(F.lit("SHOW "), first, F.lit(" "), second),
+        ).otherwise(F.concat(F.lit("SHOW "), first))
+
+    show = _let(F.array(*[F.regexp_extract(q, SHOWN, i) for i in (1, 2)]), shown)
     obj = F.upper(F.regexp_extract(q, rf"(?i){DDL_VERB}.+(DATABASE|TABLE)\b", 1))
     words = F.transform(F.regexp_extract_all(q, F.lit(VERB), F.lit(1)), F.upper)
     verbs = F.regexp_replace(
         F.array_join(_drop_adjacent(words), " "), "( UNION SELECT)+", " UNION"
     )
-    called = F.regexp_extract(sql, r"(?i)\A\s*call\s+(\S+)\(", 1)
-    xa = F.regexp_extract(sql, r"(?i)\A\s*xa\s+(\S+)", 1)
+
+    def defined(ddl: Column) -> Column:
+        both = _let(obj, lambda o: F.when(o != "", F.concat_ws(" ", ddl, o)).otherwise(ddl))
+        return F.when(ddl != "", both).otherwise(verbs)
+
+    xa = F.regexp_extract(sql, XA, 1)
     return (
-        F.when(called != "", F.concat(F.lit("CALL "), called))
+        F.when(sql.rlike(CALLED), F.concat(F.lit("CALL "), F.regexp_extract(sql, CALLED, 1)))
         .when(sql.rlike(r"\A# administrator"), F.lit("ADMIN"))
         .when(sql.rlike(r"\A\s*use\s+"), F.lit("USE"))
         .when(sql.rlike(r"(?i)\A\s*UNLOCK TABLES"), F.lit("UNLOCK"))
-        .when(xa != "", F.concat(F.lit("XA_"), xa))
+        .when(sql.rlike(XA), F.concat(F.lit("XA_"), xa))
         .when(q.rlike(r"(?i)\A\s*SHOW\s+\S"), show)
-        .when(ddl != "", F.when(obj != "", F.concat_ws(" ", ddl, obj)).otherwise(ddl))
-        .otherwise(verbs)
+        .otherwise(_let(F.upper(_ddl_verb(q)), defined))
     )
 
 
@@ -258,20 +270,23 @@ def get_tables(sql) -> Column:
 def distill_tables(sql) -> Column:
     """Table names with back-ticks dropped, digits masked, neighbours folded."""
     sql = _c(sql)
+    return _let(strip_comments(sql), lambda q: _masked_tables(sql, q))
+
+
+def _masked_tables(sql: Column, q: Column) -> Column:
     names = F.transform(
         get_tables(sql),
         lambda n: F.regexp_replace(F.replace(n, F.lit("`"), F.lit("")), "(_?)[0-9]+", "$1?"),
     )
-    q = strip_comments(sql)
     special = sql.rlike(r"(?i)\A(?:\s*(?:call\s+\S+\(|use\s|UNLOCK TABLES|xa\s+\S|SHOW\s)|# administrator)")
-    own = F.when((_ddl_verb(q) != "") & ~special, _ddl_table(q))
-    extra = F.when(own.isNotNull(), F.array(own)).otherwise(F.array().cast("array<string>"))
-    return _drop_adjacent(F.concat(names, extra))
+    own = F.when((_ddl_verb(q) != "") & ~special, F.array(_ddl_table(q)))
+    return _drop_adjacent(F.concat(names, F.coalesce(own, F.array().cast("array<string>"))))
 
 
 def distill(sql) -> Column:
     """Short form of a statement: its verbs, then its tables."""
-    return F.array_join(F.concat(F.array(distill_verbs(sql)), distill_tables(sql)), " ")
+    sql = _c(sql)
+    return _let(strip_comments(sql), lambda q: F.array_join(F.concat(F.array(_verbs(sql, q)), _masked_tables(sql, q)), " "))
 
 
 def distill_generic(request, trim_url: bool = False) -> Column:

@@ -112,10 +112,10 @@ def sessions(samples: DataFrame, block_seconds: int = 86400) -> DataFrame:
     keys = ["server", "id"]
     x = samples.withColumn("now", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
     tick = x.select("server", "ts").distinct()
-    by_server = Window.partitionBy("server").orderBy("ts")
-    ticks = tick.select("server", "ts", F.lag("ts").over(by_server).alias("tick_before"), F.lead("ts").over(by_server).alias("tick_after"))
-    live = x.filter("info is not null and info <> '' and time is not null").join(ticks, ["server", "ts"])
     block = ordered.time_block("ts", block_seconds)
+    ticks = ordered.previous(tick, ["ts"], ["ts"], block, ["server"], "before_")
+    ticks = ordered.following(ticks, ["ts"], ["ts"], block, ["server"], "after_").withColumnsRenamed({"before_ts": "tick_before", "after_ts": "tick_after"})
+    live = x.filter("info is not null and info <> '' and time is not null").join(ticks, ["server", "ts"])
 
     def broken(before: Column, row: Column) -> Column:
         return ~(before["ts"].eqNullSafe(row["tick_before"]) & before["info"].eqNullSafe(row["info"]))

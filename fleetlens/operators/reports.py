@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import numbers
 
 # --- Fixed values. ---------------------------------------------------------------------
+OWN_LOCK = "virtualxid"
 LOCK_MODES = (
     "AccessShareLock", "RowShareLock", "RowExclusiveLock", "ShareUpdateExclusiveLock",
     "ShareLock", "ShareRowExclusiveLock", "ExclusiveLock", "AccessExclusiveLock",
@@ -138,11 +139,17 @@ def cluster_counters(databases: DataFrame, counters: list[str], backends: str, m
     return one.withColumn("max_backends", limit).withColumn("backends_pct", ratio(backends, "max_backends"))
 
 
-def lock_counts(locks: DataFrame, keys: list[str], modes=LOCK_MODES, mode: str = "mode") -> DataFrame:
-    """Locks by mode as columns, zero for modes without any."""
+def lock_counts(locks: DataFrame, keys: list[str], modes=LOCK_MODES, mode: str = "mode", kind: str | None = None) -> DataFrame:
+    """Locks by mode as columns, zero for modes without any; with a ``kind`` column, locks of transactions on themselves are left out."""
+    locks = locks if kind is None else locks.filter(~F.col(kind).eqNullSafe(OWN_LOCK))
     return locks.groupBy(*keys).agg(*[F.count_if(F.col(mode) == m).alias(m.lower()) for m in modes])
 
 
+def lock_type_counts(locks: DataFrame, keys: list[str], kind: str = "locktype") -> DataFrame:
+    """Locks by type, one row each."""
+    return locks.groupBy(*keys, kind).agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def phrase_counts(lines: DataFrame, phrases: list[str], text: str = "value", file: str = "file") -> DataFrame:
     """Lines holding each phrase, per log file, in one pass."""
     return lines.groupBy(file).agg(*[F.count_if(F.col(text).contains(p)).alias(p) for p in phrases])

@@ -47,7 +47,7 @@ def latest_snapshot(t: Tables):
 SELECT id, server, table_name, lag(id) OVER w AS prev_id, lag(data_length) OVER w AS prev_data_length FROM {VERSION_SQL}
 WINDOW w AS (PARTITION BY server, database_name, table_name ORDER BY id)""")
 def previous_version(t: Tables):
-    out = cat.with_previous(derived.versions(t), ["data_length"], block=ordered.id_block("id", 4096))
+    out = cat.with_previous(derived.versions(t), ["data_length"], block=ordered.id_block("id"))
     return out.select("id", "server", "table_name", "prev_id", "prev_data_length")
 
 
@@ -62,7 +62,7 @@ STATUS_SQL = f"""(SELECT *, {STATUS_CASE} AS status FROM (SELECT *, lag(id) OVER
 def _volume_status(t: Tables):
     return cat.version_status(
         derived.versions(t), ["data_length", "index_length"], ["data_length", "index_length", "data_free"],
-        block=ordered.id_block("id", 4096),
+        block=ordered.id_block("id"),
     )
 
 
@@ -76,7 +76,7 @@ SELECT id, CASE WHEN database_name IS NULL AND create_syntax IS NULL THEN 'unrea
   WHEN pid IS NULL OR pc IS NULL THEN 'new' WHEN pc <> create_syntax THEN 'changed' ELSE 'unchanged' END AS status
 FROM (SELECT *, lag(id) OVER w AS pid, lag(create_syntax) OVER w AS pc FROM {VERSION_SQL} WINDOW w AS (PARTITION BY server, database_name, table_name ORDER BY id))""")
 def definition_status(t: Tables):
-    out = cat.version_status(derived.versions(t), ["create_syntax"], ["create_syntax"], block=ordered.id_block("id", 4096))
+    out = cat.version_status(derived.versions(t), ["create_syntax"], ["create_syntax"], block=ordered.id_block("id"))
     return out.select("id", "status")
 
 
@@ -262,13 +262,13 @@ def consolidated_series(t: Tables):
 
 
 @query("size_series", f"""
-WITH v AS (SELECT * FROM {VERSION_SQL} WHERE NOT (database_name IS NULL AND table_name IS NULL AND data_length IS NULL AND index_length IS NULL) AND year(run_time) = 1997),
+WITH v AS (SELECT * FROM {VERSION_SQL} WHERE NOT (database_name IS NULL AND table_name IS NULL AND data_length IS NULL AND index_length IS NULL)),
 s AS (SELECT server, NULL AS database_name, NULL AS table_name, run_time, CAST(sum(data_length) AS BIGINT) AS data_length, CAST(sum(index_length) AS BIGINT) AS index_length FROM v GROUP BY 1, 4
 UNION ALL SELECT server, database_name, NULL, run_time, CAST(sum(data_length) AS BIGINT), CAST(sum(index_length) AS BIGINT) FROM v GROUP BY 1, 2, 4
 UNION ALL SELECT server, database_name, table_name, run_time, CAST(sum(data_length) AS BIGINT), CAST(sum(index_length) AS BIGINT) FROM v GROUP BY 1, 2, 3, 4)
 SELECT * FROM s WHERE NOT (database_name IS NULL AND month(run_time) < 6) AND NOT (table_name IS NOT NULL AND server = 's1' AND run_time > TIMESTAMP '1997-03-01')""")
 def size_series(t: Tables):
-    v = derived.versions(t).filter(F.year("run_time") == 1997)
+    v = derived.versions(t)
     none = F.lit(None).cast("string")
     loaded = v.filter(F.month("run_time") < 6).select("server", none.alias("database_name"), none.alias("table_name"), "run_time").distinct()
     ends = v.filter("server = 's1' and table_name is not null").select("server", "database_name", "table_name", _ts("1997-03-01").alias("last_run")).distinct()
@@ -287,12 +287,12 @@ def series_summary(t: Tables):
 SELECT server, name, event_id, round(value - lag(value) OVER (PARTITION BY server, name ORDER BY event_id), 4) AS delta FROM {derived.STATUS_SQL}""")
 def counter_deltas(t: Tables):
     s = derived.status_values(t).drop("ts")
-    out = cat.counter_deltas(s, ["server", "name"], "event_id", "value", ordered.id_block("event_id", 4096))
+    out = cat.counter_deltas(s, ["server", "name"], "event_id", "value", ordered.id_block("event_id"))
     return rounded(out.drop("value"), 4, "delta")
 
 
 @query("version_diff_pairs", f"""
 SELECT id, create_syntax AS new_text, lag(create_syntax) OVER (PARTITION BY server, database_name, table_name ORDER BY id) AS old_text FROM {VERSION_SQL}""")
 def version_diff_pairs(t: Tables):
-    out = cat.with_previous(derived.versions(t), ["create_syntax"], block=ordered.id_block("id", 4096))
+    out = cat.with_previous(derived.versions(t), ["create_syntax"], block=ordered.id_block("id"))
     return out.select("id", F.col("create_syntax").alias("new_text"), F.col("prev_create_syntax").alias("old_text"))

@@ -230,7 +230,7 @@ n AS (SELECT *, lead(s) OVER w AS ns, lead(event_id) OVER w AS ne FROM m WINDOW
 SELECT user_id, event_id AS started, CASE WHEN NOT coalesce(ns, true) THEN ne END AS ended, NOT coalesce(ns, true) AS success FROM n WHERE s""")
 def job_outcomes(t: Tables):
     return checks.job_outcomes(
-        t.events, ["user_id"], "event_id", F.col("event_type") == "click", F.col("event_type") == "error", ordered.id_block("event_id", 4096)
+        t.events, ["user_id"], "event_id", F.col("event_type") == "click", F.col("event_type") == "error", ordered.id_block("event_id")
     )
 
 
@@ -290,8 +290,8 @@ c AS (SELECT g, k, k AS at, level, prev, 0 AS steps FROM l UNION ALL SELECT c.g,
 SELECT l.g AS grp, l.k AS backup, f.at AS full_backup, f.steps, f.at IS NOT NULL AS complete FROM l LEFT JOIN (SELECT * FROM c WHERE level = 0) f ON f.g = l.g AND f.k = l.k""")
 def backup_chains(t: Tables):
     o = t.orders.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("backup_directory"))
-    o = ordered.running_sum(o, {"r": F.lit(1)}, ["backup_directory"], ordered.id_block("backup_directory", 4096), ["grp"])
-    o = ordered.previous(o, ["backup_directory"], ["backup_directory"], ordered.id_block("backup_directory", 4096), ["grp"])
+    o = ordered.running_sum(o, {"r": F.lit(1)}, ["backup_directory"], ordered.id_block("backup_directory"), ["grp"])
+    o = ordered.previous(o, ["backup_directory"], ["backup_directory"], ordered.id_block("backup_directory"), ["grp"])
     level = F.when(((F.col("r") - 1) % 6 == 0) & (F.col("grp") % 5 > 0), 0).otherwise(1)
     o = o.select("grp", "backup_directory", F.col("prev_backup_directory").alias("last_backup"), level.alias("backup_level"))
     return topo.backup_chain(o, group=["grp"])

@@ -11,7 +11,6 @@ from fleetlens.operators import digest as dg
 from fleetlens.operators import lineage, ordered
 from fleetlens.plans.registry import Tables, query, rounded
 
-BLOCK = 65536
 
 
 def _num(x: float) -> str:
@@ -269,7 +268,7 @@ SELECT any_value(event_type) AS event_type, min(event_id) AS start_event_id, cou
   min(value) AS min, max(value) AS max, min(ts) AS ts_min, max(ts) AS ts_max, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS seconds
 FROM g GROUP BY grp""")
 def event_timeline(t: Tables):
-    out = dg.timeline(t.events, ["event_type"], "value", "ts", ["event_id"], ordered.id_block("event_id", BLOCK))
+    out = dg.timeline(t.events, ["event_type"], "value", "ts", ["event_id"], ordered.id_block("event_id"))
     return rounded(rounded(out, 4, "sum"), 6, "seconds")
 
 
@@ -280,7 +279,7 @@ SELECT user_id, any_value(event_type) AS event_type, min(event_id) AS start_even
 FROM g GROUP BY user_id, grp""")
 def user_timeline(t: Tables):
     out = ordered.runs(
-        t.events, ["event_type"], ["event_id"], ordered.id_block("event_id", 1000), ["user_id"],
+        t.events, ["event_type"], ["event_id"], ordered.id_block("event_id"), ["user_id"],
         {"cnt": ("count", "value"), "total": ("sum", "value")},
     )
     return rounded(out, 4, "total")
@@ -333,3 +332,12 @@ def response_profile(t: Tables):
     top = dg.top_classes(k, "time", "user_id", count_limit=10).drop("reason")
     out = dg.ranked_report(top, "time", "user_id").withColumn("per_call", F.col("time") / F.col("calls"))
     return rounded(out, 6, "pct_reported", "per_call")
+
+
+@query("sort_fallback", """
+SELECT event_type, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY 1""")
+def sort_fallback(t: Tables):
+    """Classes ordered by an attribute that the data lacks: the count is taken instead."""
+    classes = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("cnt"))
+    by = dg.order_attribute(classes.columns, "Lock_time")
+    return dg.ranked_report(classes, by, "event_type").select("event_type", "cnt", "rank")

@@ -11,7 +11,6 @@ from fleetlens.plans import derived
 from fleetlens.plans.derived import CATALOG_SQL, PROC_SQL, VERSION_SQL
 from fleetlens.plans.registry import Tables, query, rounded
 
-BLOCK = 4096
 
 
 def _events(t: Tables):
@@ -63,7 +62,7 @@ SELECT event_id, last_value(db IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEE
 FROM (SELECT *, CASE WHEN time > 200 THEN time END AS big FROM {PROC_SQL})""")
 def inherit_attributes(t: Tables):
     p = derived.processes(t).select("event_id", "db", F.when(F.col("time") > 200, F.col("time")).alias("big"))
-    return filters.inherit_attributes(p, ["db", "big"], ["event_id"], ordered.id_block("event_id", BLOCK))
+    return filters.inherit_attributes(p, ["db", "big"], ["event_id"], ordered.id_block("event_id"))
 
 
 @query("sample_per_class", """
@@ -86,7 +85,7 @@ def zero_admin(t: Tables):
 SELECT event_id, coalesce(last_value(CASE WHEN value <= 30 THEN value END IGNORE NULLS) OVER
   (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS value FROM events""")
 def limit_attribute_value(t: Tables):
-    out = filters.limit_attribute_value(t.events, "value", 30, "event_type", ["event_id"], ordered.id_block("event_id", BLOCK))
+    out = filters.limit_attribute_value(t.events, "value", 30, "event_type", ["event_id"], ordered.id_block("event_id"))
     return out.select("event_id", "value")
 
 

@@ -313,6 +313,14 @@ def mask_round_robin(t: Tables):
     return masking.mask(c, specs, ["c_custkey"], rank=F.col("c_custkey"))
 
 
+@query("mask_unmatched", """
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Mononym' WHEN c_custkey % 4 = 1 THEN NULL ELSE 'Ada Lane' END AS name FROM customer""")
+def mask_unmatched(t: Tables):
+    """Values that fit no pattern pass as they are, NULLs too."""
+    name = F.when(F.col("c_custkey") % 4 == 0, "Mononym").when(F.col("c_custkey") % 4 > 1, F.concat(F.lit("First"), "c_custkey", F.lit(" Last")))
+    return masking.mask(t.customer.select("c_custkey", name.alias("name")), {"name": masking.MaskSpec(masking.PATTERNS["name"], [("Ada", "Lane")])}, ["c_custkey"])
+
+
 @query("mask_random_properties", """
 SELECT c_custkey, true AS changed, true AS same_domain, true AS short_enough FROM customer""")
 def mask_random_properties(t: Tables):
@@ -347,7 +355,7 @@ def synthetic_table(t: Tables):
 SELECT count(*) AS rows, true AS monotone FROM orders""")
 def synthetic_series(t: Tables):
     ids = t.orders.select(F.col("o_orderkey").alias("id"))
-    block = ordered.id_block("id", 4096)
+    block = ordered.id_block("id")
     s = masking.synthetic_table(ids, {"x": ("linear_integer", 10)}, seed=1, block=block)
     s = ordered.previous(s, ["x"], ["id"], block)
     return s.agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.coalesce(F.col("x") >= F.col("prev_x"), F.lit(True))).alias("monotone"))

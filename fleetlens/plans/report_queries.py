@@ -114,6 +114,20 @@ def lock_counts(t: Tables):
     return reports.lock_counts(derived.processes(t), ["server"], ("Query", "Sleep", "AccessShareLock"), "command")
 
 
+@query("lock_counts_by_mode", """
+SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events WHERE event_id % 4 <> 2 OR event_id % 12 = 2 GROUP BY 1""")
+def lock_counts_by_mode(t: Tables):
+    kind = F.when(F.col("event_id") % 12 == 2, None).otherwise(F.element_at(F.array(*map(F.lit, ("relation", "tuple", "virtualxid", "page"))), (F.col("event_id") % 4 + 1).cast("int")))
+    return reports.lock_counts(t.events.withColumn("locktype", kind), ["user_id"], ("click", "view"), "event_type", "locktype")
+
+
+@query("lock_type_counts", """
+SELECT event_type, ['relation', 'tuple', 'virtualxid', 'page'][event_id % 4 + 1] AS locktype, count(*) AS cnt FROM events GROUP BY 1, 2""")
+def lock_type_counts(t: Tables):
+    kind = F.element_at(F.array(*map(F.lit, ("relation", "tuple", "virtualxid", "page"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return reports.lock_type_counts(t.events.withColumn("locktype", kind), ["event_type"])
+
+
 @query("phrase_counts", """
 WITH l AS (SELECT source AS file, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT file, count(*) FILTER (contains(line, 'the')) AS the, count(*) FILTER (contains(line, 'license')) AS license FROM l GROUP BY 1""")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.operators import digest as dg
-from fleetlens.operators import ordered
+from fleetlens.operators import lineage, ordered
 from fleetlens.plans.registry import Tables, query, rounded
 from fleetlens.sources import logs, packets, status, tables
 
-BLOCK = 4096
 
 
 def _slow_records(t: Tables):
@@ -90,7 +89,7 @@ def _general_lines(t: Tables):
 
 @query("general_log_events", GENERAL_SQL)
 def general_log_events(t: Tables):
-    out = logs.parse_general_log(_general_lines(t), block=BLOCK * 1000)
+    out = logs.parse_general_log(_general_lines(t))
     return out.select("pos", "Thread_id", "cmd", "arg", "db", "user", "host")
 
 
@@ -109,7 +108,7 @@ def binlog_events(t: Tables):
         F.lit("Query\tthread_id="), F.col("o_custkey") % 90, F.lit("\texec_time="), k % 7, F.lit("\terror_code=0\nuse db"), k % 3,
         F.lit("/*!*/;\nSET TIMESTAMP="), k + 1000, F.lit("/*!*/;\nINSERT INTO t\nVALUES ("), k, F.lit(")\n/*!*/")))
     r = t.orders.select((k % 10).cast("string").alias("file"), k.alias("pos"), F.concat(head, body).alias("value"))
-    out = logs.parse_binlog_text(r, block=BLOCK)
+    out = logs.parse_binlog_text(r)
     return out.select("pos", "offset", "ts", "Xid", "Thread_id", "Query_time", "db", "arg", F.col("attrs")["timestamp"].alias("stamp"))
 
 
@@ -121,7 +120,7 @@ def raw_statements(t: Tables):
     k = F.col("event_id") % 4
     sql = F.when(k == 0, F.concat(F.lit("USE `db"), F.col("event_id") % 9, F.lit("`"))).when(k == 3, "EXPLODE x").otherwise(F.concat(F.lit(" DELETE FROM t"), "event_id"))
     r = t.events.select(F.col("user_id").alias("file"), F.col("event_id").alias("pos"), sql.alias("value"))
-    return logs.parse_raw_statements(r, block=BLOCK).select("pos", "db", "verb", "sql")
+    return logs.parse_raw_statements(r).select("pos", "db", "verb", "sql")
 
 
 @query("compound_statements", """
@@ -193,7 +192,7 @@ def key_value_requests(t: Tables):
         _packet(True, at, eid * 10, eid * 3, ask), F.when(answer.isNotNull(), _packet(False, later(1), eid * 10 + 1, eid * 3 + 1, answer)),
         F.when(rest.isNotNull(), _packet(False, later(2), eid * 10 + 2, eid * 3 + 2, rest)),
     ))))
-    out = packets.key_value_requests(p, order=("pos",), block=ordered.id_block("pos", 40960))
+    out = packets.key_value_requests(p, order=("pos",), block=ordered.id_block("pos"))
     return rounded(out.select("pos", "client", "cmd", "key", "res", "val", "Query_time"), 6, "Query_time")
 
 
@@ -212,7 +211,7 @@ def http_requests(t: Tables):
         _packet(False, at(3), pid * 10 + 1, F.when(swapped, 2).otherwise(1), F.when(swapped, tail).otherwise(head), "80"),
         _packet(False, at(5), pid * 10 + 2, F.when(swapped, 1).otherwise(2), F.when(swapped, head).otherwise(tail), "80"),
     )))
-    out = packets.http_requests(p, order=("pos",), block=ordered.id_block("pos", 40960))
+    out = packets.http_requests(p, order=("pos",), block=ordered.id_block("pos"))
     return rounded(out.select("pos", "arg", "Status_code", "bytes", "Query_time", "Transmit_time"), 4, "Query_time", "Transmit_time")
 
 
@@ -245,3 +244,39 @@ SELECT event_type, count(*) AS n, DATE '2024-02-01' AS collected_date FROM event
 def usage_rows(t: Tables):
     counters = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return tables.usage_rows(counters, "2024-02-01 03:00:00").drop("collected_at")
+
+
+@query("delimited_load", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS c_name, c_acctbal FROM customer""")
+def delimited_load(t: Tables):
+    """Customers written as delimited text with a token for NULL, and loaded."""
+    folder = lineage.shared_dir(t.spark, "delimited")
+    name = F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")).otherwise("null")
+    t.customer.select(F.concat_ws("\t", "c_custkey", name, "c_acctbal").alias("value")).write.text(folder)
+    return tables.read_delimited(t.spark, folder, "c_custkey long, c_name string, c_acctbal double")
+
+
+@query("nested_documents", """
+SELECT 's' || c_custkey AS server, CAST(c_nationkey AS VARCHAR) AS version, 'c' || c_nationkey AS cluster FROM customer""")
+def nested_documents(t: Tables):
+    """One topology document per customer, written as JSON and flattened."""
+    folder = lineage.shared_dir(t.spark, "documents")
+    server = F.struct(F.col("c_nationkey").cast("string").alias("version"), F.array(F.concat(F.lit("c"), "c_nationkey")).alias("readfor"))
+    doc = F.struct(F.create_map(F.concat(F.lit("s"), "c_custkey"), server).alias("servers"))
+    t.customer.select(F.to_json(doc).alias("value")).write.text(folder)
+    servers, _ = tables.flatten_documents(t.spark.read.schema(tables.DOCUMENT_SCHEMA).json(folder))
+    return servers.select("server", "version", F.explode("readfor").alias("cluster"))
+
+
+@query("replaced_table", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS o_totalprice FROM orders WHERE o_orderkey % 5 > 0 UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderkey % 5 = 0""")
+def replaced_table(t: Tables):
+    """A table appended to twice, then overwritten by a result computed from itself."""
+    folder, staging = lineage.shared_dir(t.spark, "table"), lineage.shared_dir(t.spark, "staging")
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice")).otherwise(0.0).alias("o_totalprice"))
+    for rest in (0, 1):
+        tables.append_rows(rows.filter(F.col("o_orderkey") % 2 == rest), folder)
+    now = t.spark.read.parquet(folder)
+    tables.replace_table(now.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(0.0)), folder, staging)
+    return t.spark.read.parquet(folder)
+
