@@ -280,3 +280,38 @@ def replaced_table(t: Tables):
     tables.replace_table(now.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(0.0)), folder, staging)
     return t.spark.read.parquet(folder)
 
+
+# --- logs written from the tables and read by path ---------------------------------------
+
+
+def _stored(t: Tables, rows, name: str, separator: str = "\n") -> str:
+    """A folder of logs: the rows (part, pos, value), one folder per part, in order."""
+    folder = lineage.shared_dir(t.spark, name)
+    ordered_rows = rows.repartition("part").sortWithinPartitions("part", "pos").select("part", "value")
+    ordered_rows.write.partitionBy("part").option("lineSep", separator).text(folder)
+    return f"{folder}/*"
+
+
+@query("slow_log_files", "SELECT * EXCLUDE (pos) FROM (" + SLOW_SQL.replace("'u' || user_id || '[u' || user_id || '] ' AS account", "'u' || user_id AS \"user\"") + ")")
+def slow_log_files(t: Tables):
+    records = _slow_records(t).select(F.col("file").alias("part"), "pos", F.concat(F.when(F.col("value").startswith("#"), "").otherwise("#"), "value", F.lit(";")).alias("value"))
+    e = logs.read_slow_log(t.spark, _stored(t, records, "slow"), r"/\*.*?\*/", r"(\w+): (\w+)")
+    return e.select("ts", "user", "host", "db", "cmd", "arg", "Query_time", "Rows_sent", "Thread_id", F.col("attrs")["QC_Hit"].alias("qc"), F.col("attrs")["page"].alias("page"))
+
+
+@query("general_log_files", f"SELECT * EXCLUDE (pos) FROM ({GENERAL_SQL})")
+def general_log_files(t: Tables):
+    lines = _general_lines(t).withColumn("event_id", F.floor(F.col("pos") / 1000)).join(t.events.select("event_id", F.col("user_id").alias("part")), "event_id")
+    out = logs.read_general_log(t.spark, _stored(t, lines, "general"))
+    return out.select("Thread_id", "cmd", "arg", "db", "user", "host")
+
+
+@query("raw_statement_files", """
+WITH s AS (SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN 'db' || event_id % 9 END AS u FROM events)
+SELECT last_value(u IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS db, 'DELETE' AS verb, 'DELETE FROM t' || event_id AS sql
+FROM s QUALIFY event_id % 4 IN (1, 2)""")
+def raw_statement_files(t: Tables):
+    k = F.col("event_id") % 4
+    sql = F.when(k == 0, F.concat(F.lit("USE `db"), F.col("event_id") % 9, F.lit("`"))).when(k == 3, "EXPLODE x").otherwise(F.concat(F.lit("DELETE FROM t"), "event_id"))
+    rows = t.events.select(F.col("user_id").alias("part"), F.col("event_id").alias("pos"), sql.alias("value"))
+    return logs.read_raw_statements(t.spark, _stored(t, rows, "raw", logs.STATEMENT_SEPARATOR)).select("db", "verb", "sql")
