@@ -143,6 +143,8 @@ def groups(documents: DataFrame, key: str = "doc_id", text: str = "text", block:
         rows = rows.unionAll(more)
     alone, shared = rows.filter("single"), rows.filter("not single")
     first = shared.groupBy("level", "name").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first"), F.count("*").alias("group_size"))
+    # Written first, so that the join's own exchange feeds nothing else and a large group's rows can be split.
+    first = written(first, "groups")
     met = shared.join(first, ["level", "name"]).select("key", F.col("first.key").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "sha")
     out = alone.select("key", F.col("key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha").unionAll(met)
     return out.select(F.col("key").alias(key), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
