@@ -43,14 +43,17 @@ def folded(text: str) -> bytes:
 
 
 def dictionaries(training: DataFrame, text: str = "text", lang: str = "lang", size: int = DICTIONARY, snippet: int = SNIPPET) -> dict[str, bytes]:
-    """Raw content for each language, the most frequent first: beginnings of training texts, chosen by hash.
+    """Raw content for each language, the most frequent first: pieces of training texts, texts and places chosen by hash.
 
     Only ``size / snippet`` snippets of a language reach the driver. Each comes from a
     different text; copies count once.
     """
     rows = training.filter(F.col(lang).isNotNull() & (F.length(F.trim(F.col(text))) > 0)).select(
-        F.col(lang).alias("lang"), F.xxhash64(text).alias("at"), F.substring(F.col(text), 1, snippet).alias("snippet")
+        F.col(lang).alias("lang"), F.xxhash64(text).alias("at"), F.col(text).alias("text")
     )
+    # Passages that texts of several languages begin with would make their dictionaries alike.
+    start = F.pmod(F.shiftright("at", 7), F.greatest(F.length("text") - snippet, F.lit(0)) + 1) + 1
+    rows = rows.select("lang", "at", F.substr(F.col("text"), start.cast("int"), F.lit(snippet)).alias("snippet"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     wanted = size // snippet
     # Texts whose hash falls in the lowest part, four times as many as are wanted.

@@ -233,6 +233,14 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(t) == plain(t), t
 
 
+def test_base_columns_of_the_query(spark, texts):
+    for r in load_all()["op1_personal_data"][0](spark, SMALL).collect():
+        spans = pii.base_spans(texts[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) - {""} <= set(r.spans.split(","))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for *_, k in spans) for kind in pii.KINDS[:4])
+
+
 def test_terms_that_give_a_value_away(spark):
     common = "the quick brown words about nothing special here there everywhere"
     rows = [(i, f"{common} number {i}") for i in range(200)]
