@@ -45,3 +45,27 @@ def stream_samples(t: Tables):
     stream = _event_stream(t).select("event_type", "event_id")
     stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(f"{folder}/data").select("event_type", "event_id")
+
+
+@query("stream_review", """
+WITH s AS (SELECT user_id AS k, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1)
+SELECT k AS checksum, CASE WHEN k % 2 = 0 THEN 'known' ELSE 'f' || k END AS fingerprint, CASE WHEN k % 2 = 0 THEN least(TIMESTAMP '2024-01-05', lo) ELSE lo END AS first_seen,
+  CASE WHEN k % 2 = 0 THEN greatest(TIMESTAMP '2024-01-05', hi) ELSE hi END AS last_seen, CASE WHEN k % 10 = 0 THEN 'ann' END AS reviewed_by FROM s""")
+def stream_review(t: Tables):
+    """A review table that knows half the users, widened by every batch of the stream."""
+    folder = runtime.shared_dir(t.spark, "review")
+    mid = F.lit("2024-01-05").cast("timestamp")
+    known = t.events.filter("user_id % 2 = 0").select(F.col("user_id").alias("checksum")).distinct()
+    known.select(
+        "checksum", F.lit("known").alias("fingerprint"), F.lit("s").alias("sample"), mid.alias("first_seen"), mid.alias("last_seen"),
+        F.when(F.col("checksum") % 10 == 0, "ann").alias("reviewed_by"), F.lit(None).cast("timestamp").alias("reviewed_on"), F.lit(None).cast("string").alias("comments"),
+    ).write.parquet(f"{folder}/table")
+
+    def seen(batch):
+        at = F.col("ts").cast("timestamp")
+        return batch.groupBy(F.col("user_id").alias("checksum")).agg(F.concat(F.lit("f"), F.first("user_id")).alias("fingerprint"), F.lit("s2").alias("sample"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
+
+    run = state.merge_batches(t.spark, f"{folder}/table", f"{folder}/staging", "2024-03-01", seen)
+    _event_stream(t).writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = t.spark.read.parquet(f"{folder}/table").select("checksum", "fingerprint", "first_seen", "last_seen", "reviewed_by")
+    return out.withColumns({c: when_ts(c) for c in ("first_seen", "last_seen")})

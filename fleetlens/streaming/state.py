@@ -25,7 +25,7 @@ def live_sessions(samples: DataFrame, interval: int, lateness: str = "1 minute")
     x = samples.withColumns({
         "now": F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6), "ts": F.col("ts").cast("timestamp"),
         "time": F.col("time").cast("double"), "etime": F.col("etime").cast("double"),
-    }).filter("info is not null and info <> ''").withWatermark("ts", lateness)
+    }).filter("info is not null and info <> '' and time is not null").withWatermark("ts", lateness)
     names = ["server", "id", "arg", "first_seen", "Query_time", "samples"]
 
     def finished(key, s, ended):
