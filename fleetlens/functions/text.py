@@ -14,6 +14,7 @@ ONE_LINE_COMMENT = r"""(?:--|#)[^'"\r\n]*(?=[\r\n]|\z)"""
 MULTI_LINE_COMMENT = r"(?s)/\*[^!].*?\*/"
 DUMP_PREFIX = "SELECT /*!40001 SQL_NO_CACHE */ * FROM `"
 CHECKSUM_MARK = r"/\*\w+\.\w+:[0-9]/[0-9]\*/"
+CHECKSUM_WORD = "maatkit"
 ADMIN_PREFIX = "# administrator command: "
 CALL = r"(?i)\A\s*(call\s+\S+)\("
 MULTI_ROW_INSERT = (
@@ -103,7 +104,7 @@ def fingerprint(sql) -> Column:
     q = F.regexp_replace(q, LIMIT_CLAUSE, "$1limit ?")
     return (
         F.when(sql.startswith(DUMP_PREFIX), F.lit("mysqldump"))
-        .when(sql.rlike(CHECKSUM_MARK), F.lit("maatkit"))
+        .when(sql.rlike(CHECKSUM_MARK), F.lit(CHECKSUM_WORD))
         .when(sql.startswith(ADMIN_PREFIX), sql)
         .when(sql.rlike(CALL), F.lower(F.regexp_extract(sql, CALL, 1)))
         .otherwise(q)
