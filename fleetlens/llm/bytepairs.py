@@ -13,7 +13,7 @@ from array import array
 from functools import lru_cache
 
 #: Pre-tokens a task remembers and the longest one worth it; both bound memory only.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 
 # The letters, digits and spaces up to U+024F, of which the splitting pattern of byte-level files consists.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"

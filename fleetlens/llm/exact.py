@@ -34,7 +34,7 @@ from fleetlens.operators.lineage import written
 #: Bytes of a block.
 BLOCK = 2048
 #: Rows and bytes of a chunk at most (one row may be longer).
-CHUNK_ROWS, CHUNK_BYTES = 4000, 16_000_000
+CHUNK_ROWS, CHUNK_BYTES = 2000, 6_000_000
 SPACES = re.compile(r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
 
 

@@ -44,7 +44,7 @@ BLOCK, COLUMNS = 256, 4096
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words whose hashes a task remembers; bounds memory only.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _rng = np.random.default_rng(20240607)
 MULTIPLIERS = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -42,7 +42,7 @@ MIN_CONTEXTS = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Terms counted by a task before it hands them on; bounds memory only.
-COUNTED = 400_000
+COUNTED = 200_000
 
 
 def passes_luhn(digits: str) -> bool:
