@@ -2,9 +2,13 @@
 
 Base spans are personal data by fixed patterns. The corpus then tells how strongly the
 terms around a value reveal it: with IC(e) = -log p(e) and the pointwise mutual
-information of term and value over documents, the disclosure of a term is PMI / IC,
-which is 1 where the term never occurs without the value. Terms near a mention whose
-disclosure exceeds a threshold are generalised, those beyond a second one are removed.
+information of term and value over documents, the disclosure of a term is PMI / IC =
+1 + log p(e | term) / IC, which is 1 where the term never occurs without the value. For
+p(e | term) stands the lower end of its confidence interval, so that every pair is judged
+by as much as is known of it. Values are judged alone and pooled: addresses by domain,
+IP addresses by network, card and phone numbers by their first digits. Terms near a
+mention whose disclosure exceeds a threshold are generalised, those beyond a second one
+are removed.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal
 spans each, and rows that share an id are told apart by their text; copies of a passage
@@ -37,8 +41,10 @@ TERM = re.compile(r"[^\W\d_]{4,}")
 
 #: Terms on either side of a mention, and the characters in which they are looked for.
 WINDOW, REACH = 8, 160
-#: Different contexts that a term and a value must share before they are judged.
-MIN_CONTEXTS = 3
+#: Standard deviations between the share of a value in a term's occurrences and the lower end that is taken for it.
+CONFIDENCE = 1.96
+#: First digits that pool card and phone numbers.
+PREFIX = 6
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Terms counted by a task before it hands them on; bounds memory only.
@@ -90,15 +96,26 @@ def value_of(kind: str, text: str) -> str:
     return f"{kind}:{text.lower() if kind == 'email' else ''.join(c for c in text if c.isdigit() or c == '.') if kind == 'ip' else ''.join(c for c in text if c.isdigit())}"
 
 
+def entities_of(kind: str, text: str) -> tuple[str, str]:
+    """The value of a mention and the pool it belongs to."""
+    value = value_of(kind, text)
+    if kind == "email":
+        return value, f"domain:{value.rpartition('@')[2]}"
+    if kind == "ip":
+        return value, f"network:{value.removeprefix('ip:').rpartition('.')[0]}"
+    return value, f"{kind}-prefix:{value.removeprefix(kind + ':')[:PREFIX]}"
+
+
 def contexts(text: str, spans: list[tuple[int, int, str]]):
-    """For each mention its value, a name of its context, and the terms near it with their places."""
+    """For each mention its value and its pool, each with a name of the context and the terms near it with their places."""
     taken = sorted((a, b) for a, b, _ in spans)
     for a, b, kind in spans:
         left = [m for m in TERM.finditer(text, max(0, a - REACH), a)][-WINDOW:]
         right = [m for m in TERM.finditer(text, b, min(len(text), b + REACH))][:WINDOW]
         near = [(m.group().lower(), m.start(), m.end()) for m in left + right if not any(x < m.end() and m.start() < y for x, y in taken)]
         name = hashlib.blake2b(" ".join(t for t, _, _ in near).encode(), digest_size=8).digest()
-        yield value_of(kind, text[a:b]), int.from_bytes(name, "little", signed=True), near
+        for entity in entities_of(kind, text[a:b]):
+            yield entity, int.from_bytes(name, "little", signed=True), near
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -147,23 +164,28 @@ def term_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(F.col(text).alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosures(seen: DataFrame, documents: DataFrame, text: str = "text", min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
+def lower_share(k, n, z: float = CONFIDENCE):
+    """The lower end of Wilson's interval for a share of which ``k`` of ``n`` are seen."""
+    share = k / n
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def disclosures(seen: DataFrame, documents: DataFrame, text: str = "text", confidence: float = CONFIDENCE, generalise: float = GENERALISE) -> DataFrame:
     """``value``, ``term`` and ``disclosure`` of the pairs at or above the threshold.
 
-    ``seen`` is the table of ``mentions``.
+    ``seen`` is the table of ``mentions``. Evidence for a pair are its different contexts,
+    evidence against it the documents that have the term without the value.
     """
     near = seen.select("key", "text_key", F.explode("near").alias("n")).select("key", "text_key", "n.*")
     pairs = (
         near.groupBy("value", "term", "context").agg(F.count_distinct("key", "text_key").alias("n"))
         .groupBy("value", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both"))
-        .filter(F.col("contexts") >= min_contexts)
     )
     values = seen.select("key", "text_key", F.explode("near.value").alias("value")).distinct().groupBy("value").agg(F.count("*").alias("n_value"))
     joined = pairs.join(term_counts(documents, text).withColumnRenamed("n", "n_term"), "term").join(values, "value").withColumn("n_docs", F.lit(seen.count()))
-    both = F.least("n_both", "n_term", "n_value")
     ic = F.log(F.col("n_docs") / F.col("n_value"))
-    pmi = F.log(both * F.col("n_docs") / (F.col("n_term") * F.col("n_value")))
-    return joined.withColumn("disclosure", F.when(ic > 0, pmi / ic)).filter(F.col("disclosure") >= generalise).select("value", "term", "disclosure")
+    given = lower_share(F.col("contexts"), F.col("contexts") + F.greatest(F.col("n_term") - F.col("n_both"), F.lit(0)), confidence)
+    return joined.withColumn("disclosure", F.when(ic > 0, 1 + F.log(given) / ic)).filter(F.col("disclosure") >= generalise).select("value", "term", "disclosure")
 
 
 def find(documents: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:

@@ -254,6 +254,18 @@ def test_terms_that_give_a_value_away(spark):
     assert not any("zebrafish" in r.text or "@" in r.text for r in pii.sanitise(df).collect())
 
 
+def test_terms_of_rare_values_are_judged(spark):
+    rows = [(i, f"the quick brown words about nothing special number {i}") for i in range(3000)]
+    rows += [(5000 + i, f"{w} about okapi then mail u{i}@rare.example.net sent with words") for i, w in enumerate(["north", "south", "west", "east"])]
+    rows += [(6000 + i, f"{w} quokka mail twice@other.example.org sent with words") for i, w in enumerate(["up", "down"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    told = {(r.doc_id, texts[r.doc_id][s["start"] : s["end"]]) for r in pii.find(df).collect() for s in r.added}
+    # Each address of the pool stands in one document; the other value in two.
+    assert {i for i, t in told if t == "okapi"} == {5000 + i for i in range(4)}
+    assert {i for i, t in told if t == "quokka"} == {6000, 6001} and not {t for _, t in told} & {"words", "about"}
+
+
 def test_quality_on_held_out_rows(spark):
     rows = load_all()["op2_quality"][0](spark, MIDDLE).filter("held_out").join(spark.read.parquet(f"{MIDDLE}/labels.parquet"), "doc_id").collect()
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.93
