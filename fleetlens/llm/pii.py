@@ -6,13 +6,14 @@ information of term and value over documents, the disclosure of a term is PMI /
 1 + log p(e | term) / IC, which is 1 where the term never occurs without the value. For
 p(e | term) stands the lower end of its confidence interval, so that every pair is judged
 by as much as is known of it. Values are judged alone and pooled: addresses by domain,
-IP addresses by network, card and phone numbers by their first digits. Terms near a
-mention whose disclosure exceeds a threshold are generalised, those beyond a second one
-are removed.
+IP addresses by network, card and phone numbers by their first digits. Terms are whole
+words of any length; one occurs with a value wherever both stand in the document. Terms
+whose disclosure exceeds a threshold are generalised, those beyond a second one are
+removed, in every document and wherever they stand in it.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal
 spans each, and rows that share an id are told apart by their text; copies of a passage
-count once as evidence; columns besides the key and the text are passed on by
+around a value count once as evidence; columns besides the key and the text are passed on by
 ``sanitise`` and ignored by ``find``; an empty table gives an empty result.
 """
 
@@ -20,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +40,9 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
+TERM = re.compile(r"\b[\d_]*[^\W\d_]\w*")
 
-#: Terms on either side of a mention, and the characters in which they are looked for.
+#: Terms on either side of a mention that name its context, and the characters in which they are looked for.
 WINDOW, REACH = 8, 160
 #: Standard deviations between the share of a value in a term's occurrences and the lower end that is taken for it.
 CONFIDENCE = 1.96
@@ -49,6 +52,8 @@ PREFIX = 6
 GENERALISE, REMOVE = 0.8, 0.95
 #: Terms counted by a task before it hands them on; bounds memory only.
 COUNTED = 200_000
+#: Bits of the filter that tells most other terms from disclosing ones before the join: 4 MB, which bounds memory only.
+FILTER = 1 << 25
 
 
 def passes_luhn(digits: str) -> bool:
@@ -106,40 +111,52 @@ def entities_of(kind: str, text: str) -> tuple[str, str]:
     return value, f"{kind}-prefix:{value.removeprefix(kind + ':')[:PREFIX]}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, str]]):
-    """For each mention its value and its pool, each with a name of the context and the terms near it with their places."""
-    taken = sorted((a, b) for a, b, _ in spans)
+def terms_of(text: str) -> set[str]:
+    return {m.lower() for m in TERM.findall(text)}
+
+
+def contexts(text: str, spans: list[tuple[int, int, str]]) -> dict[str, int]:
+    """For each value and pool of a text a name of the context in which it stands first."""
+    out: dict[str, int] = {}
     for a, b, kind in spans:
-        left = [m for m in TERM.finditer(text, max(0, a - REACH), a)][-WINDOW:]
-        right = [m for m in TERM.finditer(text, b, min(len(text), b + REACH))][:WINDOW]
-        near = [(m.group().lower(), m.start(), m.end()) for m in left + right if not any(x < m.end() and m.start() < y for x, y in taken)]
-        name = hashlib.blake2b(" ".join(t for t, _, _ in near).encode(), digest_size=8).digest()
+        near = [m.group().lower() for m in TERM.finditer(text, max(0, a - REACH), a)][-WINDOW:]
+        near += [m.group().lower() for m in TERM.finditer(text, b, min(len(text), b + REACH))][:WINDOW]
+        name = hashlib.blake2b(" ".join(near).encode(), digest_size=8).digest()
         for entity in entities_of(kind, text[a:b]):
-            yield entity, int.from_bytes(name, "little", signed=True), near
+            out.setdefault(entity, int.from_bytes(name, "little", signed=True))
+    return out
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-NEAR = pa.struct([("value", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+ENTITY = pa.struct([("value", pa.string()), ("context", pa.int64())])
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
+def text_key(text: str | None) -> bytes:
+    return hashlib.blake2b((text or "").encode(), digest_size=16).digest()
+
+
 def mentions(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``text_key``, base spans and the terms near them, one row per document."""
+    """``key``, ``text_key``, base spans, values with their contexts and, where there are any, the terms, one row per document."""
 
     def run(batches):
         for batch in batches:
-            keys, spans, near = [], [], []
+            keys, spans, entities, terms = [], [], [], []
             for value in batch.column(1).to_pylist():
                 t = value or ""
                 found = base_spans(t)
-                keys.append(hashlib.blake2b(t.encode(), digest_size=16).digest())
+                keys.append(text_key(t))
                 spans.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
-                near.append([{"value": v, "context": c, "term": w, "start": x, "end": y} for v, c, terms in contexts(t, found) for w, x, y in terms])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(spans, pa.list_(SPAN)), pa.array(near, pa.list_(NEAR))], ["key", "text_key", "base", "near"])
+                entities.append([{"value": v, "context": c} for v, c in contexts(t, found).items()])
+                terms.append(sorted(terms_of(t)) if found else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(spans, pa.list_(SPAN)), pa.array(entities, pa.list_(ENTITY)), pa.array(terms, pa.list_(pa.string()))],
+                ["key", "text_key", "base", "entities", "terms"],
+            )
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, text_key binary, base {SPANS}, near array<struct<value:string,context:bigint,term:string,start:bigint,end:bigint>>")
+    return rows.mapInArrow(run, f"key {kind}, text_key binary, base {SPANS}, entities array<struct<value:string,context:bigint>>, terms array<string>")
 
 
 def term_counts(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -155,7 +172,7 @@ def term_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                counts.update({*TERM.findall((value or "").lower())})
+                counts.update(terms_of(value or ""))
                 if len(counts) > COUNTED:
                     yield flush()
         if counts:
@@ -173,27 +190,81 @@ def lower_share(k, n, z: float = CONFIDENCE):
 def disclosures(seen: DataFrame, documents: DataFrame, text: str = "text", confidence: float = CONFIDENCE, generalise: float = GENERALISE) -> DataFrame:
     """``value``, ``term`` and ``disclosure`` of the pairs at or above the threshold.
 
-    ``seen`` is the table of ``mentions``. Evidence for a pair are its different contexts,
-    evidence against it the documents that have the term without the value.
+    ``seen`` is the table of ``mentions``. Evidence for a pair are the different contexts
+    of the value in documents with the term, evidence against it the documents that have
+    the term without the value.
     """
-    near = seen.select("key", "text_key", F.explode("near").alias("n")).select("key", "text_key", "n.*")
+    texts = seen.filter(F.size("entities") > 0).groupBy("text_key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("n"))
+    held = texts.select("terms", "n", F.explode("entities").alias("e")).select("e.value", "e.context", "n", F.explode("terms").alias("term"))
+    # Rows and copies first, so that nothing but sums goes by value and term.
     pairs = (
-        near.groupBy("value", "term", "context").agg(F.count_distinct("key", "text_key").alias("n"))
+        held.groupBy("value", "term", "context").agg(F.sum("n").alias("n"))
         .groupBy("value", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both"))
     )
-    values = seen.select("key", "text_key", F.explode("near.value").alias("value")).distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    joined = pairs.join(term_counts(documents, text).withColumnRenamed("n", "n_term"), "term").join(values, "value").withColumn("n_docs", F.lit(seen.count()))
+    values = seen.select(F.explode("entities.value").alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
+    joined = pairs.join(values, "value").join(term_counts(documents, text).withColumnRenamed("n", "n_term"), "term").withColumn("n_docs", F.lit(seen.count()))
     ic = F.log(F.col("n_docs") / F.col("n_value"))
     given = lower_share(F.col("contexts"), F.col("contexts") + F.greatest(F.col("n_term") - F.col("n_both"), F.lit(0)), confidence)
     return joined.withColumn("disclosure", F.when(ic > 0, 1 + F.log(given) / ic)).filter(F.col("disclosure") >= generalise).select("value", "term", "disclosure")
 
 
+def term_filter(terms: DataFrame, size: int = FILTER) -> bytes:
+    """A bit for each checksum of a term, of ``size`` bits however many terms there are."""
+    at = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(size))
+    words = terms.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 as int)))").alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(size // 32, "<u4")
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.tobytes()
+
+
+def occurrences(documents: DataFrame, terms: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``text_key``, ``term``, ``start`` and ``end`` of every occurrence outside base spans of a term that the filter lets through."""
+    shared = documents.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        bits = shared.value
+        size = 8 * len(bits)
+
+        def may_be(term):
+            at = zlib.crc32(term.encode()) % size
+            return bits[at >> 3] >> (at & 7) & 1
+
+        for batch in batches:
+            rows, keys, found, starts, ends = [], [], [], [], []
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                t = value or ""
+                wanted = {w for w in terms_of(t) if may_be(w)}
+                if not wanted:
+                    continue
+                taken, name, nth = sorted((a, b) for a, b, _ in base_spans(t)), text_key(t), 0
+                reached = 0
+                for m in TERM.finditer(t):
+                    a, b = m.span()
+                    # Spans that begin before the term ends; the farthest end of them tells whether one meets it.
+                    while nth < len(taken) and taken[nth][0] < b:
+                        reached = max(reached, taken[nth][1])
+                        nth += 1
+                    if a >= reached and (w := m.group().lower()) in wanted:
+                        rows.append(i)
+                        keys.append(name)
+                        found.append(w)
+                        starts.append(a)
+                        ends.append(b)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary()), pa.array(found, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+                ["key", "text_key", "term", "start", "end"],
+            )
+
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, text_key binary, term string, start long, end long")
+
+
 def find(documents: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """``key``, ``text_key``, ``base`` spans and ``added`` spans with their disclosure, one row per row."""
     seen = written(mentions(documents, key, text), "mentions")
-    near = seen.filter(F.size("near") > 0).select("key", "text_key", F.explode("near").alias("n")).select("key", "text_key", "n.*").distinct()
-    told = near.join(disclosures(seen, documents, text, **thresholds), ["value", "term"])
-    spans = told.groupBy("key", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    told = written(disclosures(seen, documents, text, **thresholds).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "told")
+    spans = occurrences(documents, term_filter(told), key, text).distinct().join(told, "term")
     added = spans.groupBy("key", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("added"))
     a, b = seen.select("key", "text_key", "base").alias("a"), added.alias("b")
     joined = a.join(b, F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.text_key") == F.col("b.text_key")), "left")
@@ -210,7 +281,10 @@ def masked(text: str, base: list, added: list, remove: float = REMOVE) -> str:
         if a >= reached:
             out += [text[reached:a], new]
         reached = max(reached, b)
-    return "".join(out) + text[reached:]
+    done = "".join(out) + text[reached:]
+    # What a removed term held apart can read as personal data.
+    again = base_spans(done) if added else []
+    return masked(done, [{"kind": k, "start": a, "end": b} for a, b, k in again], []) if again else done
 
 
 def sanitise(documents: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
@@ -228,7 +302,7 @@ def sanitise(documents: DataFrame, key: str = "doc_id", text: str = "text", **th
 
     @F.pandas_udf("binary")
     def named(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hashlib.blake2b((t or "").encode(), digest_size=16).digest())
+        return texts.map(text_key)
 
     rows = documents.select(F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("whole"), F.col(key).alias("key"), F.col(text).alias("text"))
     rows = rows.withColumn("as", named("text"))

@@ -266,6 +266,19 @@ def test_terms_of_rare_values_are_judged(spark):
     assert {i for i, t in told if t == "quokka"} == {6000, 6001} and not {t for _, t in told} & {"words", "about"}
 
 
+def test_terms_are_masked_wherever_they_stand(spark):
+    filler = "the quick brown words about nothing special here there everywhere " * 12
+    rows = [(i, f"{filler} number {i}") for i in range(500)]
+    rows += [(1000 + i, f"Okapi gnu {filler} {w} write to ann@example.com or okapi, okapis") for i, w in enumerate(["north", "south", "west", "east", "middle", "up"])]
+    rows += [(2000, "one text has Okapi and no address")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    told = {(r.doc_id, s["start"], texts[r.doc_id][s["start"] : s["end"]]) for r in pii.find(df, generalise=0.7).collect() for s in r.added}
+    assert all((1000 + i, 0, "Okapi") in told and (1000 + i, 6, "gnu") in told for i in range(6)) and (2000, 13, "Okapi") in told
+    assert sum(t.lower() == "okapi" for *_, t in told) == 13
+    assert not {t.lower() for *_, t in told} & {*filler.split()}
+
+
 def test_quality_on_held_out_rows(spark):
     rows = load_all()["op2_quality"][0](spark, MIDDLE).filter("held_out").join(spark.read.parquet(f"{MIDDLE}/labels.parquet"), "doc_id").collect()
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.93
