@@ -54,12 +54,12 @@ def dictionaries(training: DataFrame, text: str = "text", lang: str = "lang", si
     # Passages that texts of several languages begin with would make their dictionaries alike.
     start = F.pmod(F.shiftright("at", 7), F.greatest(F.length("text") - snippet, F.lit(0)) + 1) + 1
     rows = rows.select("lang", "at", F.substr(F.col("text"), start.cast("int"), F.lit(snippet)).alias("snippet"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("at", 0.02).alias("texts")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     wanted = size // snippet
-    # Texts whose hash falls in the lowest part, four times as many as are wanted.
+    # Texts whose hash falls in the lowest part, four times as many different ones as are wanted.
     share = F.lit(0.0)
     for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 4 * wanted / r["count"])).otherwise(share)
+        share = F.when(F.col("lang") == r["lang"], min(1.0, 4 * wanted / max(1, r["texts"]))).otherwise(share)
     low = rows.filter((F.col("at") / F.lit(2.0**64) + 0.5) < share).dropDuplicates(["lang", "at"])
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
     chosen = low.withColumn("nth", nth).filter(F.col("nth") <= wanted).select("lang", "at", "snippet").collect()

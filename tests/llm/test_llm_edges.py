@@ -117,3 +117,11 @@ def test_edits(odd, none):
     assert len(rows) == 12 and all(r.n_skipped == (4 if r.doc_id in (1, 2) else 3) for r in rows)
     assert edits.count_edited(odd.withColumn("edits", F.lit(None)), TOKENIZER).filter("tokens_before <> n_tokens").count() == 0
     assert edits.count_edited(some.limit(0), TOKENIZER).count() == 0
+
+
+def test_language_with_few_texts_beside_many_copies(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    rows = [(i, "one text of which there are many copies", "xx", "a", 1) for i in range(20_000)]
+    rows += [(30_000 + i, f"{w} marks a text of its own", "xx", "a", 1) for i, w in enumerate(words)]
+    content = language.dictionaries(table(spark, rows))["xx"].decode().split()
+    assert len({*content} & {*words}) >= language.DICTIONARY // language.SNIPPET - 1
