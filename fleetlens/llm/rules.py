@@ -159,8 +159,8 @@ def judge(documents: DataFrame, min_posterior: float = 0.5) -> DataFrame:
     voted = votes(written(base_counts(documents), "rule-counts"))
     names = [f"vote_{k}" for k in RULES]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    # Documents that fail the base rules are decided; the others teach how far each rule can be trusted.
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.filter(~failed).groupBy(*names).count().collect()]
+    # All documents teach how far each rule can be trusted, those that fail the base rules too.
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).count().collect()]
     start, adds = weights(*vote_rates(patterns))
     log_odds = F.lit(start)
     for name, add in zip(names, adds):

@@ -125,3 +125,10 @@ def test_language_with_few_texts_beside_many_copies(spark):
     rows += [(30_000 + i, f"{w} marks a text of its own", "xx", "a", 1) for i, w in enumerate(words)]
     content = language.dictionaries(table(spark, rows))["xx"].decode().split()
     assert len({*content} & {*words}) >= language.DICTIONARY // language.SNIPPET - 1
+
+
+def test_rules_learn_from_all_documents(odd, monkeypatch):
+    seen, learn = [], rules.vote_rates
+    monkeypatch.setattr(rules, "vote_rates", lambda patterns, *a, **b: seen.extend(patterns) or learn(patterns, *a, **b))
+    judged = rules.judge(odd)
+    assert sum(n for _, n in seen) == judged.count() and judged.filter("base_failed").count() > 0
