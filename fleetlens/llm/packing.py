@@ -74,9 +74,10 @@ def tokenized(documents: DataFrame, tokenizer: str, length: int = LENGTH, key: s
 
 def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP, seed: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: its document, place there, checksum, sequence and offset in it."""
-    rows = written(tokenized(documents, tokenizer, length, key, text), "tokenized")
+    # Rows are numbered as they are stored, once, so that repeated ones go to different groups.
+    rows = written(tokenized(documents, tokenizer, length, key, text).withColumn("row", F.monotonically_increasing_id()), "tokenized")
     n_groups = max(1, -(-rows.count() // group))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "doc_tokens", "crcs", F.lit(seed)), F.lit(n_groups)))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n_groups)))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(ident: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +103,7 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH, group: int
             "offset": np.concatenate([np.zeros(len(doc), dtype=np.int64), offset[with_rest]]),
         })
 
-    packed = rows.groupBy("group").applyInPandas(run, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    packed = rows.drop("row").groupBy("group").applyInPandas(run, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return packed.withColumnRenamed("key", key)
 
 

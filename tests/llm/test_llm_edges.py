@@ -127,6 +127,12 @@ def test_language_with_few_texts_beside_many_copies(spark):
     assert len({*content} & {*words}) >= language.DICTIONARY // language.SNIPPET - 1
 
 
+def test_repeated_rows_are_packed_in_groups_of_bounded_size(spark):
+    rows = packing.pack(table(spark, [(None, "", "en", "a", 0)] * 2000), TOKENIZER, group=100).collect()
+    groups = [r.sequence_id >> 32 for r in rows]
+    assert len(rows) == 2000 and max(map(groups.count, {*groups})) < 200
+
+
 def test_rules_learn_from_all_documents(odd, monkeypatch):
     seen, learn = [], rules.vote_rates
     monkeypatch.setattr(rules, "vote_rates", lambda patterns, *a, **b: seen.extend(patterns) or learn(patterns, *a, **b))
