@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
-MODULES = ("pii", "quality", "packing", "near", "lm", "exact", "language", "pieces", "rules", "edits", "infill", "secrets")
+MODULES = ("pii", "quality", "packing", "near", "lm", "exact", "language", "pieces", "rules", "edits", "infill", "secrets", "phrases")
 
 
 def query(name: str, sql: str | None = None):
