@@ -11,6 +11,7 @@ from fleetlens.sources.records import pairs_of, present, read_records
 
 # --- Fixed values: separators and line forms of the logs. -----------------------------
 RECORD_SEPARATOR = ";\n#"
+ADMIN_MARK = " administrator command:"
 STATEMENT_SEPARATOR = ";\n"
 TIME_LINE = r"(?m)^# Time: ([0-9: ]{15})"
 USER_LINE = r"# User@Host: ([^\[]+|\[[^\[]+\]).*?@ (\S*) \[(.*)\]"
@@ -22,7 +23,8 @@ ENTRY_HEADER = r"(?s)\A((?:(?:#|use |SET (?:last_insert_id|insert_id|timestamp))
 ATTRIBUTE_LINE = r"\A# +[A-Z][A-Za-z_]+: \S+"
 ATTRIBUTE = r"(\w+):\s+(\S+|\Z)"
 ADMIN_LINE = r"(?m)^(# administrator command:.*)$"
-GENERAL_LINE = r"(?s)\A(\d{6}\s\d{1,2}:\d\d:\d\d)?\s+(\d+)\s(\w+)\s+(.*)\z"
+GENERAL_FORM = r"(?:\d{6}\s\d{1,2}:\d\d:\d\d)?\s+\d+\s\w+\s+"
+GENERAL_LINE = r"(?s)\A(\d{6}\s\d{1,2}:\d\d:\d\d)?\s+(\d+)\s(\w+)[^\S\n]+(.*)\z"
 BINLOG_HEADER = (
     r"(?m)^#(\d{6}\s+\d{1,2}:\d\d:\d\d)\s+server\s+id\s+(\d+)\s+end_log_pos\s+(\d+)\s+(\S+)[^\S\n]*([^\n]*)$"
 )
@@ -38,45 +40,36 @@ STATEMENT_VERBS = (
 
 
 def read_slow_log(spark: SparkSession, path, embed: str | None = None, capture: str | None = None) -> DataFrame:
-    return parse_slow_log(read_records(spark, path, RECORD_SEPARATOR), embed, capture)
+    return parse_slow_log(read_records(spark, path, RECORD_SEPARATOR, unless=ADMIN_MARK), embed, capture)
 
 
 def parse_slow_log(records: DataFrame, embed: str | None = None, capture: str | None = None) -> DataFrame:
     """Events of slow-log records ``(file, pos, value)``.
 
-    Common attributes are columns; all ``Key: value`` and ``SET`` pairs, and
-    those embedded in the statement, are in ``attrs``.
+    Records end before a line that opens an entry; administrator commands stay with
+    what they follow and are told apart here, so an entry never lies in two records.
+    ``(file, pos, part)`` names an event. Common attributes are columns; all
+    ``Key: value`` and ``SET`` pairs, and those embedded in the statement, are in ``attrs``.
     """
+    # Dropping a server header can join two records, so they are cut again.
     bare = F.regexp_replace("value", FILE_HEADER, "")
-    # Dropping a server header can join two records, so they are cut again; each
-    # part knows its own start and end in the file.
-    cut = F.split(bare, RECORD_SEPARATOR, -1)
-    x = records.select("file", "pos", F.octet_length("value").alias("_size"), cut.alias("_cut"))
-    x = x.select("file", "pos", "_size", F.when(F.size("_cut") > 1, F.col("_cut")).alias("_all"), F.posexplode_outer("_cut").alias("part", "_t"))
-    before = F.octet_length(F.array_join(F.slice("_all", 1, F.col("part")), RECORD_SEPARATOR)) + len(RECORD_SEPARATOR)
-    x = x.withColumn("_start", F.col("pos") + F.when(F.col("part") > 0, before).otherwise(0))
-    inner = F.col("part") < F.size("_all") - 1
-    end = F.when(inner, F.col("_start") + F.octet_length("_t")).otherwise(F.col("pos") + F.col("_size"))
-    x = x.withColumn("_end", end + len(RECORD_SEPARATOR))
-    fixed = F.regexp_replace(F.when(F.col("_t").startswith("#"), F.col("_t")).otherwise(F.concat(F.lit("#"), "_t")), r";\n?#?\z", "")
-    x = x.filter(F.col("_t").rlike(r"[^#;\s]")).withColumn("_text", fixed)
-    header = F.regexp_extract("_text", ENTRY_HEADER, 1)
-    x = x.withColumn("_head", header).withColumn("_arg", F.substr(F.col("_text"), F.length("_head") + 1))
-    # A header alone goes with the administrator command of the record after it:
-    # the few such halves meet at the byte where one ends and the other starts.
-    lone = F.col("_text").rlike(r"\A# administrator command:[^\n]*\z")
-    bodiless = (F.col("_arg") == "") & ~F.col("_head").rlike(ADMIN_LINE)
-    none = F.lit(None).cast("string")
-    whole = x.filter(~lone & ~bodiless).select("file", "pos", "part", "_head", "_arg", none.alias("_tail"))
-    halves = x.filter(lone | bodiless).groupBy("file", F.when(lone, F.col("_start")).otherwise(F.col("_end")).alias("_at")).agg(
-        F.coalesce(F.max(F.when(bodiless, F.col("pos"))), F.max("pos")).alias("pos"), F.min("part").alias("part"),
-        F.coalesce(F.max(F.when(bodiless, F.col("_head"))), F.max("_head")).alias("_head"), F.lit("").alias("_arg"),
-        F.max(F.when(lone, F.col("_text"))).alias("_tail"),
-    ).filter("_tail is not null").drop("_at")
-    x = whole.unionByName(halves)
+    cut = F.filter(F.split(bare, RECORD_SEPARATOR + f"(?!{ADMIN_MARK})", -1), lambda t: t.rlike(r"[^#;\s]"))
+
+    def entries(text: Column) -> Column:
+        hashed = F.when(text.startswith("#"), text).otherwise(F.concat(F.lit("#"), text))
+        return F.transform(F.array(F.split(F.regexp_replace(hashed, r";\n?#?\z", ""), rf";\n(?=#{ADMIN_MARK})", -1)), headed)[0]
+
+    def headed(parts: Column) -> Column:
+        # A header alone goes with the administrator command after it.
+        first = F.get(parts, F.lit(0))
+        alone = (F.size(parts) > 1) & (F.regexp_replace(first, ENTRY_HEADER, "") == "") & ~first.rlike(ADMIN_LINE)
+        return F.when(alone, F.concat(F.array(F.concat_ws(";\n", first, F.get(parts, F.lit(1)))), F.slice(parts, 3, F.size(parts)))).otherwise(parts)
+
+    x = records.select("file", "pos", F.posexplode(F.flatten(F.transform(cut, entries))).alias("part", "_text"))
+    x = x.withColumn("_head", F.regexp_extract("_text", ENTRY_HEADER, 1)).withColumn("_arg", F.substr(F.col("_text"), F.length("_head") + 1))
 
     head = F.col("_head")
-    admin = F.coalesce(F.col("_tail"), present(F.regexp_extract(head, ADMIN_LINE, 1)))
+    admin = present(F.regexp_extract(head, ADMIN_LINE, 1))
     lines = F.filter(
         F.split(head, "\n"),
         lambda one: one.rlike(ATTRIBUTE_LINE) & ~one.rlike(r"\A# (?:Time|User@Host|administrator command):"),
@@ -139,23 +132,20 @@ def write_slow_log(events: DataFrame, path: str) -> None:
 
 
 def read_general_log(spark: SparkSession, path, more_commands: bool = False, block: int = 64 << 20) -> DataFrame:
-    return parse_general_log(read_records(spark, path), more_commands, block)
+    """A record of the reader is a whole statement, begun by a line of the general log's form."""
+    entries = read_records(spark, path, form=GENERAL_FORM)
+    part = [F.regexp_extract("value", GENERAL_LINE, i) for i in range(1, 5)]
+    e = entries.select("file", "pos", present(part[0]).alias("ts"), part[1].alias("Thread_id"), part[2].alias("_cmd"), part[3].alias("_all"))
+    return _general_events(e.withColumn("_first", F.substring_index("_all", "\n", 1)), more_commands, block)
 
 
 def parse_general_log(lines: DataFrame, more_commands: bool = False, block: int = 64 << 20) -> DataFrame:
-    """Events of general-log lines ``(file, pos, value)``.
-
-    Continuation lines join their statement; the current database of a thread
-    comes from its last Connect or Init DB. ``more_commands`` also takes Execute
-    as a statement and Change user as a connect.
-    """
-    statement = ["Query", "Execute"] if more_commands else ["Query"]
+    """Events of general-log lines ``(file, pos, value)``; continuation lines join their statement."""
     part = [F.regexp_extract("value", GENERAL_LINE, i) for i in range(1, 5)]
     x = lines.withColumns({
         "_new": F.when(F.col("value").rlike(GENERAL_LINE), 1).otherwise(0), "_ts": present(part[0]), "_id": part[1], "_cmd": part[2], "_arg": part[3],
     })
-    in_file = ordered.id_block("pos", block)
-    x = ordered.running_sum(x, {"_event": F.col("_new")}, ["pos"], in_file, ["file"]).filter("_event > 0")
+    x = ordered.running_sum(x, {"_event": F.col("_new")}, ["pos"], ordered.id_block("pos", block), ["file"]).filter("_event > 0")
     body = F.when(F.col("_new") == 1, F.col("_arg")).otherwise(F.col("value"))
     # One group is one statement's lines.
     e = x.groupBy("file", "_event").agg(
@@ -163,6 +153,16 @@ def parse_general_log(lines: DataFrame, more_commands: bool = False, block: int
         F.max(F.when(F.col("_new") == 1, F.col("_arg"))).alias("_first"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", body.alias("t")))), lambda p: p["t"]), "\n").alias("_all"),
     )
+    return _general_events(e, more_commands, block)
+
+
+def _general_events(e: DataFrame, more_commands: bool, block: int) -> DataFrame:
+    """Events of statements; the current database of a thread comes from its last Connect or Init DB.
+
+    ``more_commands`` also takes Execute as a statement and Change user as a connect.
+    """
+    statement = ["Query", "Execute"] if more_commands else ["Query"]
+    in_file = ordered.id_block("pos", block)
     word = r"(\S+)\s+\S+(?:\s+(\S+))?"
     login = F.col("_cmd") == "Connect"
     if more_commands:

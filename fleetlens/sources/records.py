@@ -1,30 +1,247 @@
-"""Delimited text records with a stable order and their byte position in the file."""
+"""Text records with their byte position in the file, from a data source that plans byte ranges.
+
+A record belongs to the range in which it begins, so every task finds the positions of
+its records by itself and nothing is shuffled for them. Records are what stands between
+separators, or, for logs whose entries span lines, what begins with a line of a form.
+"""
 
 from __future__ import annotations
 
+import fnmatch
+import posixpath
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+#: Bytes of a range, of one read, and of a batch that is handed on; these bound memory, not records.
+RANGE, READ, BATCH = 128 << 20, 1 << 20, 4 << 20
+#: Records of a batch at most.
+BATCH_RECORDS = 8192
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4")
+SCHEMA = "file string, pos long, size long, value string"
+
+
+@dataclass
+class Range(InputPartition):
+    file: str
+    start: int
+    end: int  # -1: to the end, for files that can only be read from their start
+
+    def __post_init__(self):
+        super().__init__((self.file, self.start, self.end))
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """The file system of a path or URI, the path there, and what goes before it."""
+    system, inner = pafs.FileSystem.from_uri(path)
+    return system, inner, path[: len(path) - len(inner)] if path.endswith(inner) else ""
+
+
+def listed(path: str) -> Iterator[tuple[str, int]]:
+    """Files under a path with their sizes: a file, a folder, or a pattern; hidden names are left out, in order of names."""
+    parts = path.split("/")
+    fixed = next((i for i, p in enumerate(parts) if re.search(r"[*?\[]", p)), len(parts))
+    system, root, before = opened("/".join(parts[:fixed]) or "/")
+    pattern = parts[fixed:]
+
+    def hidden(name: str) -> bool:
+        return name.startswith(("_", "."))
+
+    def below(folder: str, left: list[str]) -> Iterator[tuple[str, int]]:
+        inside = system.get_file_info(pafs.FileSelector(folder))
+        for info in sorted(inside, key=lambda i: i.path):
+            if hidden(info.base_name) or left and not fnmatch.fnmatchcase(info.base_name, left[0]):
+                continue
+            if info.type == pafs.FileType.Directory:
+                yield from below(info.path, left[1:])
+            elif len(left) <= 1:
+                yield before + info.path, info.size
+
+    info = system.get_file_info(root)
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == pafs.FileType.File:
+        yield before + root, info.size
+    else:
+        yield from below(posixpath.normpath(root), pattern)
+
+
+class Window:
+    """A growing window on a file: what was read and is not yet passed."""
+
+    def __init__(self, stream, at: int):
+        self.stream, self.at, self.data, self.ended = stream, at, b"", False
+
+    def more(self) -> bool:
+        """Read on; False at the end of the file."""
+        got = b"" if self.ended else self.stream.read(READ)
+        self.ended = not got
+        self.data += got
+        return bool(got)
+
+    def passed(self, pos: int) -> None:
+        """What is before ``pos`` is needed no more; it goes once it is as much as a read."""
+        if pos - self.at >= READ:
+            self.data, self.at = self.data[pos - self.at :], pos
+
+    def cut(self, pos: int, end: int | None = None) -> bytes:
+        return self.data[pos - self.at : None if end is None else end - self.at]
+
+    def find(self, what: bytes, pos: int, unless: bytes = b"") -> int:
+        """Where ``what`` stands from ``pos`` on and ``unless`` does not follow, or -1."""
+        while True:
+            i = self.data.find(what, pos - self.at)
+            if i < 0:
+                pos = max(pos, self.at + len(self.data) - len(what) + 1)
+                if not self.more():
+                    return -1
+                continue
+            after = i + len(what)
+            if unless:
+                while len(self.data) < after + len(unless) and self.more():
+                    pass
+                if self.data.startswith(unless, after):
+                    pos = self.at + after
+                    continue
+            return self.at + i
+
+
+def separated(window: Window, start: int, end: int, separator: bytes, unless: bytes = b"") -> Iterator[tuple[int, bytes]]:
+    """Records that begin in a range, between separators; what follows the last one counts if it is not empty."""
+    pos = start
+    if start:
+        cut = window.find(separator, window.at, unless)
+        if cut < 0:
+            return
+        pos = cut + len(separator)
+    while end < 0 or pos < end:
+        window.passed(pos)
+        cut = window.find(separator, pos, unless)
+        if cut < 0:
+            if rest := window.cut(pos):
+                yield pos, rest
+            return
+        yield pos, window.cut(pos, cut)
+        pos = cut + len(separator)
+
+
+def begun(window: Window, start: int, end: int, form: re.Pattern) -> Iterator[tuple[int, bytes]]:
+    """Records that begin in a range with a line of the form, up to the next such line; the last line's end is not part of them."""
+    pos, first, lines = start, -1, []
+    if start:
+        cut = window.find(b"\n", window.at)
+        if cut < 0:
+            return
+        pos = cut + 1
+    while True:
+        window.passed(pos)
+        cut = window.find(b"\n", pos)
+        line = window.cut(pos, None if cut < 0 else cut)
+        if cut < 0 and not line:
+            break
+        if form.match(line):
+            if first >= 0:
+                yield first, b"\n".join(lines)
+            first, lines = (pos, [line]) if end < 0 or pos < end else (-1, [])
+        elif first >= 0:
+            lines.append(line)
+        if cut < 0 or first < 0 and 0 <= end <= cut + 1:
+            break
+        pos = cut + 1
+    if first >= 0:
+        yield first, b"\n".join(lines)
+
+
+class RecordReader(DataSourceReader):
+    """Plans ranges of files and reads the records that begin in one."""
+
+    def __init__(self, options):
+        self.paths = options["path"].split("\n")
+        self.range = int(options.get("rangebytes", RANGE))
+        self.separator = options.get("separator", "\n").encode()
+        self.unless = options.get("unless", "").encode()
+        form = options.get("form")
+        self.form = re.compile(form.encode()) if form else None
+        if any(self.separator.startswith(self.separator[i:]) for i in range(1, len(self.separator))):
+            raise ValueError("a separator must not overlap itself: where it stands would depend on where reading began")
+
+    def partitions(self) -> list[Range]:
+        out = []
+        for path in self.paths:
+            for file, size in listed(path):
+                if file.endswith(COMPRESSED):
+                    out.append(Range(file, 0, -1))
+                else:
+                    out += [Range(file, at, min(at + self.range, size)) for at in range(0, size, self.range)]
+        return out or [Range("", 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if not partition.file:
+            return
+        system, inner, _ = opened(partition.file)
+        before = 1 if self.form else len(self.separator)
+        if partition.end < 0:
+            stream, at = system.open_input_stream(inner), 0
+        else:
+            stream, at = system.open_input_file(inner), max(0, partition.start - before)
+            stream.seek(at)
+        window = Window(stream, at)
+        if self.form:
+            records = begun(window, partition.start, partition.end, self.form)
+        else:
+            records = separated(window, partition.start, partition.end, self.separator, self.unless)
+        with stream:
+            places, values, held = [], [], 0
+            for pos, value in records:
+                places.append(pos)
+                values.append(value)
+                held += len(value)
+                if held >= BATCH or len(values) >= BATCH_RECORDS:
+                    yield self.batch(partition.file, places, values)
+                    places, values, held = [], [], 0
+            if values:
+                yield self.batch(partition.file, places, values)
+
+    @staticmethod
+    def batch(file: str, places: list[int], values: list[bytes]) -> pa.RecordBatch:
+        sizes = pa.array(map(len, values), pa.int64())
+        try:
+            text = pa.array(values, pa.binary()).cast(pa.string())
+        except pa.ArrowInvalid:
+            text = pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(values), pa.string()), pa.array(places, pa.int64()), sizes, text], ["file", "pos", "size", "value"])
+
+
+class RecordSource(DataSource):
+    """``spark.read.format("records")``: options ``path``, ``separator`` and ``unless``, or ``form``, and ``rangeBytes``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "records"
+
+    def schema(self) -> str:
+        return SCHEMA
 
-from fleetlens.operators import ordered
+    def reader(self, schema) -> RecordReader:
+        return RecordReader(self.options)
 
 
-def read_records(spark: SparkSession, path, separator: str = "\n", positions: bool = True) -> DataFrame:
-    """``(file, pos, value)``: records of text files cut at a separator.
+def read_records(spark: SparkSession, path: str | list[str], separator: str = "\n", unless: str = "", form: str | None = None, range_bytes: int = RANGE) -> DataFrame:
+    """``(file, pos, size, value)`` of text files: records between separators, or begun by a line of a form.
 
-    Files are read in splits. Inside one split rows come in file order, so
-    (block start, running row id) orders a file; ``pos`` is then the sum of the
-    bytes before, added up per split first. Without ``positions``, ``pos`` only
-    orders records within a file split and across splits.
+    A separator that ``unless`` follows is none. ``pos`` and ``size`` are bytes of the file
+    (of the text, in a compressed one), whatever the ranges; bytes that are no UTF-8 are
+    replaced in ``value`` only. Compressed files are one range each.
     """
-    raw = spark.read.text(path, lineSep=separator).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"), "value",
-    )
-    size = F.octet_length("value") + len(separator.encode())
-    if not positions:
-        return raw.select("file", F.struct("_block", "_row").alias("pos"), "value")
-    out = ordered.running_sum(raw, {"pos": size}, ["_row"], F.col("_block"), ["file"], include_current=False)
-    return out.select("file", F.col("pos").cast("long"), "value")
+    spark.dataSource.register(RecordSource)
+    options = {"path": path if isinstance(path, str) else "\n".join(path), "separator": separator, "unless": unless, "rangeBytes": str(range_bytes)}
+    return spark.read.format("records").options(**options, **({"form": form} if form else {})).load()
 
 
 def pairs_to_map(keys: Column, values: Column) -> Column:

@@ -66,14 +66,3 @@ def usage_rows(counters: DataFrame, collected_at) -> DataFrame:
     """Usage counters with the time of collection, ready to append."""
     at = F.lit(collected_at).cast("timestamp")
     return counters.withColumn("collected_at", at).withColumn("collected_date", F.to_date(at))
-
-
-def replace_table(df: DataFrame, path: str, staging: str) -> None:
-    """Overwrite a table by a result computed from it.
-
-    The result is written to ``staging`` first, so the table is only touched
-    when all of it exists, and an interrupted swap can be repeated from there.
-    """
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(staging)
-    spark.read.schema(df.schema).parquet(staging).write.mode("overwrite").parquet(path)
