@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import histogram as hist
-from fleetlens.operators import ordered
+from fleetlens.operators import lineage, ordered, selection
 
 
 def _wide(df: DataFrame, keys: list[str], numeric, text, boolean) -> DataFrame:
@@ -54,6 +54,26 @@ def digest(events: DataFrame, group_by: list[str], numeric=(), text=(), boolean=
     return _unpivot(wide, group_by, numeric, text, boolean)
 
 
+def rewritten_classes(events: DataFrame, raw: str, rewrite, name: str, group_by: list[str] = (), sums: dict[str, str] | None = None) -> DataFrame:
+    """``cnt`` and sums per class, where the class is a dear rewrite of a text.
+
+    Equal texts are counted first, map side, and meet by their hash; each is then
+    rewritten once, in parallel however few files the events come from.
+    """
+    sums = sums or {}
+    by_text = events.groupBy(raw, *group_by).agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    classes = by_text.select(rewrite(F.col(raw)).alias(name), *group_by, "cnt", *sums)
+    return classes.groupBy(name, *group_by).agg(F.sum("cnt").alias("cnt"), *[F.sum(n).alias(n) for n in sums])
+
+
+def rewritten_digest(events: DataFrame, raw: str, rewrite, name: str, numeric: list[str]) -> DataFrame:
+    """``digest`` of numeric attributes by a class that is a dear rewrite of a text, in the same two steps."""
+    wide = _wide(events, [raw], numeric, (), ()).withColumn(name, rewrite(F.col(raw)))
+    parts = {"cnt": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    whole = wide.groupBy(name).agg(*[fn(f"{a}|{part}").alias(f"{a}|{part}") for a in numeric for part, fn in parts.items()])
+    return _unpivot(whole, [name], numeric, (), ())
+
+
 def globals_of(classes: DataFrame) -> DataFrame:
     """The same figures over all classes, from the class rows."""
     return classes.groupBy("attribute", "type").agg(
@@ -106,12 +126,13 @@ def class_statistics(events: DataFrame, group_by: list[str], numeric: list[str])
 def metrics(events: DataFrame, group_by: list[str], numeric: list[str]) -> DataFrame:
     """The metrics row of each class and attribute: cnt, pct, sum, min, max, avg, median, pct_95, stddev.
 
-    The global count behind ``pct`` is one narrow pass over the counted columns,
-    kept as a scalar, so the class rows need not be built twice.
+    Events are read once: their histogram rows are written, and both the class
+    figures and the global count behind ``pct`` come from these.
     """
-    counts = events.agg(*[F.count(a).alias(a) for a in numeric])
-    everything = counts.select(F.map_from_arrays(F.array(*[F.lit(a) for a in numeric]), F.array(*numeric))).scalar()
-    x = class_statistics(events, group_by, numeric).withColumn("_all", everything)
+    rows = lineage.written(hist.buckets(events, group_by, numeric), "metrics")
+    counts = rows.groupBy("attribute").agg(F.sum("n").alias("n"))
+    everything = counts.agg(F.map_from_entries(F.collect_list(F.struct("attribute", "n")))).scalar()
+    x = hist.summarize(rows, [*group_by, "attribute"]).withColumn("_all", everything)
     return x.select(
         *group_by, "attribute", "cnt", (F.col("cnt") / F.col("_all")[F.col("attribute")]).alias("pct"),
         "sum", "min", "max", "avg", "median", "pct_95", "stddev", "cutoff",
@@ -198,14 +219,15 @@ def timeline(events: DataFrame, group_by: list[str], value: str, ts: str, order:
 
 def top_classes(classes: DataFrame, order_by: str, class_id: str, total_limit: float | None = None,
                 count_limit: int | None = None, pct_of: Column | None = None,
-                outlier: Column | None = None) -> DataFrame:
+                outlier: Column | None = None, block: int = selection.BLOCK_ROWS) -> DataFrame:
     """Classes of a report with their ``rank`` and ``reason``.
 
     A class is ``top`` while the total before it is under ``total_limit`` (or
     under ``pct_of``, a per-row column) and fewer than ``count_limit`` precede
     it; otherwise ``outlier`` when that column holds. With a count limit only
-    that many classes are ever ordered (a top-k); without one the running total
-    is taken in bands of the metric, each band in its own task.
+    that many classes are ever ordered (a top-k); without one the place where
+    the total is reached is found by counting, and ``block`` classes at most are
+    sorted, however many have one metric. ``classes`` is read several times.
     """
     ranked = classes.filter(F.col(order_by).isNotNull())
     order = [F.col(order_by).desc(), F.col(class_id)]
@@ -220,13 +242,11 @@ def top_classes(classes: DataFrame, order_by: str, class_id: str, total_limit: f
         chosen = top.select(class_id).withColumn("_top", F.lit(True))
         marked = ranked.join(chosen, class_id, "left")
         is_top = F.coalesce(F.col("_top"), F.lit(False))
+    elif no_limit:
+        marked, is_top = ranked, F.lit(True)
     else:
-        # Bands: power-of-two ranges of the metric, negated so they ascend as it falls.
-        band = F.when(F.col(order_by) <= 0, F.lit(0)).otherwise(
-            -F.floor(F.log2(F.col(order_by).cast("double")) * 16) - 100000
-        ).cast("long")
-        marked = ordered.running_sum(ranked, {"_before": F.col(order_by)}, order, band, include_current=False)
-        is_top = F.lit(True) if no_limit else (F.col("_before") < limit) | (limit == 0)
+        marked = selection.cut(ranked, [(order_by, True), (class_id, False)], limit, weight=F.col(order_by), block=block)
+        is_top = F.coalesce(F.col("inside"), F.lit(False)) | (limit == 0)
     reason = F.when(is_top, F.lit("top"))
     if outlier is not None:
         reason = reason.when(outlier, F.lit("outlier"))
@@ -255,24 +275,21 @@ def order_attribute(columns: list[str], wanted: str, fallback: str = "Query_time
     return "cnt"
 
 
-def trimmed_statistics(events: DataFrame, group_by: list[str], value: str, percent: int) -> DataFrame:
+def trimmed_statistics(events: DataFrame, group_by: list[str], value: str, percent: int, block: int = selection.BLOCK_ROWS) -> DataFrame:
     """Sum, avg, min and max of the lowest ``floor(n*p/100)`` values of each class.
 
-    Equal values are counted before the shuffle; the rank then runs over
-    distinct values in bands of the value, so no class is one task.
+    Equal values are counted first. Where the share of a class ends is found by
+    counting ranges of the value, however narrow they are, and only the values
+    of one range, ``block`` at most, are sorted.
     """
     v = F.col(value).cast("double")
     counted = events.filter(v.isNotNull()).groupBy(*group_by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    size = F.log2(F.greatest(F.abs(F.col("_v")), F.lit(1e-300))) * 64
-    size = F.greatest(F.floor(size + 64000), F.lit(0)) + 1
-    band = F.when(F.col("_v") == 0, F.lit(0)).when(F.col("_v") > 0, size).otherwise(-size).cast("long")
-    ranked = ordered.running_sum(counted, {"_before": F.col("_n")}, ["_v"], band, group_by, include_current=False)
-    totals = counted.groupBy(*group_by).agg(F.sum("_n").alias("n"))
-    joined = ranked.join(totals, group_by)
-    keep = F.floor(F.col("n") * percent / 100)
-    used = F.greatest(F.least(F.col("_n"), keep - F.col("_before")), F.lit(0))
+    counted = lineage.written(counted, "trimmed")
+    keep = F.floor(F.col("_total") * percent / 100)
+    ranked = selection.cut(counted, [("_v", False)], keep, group_by, F.col("_n"), block).filter("inside")
+    used = F.least(F.col("_n"), F.coalesce("room", "_n"))
     return (
-        joined.withColumn("_used", used).filter("_used > 0").groupBy(*group_by)
+        ranked.withColumn("_used", used).groupBy(*group_by)
         .agg(
             F.sum("_used").alias("cnt"), F.sum(F.col("_used") * F.col("_v")).alias("sum"),
             (F.sum(F.col("_used") * F.col("_v")) / F.sum("_used")).alias("avg"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import dates
-from fleetlens.operators import lineage
+from fleetlens.operators import lineage, selection
 
 #: Bounds that are looked up together.
 BOUNDS = 1024
@@ -100,17 +100,19 @@ def purge_older(rows: DataFrame, ts: str, retention: str, now) -> DataFrame:
     return rows.filter(F.col(ts).isNull() | (F.col(ts).cast("timestamp") >= cut))
 
 
-def split_rows(rows: DataFrame, condition: str, limit: int | None = None, order=()) -> tuple[DataFrame, DataFrame]:
+def split_rows(rows: DataFrame, condition: str, limit: int | None = None, order=(), block: int = selection.BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Rows matching a condition (at most ``limit``, in order, NULLs first) and the rest.
 
     With a limit the rows are written once with a number each, so that equal rows
-    and NULLs in the order are told apart: every row is on one side exactly.
+    and NULLs in the order are told apart: every row is on one side exactly. Where
+    the limit falls is found by counting, so it may be as large as the table.
     """
     hit = F.coalesce(F.expr(condition), F.lit(False))
     if limit is None:
         return rows.filter(hit), rows.filter(~hit)
     numbered = lineage.written(rows.withColumn("_row", F.monotonically_increasing_id()), "archive")
-    picked = lineage.written(numbered.filter(hit).orderBy(*order, "_row").limit(limit).select("_row"), "archived")
+    first = selection.cut(numbered.filter(hit).select(*dict.fromkeys(order), "_row"), [(o, False) for o in (*order, "_row")], F.lit(limit), block=block)
+    picked = lineage.written(first.filter("inside").select("_row"), "archived")
     return numbered.join(picked, "_row", "left_semi").select(*rows.columns), numbered.join(picked, "_row", "left_anti").select(*rows.columns)
 
 
@@ -131,17 +133,17 @@ def rotation_plan(tables: DataFrame, existing: DataFrame, name: str, date, patte
 # --- pruning and merging --------------------------------------------------------------
 
 
-def prune(parents: DataFrame, children: list[tuple[DataFrame, str]], key: str, keep: int) -> tuple[DataFrame, list[DataFrame]]:
+def prune(parents: DataFrame, children: list[tuple[DataFrame, str]], key: str, keep: int, block: int = selection.BLOCK_ROWS) -> tuple[DataFrame, list[DataFrame]]:
     """Keep the first ``keep`` parents by key; children of dropped parents go, orphans stay.
 
-    The cut is one key, from a top-k of ``keep`` keys. Parents of equal keys at the
+    The cut is one key, found by counting ranges of keys. Parents of equal keys at the
     cut all stay; a parent without a key is no one's parent and stays too. With
     ``keep`` 0 every parent with a key goes.
     """
     if keep <= 0:
         kept, gone = parents.filter(F.col(key).isNull()), parents.filter(F.col(key).isNotNull())
     else:
-        last = parents.select(key).filter(F.col(key).isNotNull()).orderBy(key).limit(keep).agg(F.max(key)).scalar()
+        last = selection.kth(parents, key, keep, block).scalar()
         kept, gone = parents.filter(F.col(key).isNull() | (F.col(key) <= last)), parents.filter(F.col(key) > last)
     out = []
     for child, ref in children:
