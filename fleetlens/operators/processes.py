@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fleetlens.operators import ordered
 
@@ -77,24 +80,60 @@ def state_counts(df: DataFrame, keys: list[str], known=KNOWN_STATES) -> DataFram
     )
 
 
-def _restarted(row: Column, head: Column) -> Column:
-    """Whether a row shows the statement of its head begun anew: time went back or the start drifted."""
-    fudge = F.when(row["time"] == F.floor(row["time"]), F.lit(1.0)).otherwise(F.lit(0.001))
-    drift = row["now"] - row["time"] - F.floor(head["now"] - head["time"]) - head["etime"] - row["etime"]
-    return (row["time"] < head["time"]) | (drift > fudge)
+#: Microseconds by which a statement's start may drift: with whole seconds, and with fractions.
+DRIFT_WHOLE, DRIFT_FRACTION = 1_000_000, 1_000
 
 
-def _follow(rows: Column, empty: Column) -> Column:
-    """Heads of a piece row by row: (head row, end of its last row, number of rows)."""
+def start_of(now: int, time: float, etime: float) -> int:
+    """Where a statement that a sample shows began, as the samples after it are measured against."""
+    return (now - round(time * 1e6)) // 1_000_000 * 1_000_000 + round(etime * 1e6)
 
-    def step(heads: Column, row: Column) -> Column:
-        fresh = F.array(F.struct(row.alias("r"), row["tick_after"].alias("ended"), F.lit(1).cast("long").alias("n")))
-        last = F.element_at(heads, -1)
-        longer = F.array(F.struct(last["r"].alias("r"), row["tick_after"].alias("ended"), (last["n"] + 1).alias("n")))
-        kept = F.concat(F.slice(heads, 1, F.size(heads) - 1), longer)
-        return F.when(F.size(heads) == 0, fresh).when(_restarted(row, last["r"]), F.concat(heads, fresh)).otherwise(kept)
 
-    return F.aggregate(rows, empty, step)
+def latest_start(now: int, time: float, etime: float) -> int:
+    """A sample goes on with a statement unless this is later than its start, or its time has gone back."""
+    return now - round(time * 1e6) - round(etime * 1e6) - (DRIFT_WHOLE if time == int(time) else DRIFT_FRACTION)
+
+
+def _grouped(batches, width: int):
+    """Rows of sorted batches by their first ``width`` values: a key and its rows, a block at most."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:width] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:width], []
+            rows.append(row[width:])
+    if rows:
+        yield key, rows
+
+
+def _block_heads(rows):
+    """What a block of a run does to a statement that comes into it, and the statements that begin in it.
+
+    ``rows`` are (now, time, etime, end, ...) in order. A statement that comes in goes on
+    up to the first row whose time is less than its own or whose start is later; only a
+    row below or beyond all before it can be that one, so these are kept with their
+    values, and each is followed as a statement of its own up to where it ends.
+    """
+    heads, live, least, latest = {}, {}, [], []
+    for at, (now, time, etime, *_) in enumerate(rows):
+        late = latest_start(now, time, etime)
+        broken = [h for h, (t, start) in live.items() if time < t or late > start]
+        first = False
+        if not least or time < least[-1][1]:
+            least.append((at, time))
+            first = True
+        if not latest or late > latest[-1][1]:
+            latest.append((at, late))
+            first = True
+        for h in broken:
+            heads[h][1] = at
+            del live[h]
+        if first or broken:
+            heads[at] = [at, -1, *rows[at]]
+            live[at] = (time, start_of(now, time, etime))
+    return list(heads.values()), least, latest
 
 
 def sessions(samples: DataFrame, block_seconds: int = 86400) -> DataFrame:
@@ -105,51 +144,88 @@ def sessions(samples: DataFrame, block_seconds: int = 86400) -> DataFrame:
     the margin. Its time is at least as long as it was seen. Statements still
     there at the last sample are left out.
 
-    Breaks visible between neighbours are found by windows over bounded blocks;
-    breaks that hold against any earlier row cut the runs further, and only the
-    remaining short pieces are followed row by row.
+    Breaks between neighbours are found by windows over bounded blocks. Breaks
+    against the first row of a statement, which may be far back, are found from
+    summaries: the rows of a block stream by once, whatever comes into it, and one
+    row per block is then passed in order with the statement that is open.
     """
     keys = ["server", "id"]
-    x = samples.withColumn("now", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
-    tick = x.select("server", "ts").distinct()
+    tick = samples.select("server", "ts").distinct()
     block = ordered.time_block("ts", block_seconds)
     ticks = ordered.previous(tick, ["ts"], ["ts"], block, ["server"], "before_")
     ticks = ordered.following(ticks, ["ts"], ["ts"], block, ["server"], "after_").withColumnsRenamed({"before_ts": "tick_before", "after_ts": "tick_after"})
-    live = x.filter("info is not null and info <> '' and time is not null").join(ticks, ["server", "ts"])
+    live = samples.filter("info is not null and info <> '' and time is not null").join(ticks, ["server", "ts"])
 
     def broken(before: Column, row: Column) -> Column:
         return ~(before["ts"].eqNullSafe(row["tick_before"]) & before["info"].eqNullSafe(row["info"]))
 
     live = ordered.islands(live, ["ts", "info", "tick_before"], broken, ["ts"], block, keys, "_run")
-    # Past every earlier start of the run, whichever row is the head: a sure break.
-    earlier = Window.partitionBy("server", "id", "_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("now") - F.col("time")
-    latest_start = F.max(F.floor(start) + F.col("etime")).over(earlier)
-    sure = (start - latest_start - F.col("etime") > 1.0) | (F.col("time") < F.min("time").over(earlier))
-    live = live.withColumn("_sure", F.when(F.coalesce(sure, F.lit(False)), 1).otherwise(0))
-    upto = Window.partitionBy("server", "id", "_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    live = live.withColumn("_piece", F.sum("_sure").over(upto))
     fields = [c for c in ("user", "host", "db") if c in samples.columns]
-    row = F.struct(
-        "ts", "now", F.col("time").cast("double").alias("time"), F.col("etime").cast("double").alias("etime"), "tick_after", "info", *fields
-    )
-    piece = Window.partitionBy("server", "id", "_run", "_piece")
-    live = live.select("server", "id", "_run", "_piece", row.alias("r"))
-    head = F.first("r").over(piece.orderBy("r.ts").rowsBetween(Window.unboundedPreceding, 0))
-    live = live.withColumn("_off", _restarted(F.col("r"), head))
-    live = live.withColumn("_dirty", F.max("_off").over(piece))
-    # Nearly every piece is one statement; only the rows of the others are gathered.
-    per = live.groupBy("server", "id", "_run", "_piece").agg(
-        F.struct(F.min_by("r", "r.ts").alias("r"), F.max_by("r.tick_after", "r.ts").alias("ended"), F.count(F.lit(1)).alias("n")).alias("_whole"),
-        F.array_sort(F.collect_list(F.when(F.col("_dirty"), F.col("r")))).alias("_rows"),
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    names = [*keys, "_run", "_block"]
+    rows = live.select(
+        *keys, "_run", block.alias("_block"), micros("ts").alias("now"), F.col("time").cast("double").alias("time"),
+        F.coalesce(F.col("etime").cast("double"), F.lit(0.0)).alias("etime"), micros("tick_after").alias("after"), "info", *fields,
     )
-    whole = F.array("_whole")
-    heads = F.when(F.size("_rows") == 0, whole).otherwise(_follow(F.col("_rows"), F.slice(whole, 1, 0)))
-    done = per.select(*keys, F.inline(heads)).filter("ended is not null")
-    r = F.col("r")
-    seen = F.unix_micros(F.col("ended").cast("timestamp")) / F.lit(1e6) - r["now"]
-    return done.select(
-        *keys, *[r[c].alias(c) for c in fields], r["info"].alias("arg"), F.length(r["info"]).alias("bytes"),
-        F.timestamp_seconds(F.floor(r["now"] - r["time"]) + r["time"]).alias("end_ts"),
-        F.greatest(r["time"], seen).alias("Query_time"), r["ts"].alias("first_seen"), F.col("n").alias("samples"),
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    head = ", ".join(f"`{c}`:{kinds[c]}" for c in ("now", "time", "etime", "after", "info", *fields))
+    summary = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", n long, after long, heads array<struct<at:int,next:int,{head}>>, least array<struct<at:int,time:double>>, latest array<struct<at:int,start:bigint>>"
+    found = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", " + ", ".join(f"`{c}` {kinds[c]}" for c in ("now", "time", "info", *fields)) + ", ended long, n long"
+    summary_schema, found_schema = (to_arrow_schema(T.StructType.fromDDL(s)) for s in (summary, found))
+
+    def batch(rows, schema):
+        columns = list(zip(*rows)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def summarised(batches):
+        out = []
+        for key, rows in _grouped(batches, len(names)):
+            heads, least, latest = _block_heads(rows)
+            as_rows = [dict(zip(("at", "next", "now", "time", "etime", "after", "info", *fields), h)) for h in heads]
+            out.append((*key, len(rows), rows[-1][3], as_rows, [{"at": a, "time": v} for a, v in least], [{"at": a, "start": v} for a, v in latest]))
+            if len(out) >= 1000:
+                yield batch(out, summary_schema)
+                out = []
+        yield batch(out, summary_schema)
+
+    def passed(batches):
+        out, run, open_ = [], None, None  # open_: the statement's head, its rows so far, the tick after the last
+
+        def done(head, n, ended):
+            if ended is not None:
+                out.append((*run[:2], head["now"], head["time"], head["info"], *(head[f] for f in fields), ended, n))
+
+        for b in batches:
+            for *key, _, n, after, heads, least, latest in zip(*(c.to_pylist() for c in b.columns)):
+                if key != run:
+                    if open_:
+                        done(*open_)
+                    run, open_, at = key, None, 0
+                else:
+                    start = start_of(open_[0]["now"], open_[0]["time"], open_[0]["etime"])
+                    at = min([x["at"] for x in least if x["time"] < open_[0]["time"]][:1] + [x["at"] for x in latest if x["start"] > start][:1], default=-1)
+                    if at < 0:
+                        open_ = (open_[0], open_[1] + n, after)
+                        continue
+                by_place = {h["at"]: h for h in heads}
+                if open_:
+                    done(open_[0], open_[1] + at, by_place[at]["now"])
+                while by_place[at]["next"] >= 0:
+                    done(by_place[at], by_place[at]["next"] - at, by_place[by_place[at]["next"]]["now"])
+                    at = by_place[at]["next"]
+                open_ = (by_place[at], n - at, after)
+            if len(out) >= 5000:
+                yield batch(out, found_schema)
+                out.clear()
+        if open_:
+            done(*open_)
+        yield batch(out, found_schema)
+
+    blocks = rows.repartition(*names).sortWithinPartitions(*names, "now").mapInArrow(summarised, summary)
+    ended = blocks.repartition(*keys, "_run").sortWithinPartitions(*names).mapInArrow(passed, found)
+    now, time = F.col("now") / F.lit(1e6), F.col("time")
+    return ended.select(
+        *keys, *fields, F.col("info").alias("arg"), F.length("info").alias("bytes"),
+        F.timestamp_seconds(F.floor(now - time) + time).alias("end_ts"),
+        F.greatest(time, (F.col("ended") - F.col("now")) / F.lit(1e6)).alias("Query_time"), F.timestamp_micros("now").alias("first_seen"), F.col("n").alias("samples"),
     )

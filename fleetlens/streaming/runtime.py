@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -21,6 +23,18 @@ def append_batches(stream: DataFrame, folder: str, mode: str = "append") -> Stre
     )
 
 
+@contextmanager
+def timed_state(spark: SparkSession):
+    """Queries that are started inside keep their state in RocksDB, which typed state and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def latest_rows(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     """The last row written for each key of an update-mode stream."""
     rows = spark.read.option("basePath", f"{folder}/data").parquet(f"{folder}/data")
