@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 # --- Fixed values: the rule words. ------------------------------------------------
 VERDICTS = ("pass", "kill")
+BINDING = "set"
 COMPARISONS = (">=", "<=", "!=", "=~", "==", ">", "<")
 NUMERIC_FIELDS = ("Id", "Time")
 # -----------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"""'[^']*'|"[^"]*"|/(?:\\.|[^/])*/i?|>=|<=|!=|=~|==|>|<|[^\s<>=!~]+""")
+_TOKEN = re.compile(r"""'[^']*'|"[^"]*"|/(?:\\.|[^/])*/i?|>=|<=|!=|=~|==|=|>|<|[^\s<>=!~]+""")
+
+
+_NAME = re.compile("[A-Za-z_]+")
 
 
 @dataclass(frozen=True)
@@ -54,14 +58,25 @@ def _comparison(left: str, op: str, right: str, numeric: set[str], columns: set[
 
 
 def read_rules(lines: list[str], columns: list[str], numeric=NUMERIC_FIELDS) -> list[Rule]:
-    """``pass|kill [now] [log] field op value [and|or ...]`` lines as rules."""
-    rules, names, nums = [], set(columns), set(numeric)
+    """``pass|kill [now] [log] field op value [and|or ...]`` lines as rules.
+
+    ``set name = value`` binds a name for the rules after it: to a number, a text, a
+    pattern, a field, or another name's value at that place. Fields cannot be bound.
+    """
+    rules, names, nums, bound = [], set(columns), set(numeric), {}
     for line in lines:
         line = line.strip()
         if not line or line.startswith("#"):
             continue
         tokens = _TOKEN.findall(line)
         verdict = tokens.pop(0)
+        if verdict == BINDING:
+            if len(tokens) != 3 or tokens[1] != "=" or not _NAME.fullmatch(tokens[0]):
+                raise ValueError(f"a binding is `set name = value`: {line}")
+            if tokens[0] in names:
+                raise ValueError(f"a field cannot be bound: {line}")
+            bound[tokens[0]] = bound.get(tokens[2], tokens[2])
+            continue
         if verdict not in VERDICTS:
             raise ValueError(f"unknown action in rule: {line}")
         flags = {"now": False, "log": False}
@@ -71,7 +86,8 @@ def read_rules(lines: list[str], columns: list[str], numeric=NUMERIC_FIELDS) ->
         while tokens:
             if len(tokens) < 3 or tokens[1] not in COMPARISONS:
                 raise ValueError(f"incomplete comparison in rule: {line}")
-            term = _comparison(tokens[0], tokens[1], tokens[2], nums, names)
+            left, right = (bound.get(t, t) for t in (tokens[0], tokens[2]))
+            term = _comparison(left, tokens[1], right, nums, names)
             condition = term if condition is None else (condition & term if joiner == "and" else condition | term)
             tokens = tokens[3:]
             if tokens:

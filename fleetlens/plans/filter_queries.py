@@ -160,6 +160,16 @@ def rule_verdicts(t: Tables):
     return out.select("event_id", "verdict", "rule", "log")
 
 
+@query("rules_with_bindings", f"""
+SELECT event_id, CASE WHEN time > 150 AND lower(command) = 'query' THEN 'kill' WHEN time > 80 AND lower(command) = 'connect' THEN 'kill' ELSE 'pass' END AS verdict,
+  CASE WHEN time > 150 AND lower(command) = 'query' THEN 1 WHEN time > 80 AND lower(command) = 'connect' THEN 0 END AS rule FROM {PROC_SQL}""")
+def rules_with_bindings(t: Tables):
+    """A name bound to another one's value keeps it when that one is bound anew."""
+    lines = ["set long = 80", "set limit = long", "set kind = 'connect'", "kill time > limit and command == kind", "set long = 150", "set limit = long", "set kind = 'Query'", "kill time > limit and command == kind"]
+    p = derived.processes(t)
+    return rules.verdicts(p, rules.read_rules(lines, p.columns, numeric=("id", "time"))).select("event_id", "verdict", "rule")
+
+
 @query("rules_with_status", f"""
 WITH s AS (SELECT server, count(*) AS threads FROM {PROC_SQL} GROUP BY 1)
 SELECT event_id, CASE WHEN threads > 2450 AND time > 50 THEN 'kill' ELSE 'pass' END AS verdict FROM {PROC_SQL} p JOIN s ON p.server = s.server""")
@@ -275,21 +285,49 @@ def process_log_rows(t: Tables):
     return out.select("event_id", "server", "command", "state", "event_date")
 
 
-@query("process_sessions", """
-WITH s AS (SELECT user_id AS id, to_timestamp(epoch(date_trunc('minute', ts)))::TIMESTAMP AS ts, any_value(event_type ORDER BY event_id) AS info,
-    CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2),
-k AS (SELECT ts, lead(ts) OVER (ORDER BY ts) AS nxt, lag(ts) OVER (ORDER BY ts) AS prv FROM (SELECT DISTINCT ts FROM s)),
-j AS (SELECT s.*, k.nxt, k.prv, lag(s.ts) OVER (PARTITION BY id ORDER BY s.ts) AS pts, lag(info) OVER (PARTITION BY id ORDER BY s.ts) AS pinfo FROM s JOIN k ON s.ts = k.ts),
-b AS (SELECT *, CASE WHEN pts IS NOT DISTINCT FROM prv AND pts IS NOT NULL AND pinfo = info AND epoch(ts) - epoch(pts) <= 1 THEN 0 ELSE 1 END AS brk FROM j),
-g AS (SELECT *, sum(brk) OVER (PARTITION BY id ORDER BY ts) AS grp FROM b)
-SELECT id, min(ts) AS first_seen, arg_min(info, ts) AS arg, count(*) AS samples, greatest(0.0, epoch(max(nxt)) - epoch(min(ts))) AS Query_time
-FROM g GROUP BY id, grp HAVING arg_max(nxt, ts) IS NOT NULL""")
-def process_sessions(t: Tables):
-    minute = F.date_trunc("minute", F.col("ts").cast("timestamp"))
-    s = t.events.groupBy(F.lit("s").alias("server"), F.col("user_id").alias("id"), minute.alias("ts")).agg(
-        F.min_by("event_type", "event_id").alias("info")
+#: Hourly samples of twenty connections on three servers: texts that hold for half a day, times that drift, jump back or have fractions, and connections that vanish.
+SESSION_SAMPLES = """
+  s AS (SELECT user_id % 20 AS id, epoch_us(date_trunc('hour', ts)) AS now, min(event_id) AS e FROM events GROUP BY 1, 2),
+  d AS (SELECT 's' || id % 3 AS server, id, now, CASE WHEN e % 13 > 0 THEN 'q' || (now // 43200000000 + id) % 3 END AS info,
+    CASE WHEN e % 11 = 0 THEN 5000000 ELSE now % 43200000000 + (e % 4) * 700000 + CASE WHEN e % 3 > 0 THEN 300000 * (e % 4) ELSE 0 END END AS time, (e % 2) * 100000 AS etime FROM s)"""
+SESSIONS_SQL = f"""
+WITH RECURSIVE {SESSION_SAMPLES},
+  t AS (SELECT server, now, lead(now) OVER w AS nxt, lag(now) OVER w AS prv FROM (SELECT DISTINCT server, now FROM d) WINDOW w AS (PARTITION BY server ORDER BY now)),
+  r AS (SELECT d.*, t.nxt, t.prv, row_number() OVER w AS rn, lag(d.now) OVER w AS pnow, lag(info) OVER w AS pinfo
+    FROM d JOIN t ON t.server = d.server AND t.now = d.now WHERE info IS NOT NULL WINDOW w AS (PARTITION BY id ORDER BY d.now)),
+  w AS (
+    SELECT id, rn, rn AS h, time AS ht, (now - time) // 1000000 * 1000000 + etime AS hs FROM r WHERE rn = 1
+    UNION ALL
+    SELECT id, rn, CASE WHEN brk THEN rn ELSE h END, CASE WHEN brk THEN time ELSE ht END, CASE WHEN brk THEN (now - time) // 1000000 * 1000000 + etime ELSE hs END
+    FROM (
+      SELECT r.*, w.h, w.ht, w.hs, r.pnow IS DISTINCT FROM r.prv OR r.pinfo <> r.info OR r.time < w.ht
+        OR r.now - r.time - r.etime - w.hs > CASE WHEN r.time % 1000000 = 0 THEN 1000000 ELSE 1000 END AS brk
+      FROM w JOIN r ON r.id = w.id AND r.rn = w.rn + 1
+    )
+  )
+SELECT w.id, arg_min(r.server, r.rn) AS server, make_timestamp(min(r.now)) AS first_seen, any_value(r.info) AS arg, count(*) AS samples,
+  round(greatest(arg_min(r.time, r.rn), max(r.nxt) - min(r.now)) / 1e6, 6) AS "Query_time"
+FROM w JOIN r ON r.id = w.id AND r.rn = w.rn GROUP BY w.id, w.h HAVING arg_max(r.nxt IS NOT NULL, r.rn)"""
+
+
+def session_samples(t: Tables):
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    s = t.events.groupBy((F.col("user_id") % 20).alias("id"), hour.alias("ts")).agg(F.min("event_id").alias("e"))
+    now, e = F.unix_micros("ts"), F.col("e")
+    half_day = F.lit(43_200_000_000)
+    drift = (e % 4) * 700_000 + F.when(e % 3 > 0, (e % 4) * 300_000).otherwise(0)
+    return s.select(
+        F.concat(F.lit("s"), F.col("id") % 3).alias("server"), "id", "ts",
+        F.when(e % 13 > 0, F.concat(F.lit("q"), (F.floor(now / half_day) + F.col("id")) % 3)).alias("info"),
+        (F.when(e % 11 == 0, 5_000_000).otherwise(now % half_day + drift) / 1e6).alias("time"), ((e % 2) * 0.1).alias("etime"),
     )
-    # A time of zero at every sample: each sample more than a second on is a restart.
-    s = s.withColumns({"time": F.lit(0), "etime": F.lit(0.0)})
-    out = processes.sessions(s)
-    return out.select("id", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "arg", "samples", "Query_time")
+
+
+def session_columns(df):
+    out = df.select("id", "server", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "arg", "samples", "Query_time")
+    return rounded(out, 6, "Query_time")
+
+
+@query("process_sessions", SESSIONS_SQL)
+def process_sessions(t: Tables):
+    return session_columns(processes.sessions(session_samples(t)))

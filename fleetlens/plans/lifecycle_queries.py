@@ -130,6 +130,28 @@ def prune(t: Tables):
     return one(kept, "parent").unionByName(one(lines, "child")).unionByName(one(bare, "parent of none")).unionByName(one(orphans, "child of none"))
 
 
+@query("prune_third", """
+WITH k AS (SELECT max(o_custkey) AS last FROM (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) AS r FROM orders) WHERE r <= (SELECT count(*) // 3 FROM orders))
+SELECT 'parent' AS side, count(*) AS rows FROM orders, k WHERE o_custkey <= last UNION ALL SELECT 'child', count(*) FROM customer, k
+WHERE NOT (c_custkey > last AND c_custkey IN (SELECT o_custkey FROM orders))""")
+def prune_third(t: Tables):
+    """A third of a table stays: the cut is found by counting, in blocks far smaller than that."""
+    parents = t.orders.select(F.col("o_custkey").alias("id"))
+    kept, (rest,) = lc.prune(parents, [(t.customer.select(F.col("c_custkey").alias("ref")), "ref")], "id", parents.count() // 3, block=200)
+    one = lambda df, side: df.agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("rows"))
+    return one(kept, "parent").unionByName(one(rest, "child"))
+
+
+@query("archive_third", """
+WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_totalprice, o_orderkey) AS r FROM orders)
+SELECT r <= (SELECT count(*) // 3 FROM orders) AS archived, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM o GROUP BY 1""")
+def archive_third(t: Tables):
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    gone, kept = lc.split_rows(rows, "true", rows.count() // 3, ["o_orderstatus", "o_totalprice", "o_orderkey"], block=200)
+    both = gone.withColumn("archived", F.lit(True)).unionByName(kept.withColumn("archived", F.lit(False)))
+    return both.groupBy("archived").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("child_tables", """
 WITH c AS (SELECT p_brand AS table_name, p_type || p_size % 3 AS column_name FROM part)
 SELECT DISTINCT table_name, column_name FROM c WHERE table_name <> 'Brand#1' AND column_name = 'SMALL1'
@@ -236,14 +258,18 @@ HOSTS_SQL = """h AS (SELECT event_type AS checksum, '10.0.0.' || user_id AS host
  UNION ALL SELECT event_type, '10.0.1.' || event_id % 5, 'DESTINATION', ts FROM events)"""
 
 
-def _hosts(t: Tables):
-    e = t.events.select(
+def host_observations(events):
+    e = events.select(
         F.col("event_type").alias("checksum"), F.concat(F.lit("10.0.0."), "user_id").alias("src"),
         F.concat(F.lit("10.0.1."), F.col("event_id") % 5).alias("dst"), "ts",
     )
     return lc.host_rows(e, "checksum", "src", "dst", "ts")
 
 
+def _hosts(t: Tables):
+    return host_observations(t.events)
+
+
 @query("host_map", f"""
 WITH {HOSTS_SQL} SELECT checksum, host, 167772160 + CASE WHEN type = 'SOURCE' THEN CAST(substr(host, 8) AS BIGINT) ELSE 256 + CAST(substr(host, 8) AS BIGINT) END AS ip, type,
   min(ts) AS first_seen, max(ts) AS last_seen FROM h GROUP BY 1, 2, 3, 4""")

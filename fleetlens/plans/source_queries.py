@@ -8,12 +8,12 @@ from fleetlens.operators import digest as dg
 from fleetlens.operators import lineage, ordered
 from fleetlens.plans.registry import Tables, query, rounded
 from fleetlens.sources import logs, packets, status, tables
+from fleetlens.sources.buckets import BucketTable
 
 
 
-def _slow_records(t: Tables):
-    """``events`` as slow-log records: ``;\\n#`` is cut off, as the reader does."""
-    e = t.events.select(
+def _slow_events(t: Tables):
+    return t.events.select(
         "event_id", F.col("user_id").alias("file"), F.date_format("ts", "yyMMdd HH:mm:ss").alias("ts"),
         F.concat(F.lit("u"), "user_id").alias("user"), F.concat(F.lit("h"), F.col("user_id") % 5).alias("host"), F.col("user_id").alias("Thread_id"),
         F.col("value").alias("Query_time"), (F.col("event_id") % 100).alias("Rows_sent"), F.lit("Yes").alias("QC_Hit"),
@@ -21,11 +21,23 @@ def _slow_records(t: Tables):
         F.when(F.col("event_id") % 11 == 0, "administrator command: Quit")
         .otherwise(F.concat(F.lit("SELECT *\nFROM "), "event_type", F.lit(" WHERE id = "), "event_id", F.lit(" /* page: p"), F.col("event_id") % 9, F.lit(" */"))).alias("arg"),
     )
+
+
+def _slow_records(t: Tables):
+    """``events`` as slow-log records: ``;\\n#`` is cut off, as the reader does."""
+    e = _slow_events(t)
     text = logs.slow_log_text(e)
     record = F.when(F.col("event_id") < 50, text).otherwise(F.substr(text, F.lit(2)))
     return e.select("file", F.col("event_id").alias("pos"), F.regexp_replace(record, r";\z", "").alias("value"))
 
 
+SLOW_TEXT = """'# Time: ' || strftime(ts, '%y%m%d %H:%M:%S') || chr(10) || '# User@Host: u' || user_id || '[u' || user_id || '] @ h' || user_id % 5 || ' []' || chr(10)
+  || '# Thread_id: ' || user_id || chr(10) || '# Query_time: ' || printf('%.6f', value) || '  Lock_time: 0.000000  Rows_sent: ' || event_id % 100 || '  Rows_examined: 0' || chr(10)
+  || '# QC_Hit: Yes  Full_scan: No  Full_join: No  Tmp_table: No  Disk_tmp_table: No' || chr(10) || '# Filesort: No  Disk_filesort: No  Merge_passes: 0' || chr(10)
+  || CASE WHEN event_id % 3 > 0 THEN 'use db' || event_id % 3 || ';' || chr(10) ELSE '' END
+  || CASE WHEN event_id % 11 = 0 THEN '# administrator command: Quit' ELSE 'SELECT *' || chr(10) || 'FROM ' || event_type || ' WHERE id = ' || event_id || ' /* page: p' || event_id % 9 || ' */' END || ';'"""
+
+
 SLOW_SQL = """
 SELECT event_id AS pos, strftime(ts, '%y%m%d %H:%M:%S') AS ts, 'u' || user_id || '[u' || user_id || '] ' AS account, 'h' || user_id % 5 AS host,
   CASE WHEN event_id % 3 > 0 THEN 'db' || event_id % 3 END AS db, CASE WHEN event_id % 11 = 0 THEN 'Admin' ELSE 'Query' END AS cmd,
@@ -46,15 +58,15 @@ FROM events WHERE event_id % 11 > 0 GROUP BY 1 UNION ALL SELECT '# administrator
 def slow_log_digest(t: Tables):
     from fleetlens.functions import text
 
-    e = logs.parse_slow_log(_slow_records(t)).select(text.fingerprint("arg").alias("fingerprint"), "Query_time")
-    out = dg.digest(e, ["fingerprint"], numeric=["Query_time"]).select("fingerprint", "cnt", "sum", "max")
+    e = logs.parse_slow_log(_slow_records(t)).select("arg", "Query_time")
+    out = dg.rewritten_digest(e, "arg", text.fingerprint, "fingerprint", ["Query_time"]).select("fingerprint", "cnt", "sum", "max")
     return rounded(out, 4, "sum")
 
 
-@query("slow_log_text", """
-SELECT event_id AS pos, length('# Time: ' || strftime(ts, '%y%m%d %H:%M:%S')) > 0 AS ok FROM events""")
+@query("slow_log_text", f"SELECT event_id AS pos, {SLOW_TEXT} AS value FROM events")
 def slow_log_text(t: Tables):
-    return _slow_records(t).select("pos", F.col("value").contains("Query_time: ").alias("ok"))
+    e = _slow_events(t)
+    return e.select(F.col("event_id").alias("pos"), logs.slow_log_text(e).alias("value"))
 
 
 GENERAL_KIND = "CASE event_id % 6 WHEN 0 THEN 'Connect' WHEN 3 THEN 'Init' WHEN 5 THEN 'Quit' ELSE 'Query' END"
@@ -93,12 +105,14 @@ def general_log_events(t: Tables):
     return out.select("pos", "Thread_id", "cmd", "arg", "db", "user", "host")
 
 
-@query("binlog_events", """
+BINLOG_SQL = """
 SELECT o_orderkey AS pos, CAST(o_orderkey * 100 AS VARCHAR) AS "offset", strftime(o_orderdate, '%y%m%d %-H:%M:%S') AS ts, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_custkey AS VARCHAR) END AS Xid,
   CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_custkey % 90 AS VARCHAR) END AS Thread_id, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey % 7 AS DOUBLE) END AS Query_time,
   CASE WHEN o_orderkey % 5 > 0 THEN 'db' || o_orderkey % 3 END AS db, CASE WHEN o_orderkey % 5 = 0 THEN 'COMMIT' ELSE 'INSERT INTO t' || chr(10) || 'VALUES (' || o_orderkey || ')' END AS arg,
-  CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey + 1000 AS VARCHAR) END AS stamp FROM orders""")
-def binlog_events(t: Tables):
+  CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey + 1000 AS VARCHAR) END AS stamp FROM orders"""
+
+
+def _binlog_records(t: Tables):
     k = F.col("o_orderkey")
     head = F.concat(
         F.when(k < 10, F.lit("DELIMITER /*!*/;\n# at ")).otherwise(F.lit(" at ")), (k * 100).cast("string"), F.lit("\n#"), F.date_format("o_orderdate", "yyMMdd H:mm:ss"),
@@ -107,11 +121,18 @@ def binlog_events(t: Tables):
     body = F.when(k % 5 == 0, F.concat(F.lit("Xid = "), "o_custkey", F.lit("\nCOMMIT/*!*/"))).otherwise(F.concat(
         F.lit("Query\tthread_id="), F.col("o_custkey") % 90, F.lit("\texec_time="), k % 7, F.lit("\terror_code=0\nuse db"), k % 3,
         F.lit("/*!*/;\nSET TIMESTAMP="), k + 1000, F.lit("/*!*/;\nINSERT INTO t\nVALUES ("), k, F.lit(")\n/*!*/")))
-    r = t.orders.select((k % 10).cast("string").alias("file"), k.alias("pos"), F.concat(head, body).alias("value"))
-    out = logs.parse_binlog_text(r)
+    return t.orders.select((k % 10).cast("string").alias("file"), k.alias("pos"), F.concat(head, body).alias("value"))
+
+
+def _binlog_columns(out):
     return out.select("pos", "offset", "ts", "Xid", "Thread_id", "Query_time", "db", "arg", F.col("attrs")["timestamp"].alias("stamp"))
 
 
+@query("binlog_events", BINLOG_SQL)
+def binlog_events(t: Tables):
+    return _binlog_columns(logs.parse_binlog_text(_binlog_records(t)))
+
+
 @query("raw_statements", """
 WITH s AS (SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN 'db' || event_id % 9 END AS u FROM events)
 SELECT event_id AS pos, last_value(u IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS db, 'DELETE' AS verb, 'DELETE FROM t' || event_id AS sql, event_id % 4 AS k
@@ -145,16 +166,22 @@ def _hex_records(t: Tables):
     return t.events.select(F.lit("dump").alias("file"), F.col("event_id").alias("pos"), F.concat(line, F.lit("\n\t0x0000: "), dump).alias("value"))
 
 
-@query("packet_fields", """
+PACKET_SQL = """
 SELECT event_id AS pos, '20' || strftime(ts, '%y-%m-%d %H:%M:%S.%f') AS ts, '10.0.0.' || user_id % 200 AS src_host, '4' || event_id % 100 AS src_port, '11211' AS dst_port,
   event_id AS seq, user_id AS ack, (event_id % 8) % 2 = 1 AS fin, (event_id % 8) // 2 % 2 = 1 AS syn, (event_id % 8) // 4 = 1 AS rst, true AS complete,
-  9 + length(CAST(event_id AS VARCHAR)) AS data_len, 'get key' || event_id || chr(13) || chr(10) AS payload FROM events""")
-def packet_fields(t: Tables):
-    p = packets.parse_packets(_hex_records(t))
+  9 + length(CAST(event_id AS VARCHAR)) AS data_len, 'get key' || event_id || chr(13) || chr(10) AS payload FROM events"""
+
+
+def _packet_columns(p):
     return p.select(
         "pos", "ts", "src_host", "src_port", "dst_port", "seq", "ack", "fin", "syn", "rst", "complete", "data_len", F.decode(F.unhex("data"), "UTF-8").alias("payload"))
 
 
+@query("packet_fields", PACKET_SQL)
+def packet_fields(t: Tables):
+    return _packet_columns(packets.parse_packets(_hex_records(t)))
+
+
 def _packet(client_side, ts, pos, seq, data, port="11211"):
     """Packet columns from a client or its server."""
     me, server = F.concat(F.lit("10.1.0."), F.col("cl")), F.lit("10.0.0.2")
@@ -271,14 +298,14 @@ def nested_documents(t: Tables):
 @query("replaced_table", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS o_totalprice FROM orders WHERE o_orderkey % 5 > 0 UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderkey % 5 = 0""")
 def replaced_table(t: Tables):
-    """A table appended to twice, then overwritten by a result computed from itself."""
-    folder, staging = lineage.shared_dir(t.spark, "table"), lineage.shared_dir(t.spark, "staging")
+    """Rows appended in two parts, loaded into a table, which is then overwritten by a result computed from itself."""
+    folder, table = lineage.shared_dir(t.spark, "appended"), BucketTable(t.spark, lineage.shared_dir(t.spark, "table"), ["o_orderkey"], 16)
     rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice")).otherwise(0.0).alias("o_totalprice"))
     for rest in (0, 1):
         tables.append_rows(rows.filter(F.col("o_orderkey") % 2 == rest), folder)
-    now = t.spark.read.parquet(folder)
-    tables.replace_table(now.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(0.0)), folder, staging)
-    return t.spark.read.parquet(folder)
+    table.replace(t.spark.read.parquet(folder))
+    table.replace(table.read().withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(0.0)))
+    return table.read()
 
 
 # --- logs written from the tables and read by path ---------------------------------------
@@ -292,26 +319,85 @@ def _stored(t: Tables, rows, name: str, separator: str = "\n") -> str:
     return f"{folder}/*"
 
 
-@query("slow_log_files", "SELECT * EXCLUDE (pos) FROM (" + SLOW_SQL.replace("'u' || user_id || '[u' || user_id || '] ' AS account", "'u' || user_id AS \"user\"") + ")")
-def slow_log_files(t: Tables):
-    records = _slow_records(t).select(F.col("file").alias("part"), "pos", F.concat(F.when(F.col("value").startswith("#"), "").otherwise("#"), "value", F.lit(";")).alias("value"))
-    e = logs.read_slow_log(t.spark, _stored(t, records, "slow"), r"/\*.*?\*/", r"(\w+): (\w+)")
-    return e.select("ts", "user", "host", "db", "cmd", "arg", "Query_time", "Rows_sent", "Thread_id", F.col("attrs")["QC_Hit"].alias("qc"), F.col("attrs")["page"].alias("page"))
+def _before(size: str, part: str, order: str) -> str:
+    """Bytes of a part's records before each one, from the bytes each takes with its separator."""
+    return f"CAST(coalesce(sum({size}) OVER (PARTITION BY {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
+
 
+def _bytes(text: str) -> str:
+    return f"octet_length(encode({text}))"
 
-@query("general_log_files", f"SELECT * EXCLUDE (pos) FROM ({GENERAL_SQL})")
+
+SLOW_FILES_SQL = f"""
+WITH p AS (SELECT event_id, {_before(_bytes(SLOW_TEXT) + " + 1", "user_id", "event_id")} AS at FROM events)
+SELECT CASE WHEN p.at > 0 THEN p.at + 1 ELSE 0 END AS pos, s.* EXCLUDE (pos)
+FROM ({SLOW_SQL.replace("'u' || user_id || '[u' || user_id || '] ' AS account", "'u' || user_id AS " + chr(34) + "user" + chr(34))}) s JOIN p ON p.event_id = s.pos"""
+
+
+@query("slow_log_files", SLOW_FILES_SQL)
+def slow_log_files(t: Tables):
+    e = _slow_events(t)
+    stored = _stored(t, e.select(F.col("file").alias("part"), F.col("event_id").alias("pos"), logs.slow_log_text(e).alias("value")), "slow")
+    e = logs.read_slow_log(t.spark, stored, r"/\*.*?\*/", r"(\w+): (\w+)")
+    return e.select("pos", "ts", "user", "host", "db", "cmd", "arg", "Query_time", "Rows_sent", "Thread_id", F.col("attrs")["QC_Hit"].alias("qc"), F.col("attrs")["page"].alias("page"))
+
+
+GENERAL_FILES_SQL = f"""
+WITH e AS (SELECT *, {GENERAL_KIND} AS k FROM events),
+l AS (
+  SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%y%m%d %H:%M:%S') ELSE chr(9) END || chr(9) || '     ' || user_id || ' ' || k || chr(9)
+    || CASE WHEN k = 'Query' THEN 'SELECT ' || event_id WHEN k = 'Init' THEN 'DB' || chr(9) || 'i' || event_id % 4 WHEN k = 'Connect' AND event_id % 18 = 12 THEN 'Access denied for user'
+       WHEN k = 'Connect' THEN 'bob@web' || event_id % 3 || ' on' || CASE WHEN event_id % 18 = 6 THEN '' ELSE ' db' || event_id % 4 END ELSE '' END
+    || CASE WHEN k = 'Query' THEN chr(10) || '  FROM t' ELSE '' END AS line
+  FROM e
+),
+p AS (SELECT event_id, {_before(_bytes("line") + " + 1", "user_id", "event_id")} AS at FROM l)
+SELECT p.at AS pos, g.* EXCLUDE (pos) FROM ({GENERAL_SQL}) g JOIN p ON p.event_id * 1000 = g.pos"""
+
+
+@query("general_log_files", GENERAL_FILES_SQL)
 def general_log_files(t: Tables):
     lines = _general_lines(t).withColumn("event_id", F.floor(F.col("pos") / 1000)).join(t.events.select("event_id", F.col("user_id").alias("part")), "event_id")
     out = logs.read_general_log(t.spark, _stored(t, lines, "general"))
-    return out.select("Thread_id", "cmd", "arg", "db", "user", "host")
+    return out.select("pos", "Thread_id", "cmd", "arg", "db", "user", "host")
 
 
-@query("raw_statement_files", """
-WITH s AS (SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN 'db' || event_id % 9 END AS u FROM events)
-SELECT last_value(u IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS db, 'DELETE' AS verb, 'DELETE FROM t' || event_id AS sql
+RAW_TEXT = "CASE event_id % 4 WHEN 0 THEN 'USE `db' || event_id % 9 || '`' WHEN 3 THEN 'EXPLODE x' ELSE 'DELETE FROM t' || event_id END"
+
+
+@query("raw_statement_files", f"""
+WITH s AS (SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN 'db' || event_id % 9 END AS u, {_before(_bytes(RAW_TEXT) + " + 2", "user_id", "event_id")} AS pos FROM events)
+SELECT pos, last_value(u IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS db, 'DELETE' AS verb, 'DELETE FROM t' || event_id AS sql
 FROM s QUALIFY event_id % 4 IN (1, 2)""")
 def raw_statement_files(t: Tables):
     k = F.col("event_id") % 4
     sql = F.when(k == 0, F.concat(F.lit("USE `db"), F.col("event_id") % 9, F.lit("`"))).when(k == 3, "EXPLODE x").otherwise(F.concat(F.lit("DELETE FROM t"), "event_id"))
     rows = t.events.select(F.col("user_id").alias("part"), F.col("event_id").alias("pos"), sql.alias("value"))
-    return logs.read_raw_statements(t.spark, _stored(t, rows, "raw", logs.STATEMENT_SEPARATOR)).select("db", "verb", "sql")
+    return logs.read_raw_statements(t.spark, _stored(t, rows, "raw", logs.STATEMENT_SEPARATOR)).select("pos", "db", "verb", "sql")
+
+
+BINLOG_TEXT = """CASE WHEN o_orderkey < 10 THEN 'DELIMITER /*!*/;' || chr(10) || '# at ' ELSE ' at ' END || o_orderkey * 100 || chr(10) || '#' || strftime(o_orderdate, '%y%m%d %-H:%M:%S')
+  || ' server id 1  end_log_pos ' || o_orderkey || ' ' || chr(9) || CASE WHEN o_orderkey % 5 = 0 THEN 'Xid = ' || o_custkey || chr(10) || 'COMMIT/*!*/' ELSE 'Query' || chr(9) || 'thread_id=' || o_custkey % 90
+  || chr(9) || 'exec_time=' || o_orderkey % 7 || chr(9) || 'error_code=0' || chr(10) || 'use db' || o_orderkey % 3 || '/*!*/;' || chr(10) || 'SET TIMESTAMP=' || o_orderkey + 1000 || '/*!*/;' || chr(10)
+  || 'INSERT INTO t' || chr(10) || 'VALUES (' || o_orderkey || ')' || chr(10) || '/*!*/' END"""
+
+
+@query("binlog_files", f"""
+WITH p AS (SELECT o_orderkey, {_before(_bytes(BINLOG_TEXT) + " + 3", "o_orderkey % 10", "o_orderkey")} + CASE WHEN o_orderkey < 10 THEN 18 ELSE 0 END AS at FROM orders)
+SELECT p.at AS pos, b.* EXCLUDE (pos) FROM ({BINLOG_SQL}) b JOIN p ON p.o_orderkey = b.pos""")
+def binlog_files(t: Tables):
+    """Decoded binary logs of ten servers; the delimiter set at the start of each holds to its end."""
+    stored = _stored(t, _binlog_records(t).withColumnRenamed("file", "part"), "binlog", logs.RECORD_SEPARATOR)
+    return _binlog_columns(logs.read_binlog_text(t.spark, stored))
+
+
+@query("packet_files", f"""
+WITH p AS (
+  SELECT event_id, length('24-01-01 00:00:00.000000 IP 10.0.0..4 > 10.0.0.2.memcached: tcp' || user_id % 200 || event_id % 100) AS head, 80 + 2 * (9 + length(CAST(event_id AS VARCHAR))) AS digits, user_id FROM events
+),
+q AS (SELECT event_id, {_before("head + 10 + digits + (digits + 3) // 4 + 3", "user_id", "event_id")} AS at FROM p)
+SELECT q.at AS pos, f.* EXCLUDE (pos) FROM ({PACKET_SQL}) f JOIN q ON q.event_id = f.pos""")
+def packet_files(t: Tables):
+    """Packet dumps of many clients, one folder each, read by path."""
+    rows = _hex_records(t).join(t.events.select(F.col("event_id").alias("pos"), F.col("user_id").alias("part")), "pos")
+    return _packet_columns(packets.read_packet_text(t.spark, _stored(t, rows, "packets", packets.PACKET_SEPARATOR)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.functions import dates, numbers, privileges, text
+from fleetlens.operators import digest as dg
 from fleetlens.plans.registry import Tables, query, rounded, when_ts
 
 K = "CAST(l_orderkey AS STRING)"
@@ -165,15 +166,15 @@ def document_classes(t: Tables):
 @query("document_class_counts", f"""
 SELECT upper(right(md5({fp_sql('text')}), 16)) AS class_id, count(*) AS cnt, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1""")
 def document_class_counts(t: Tables):
-    d = t.documents.select(text.class_id(text.fingerprint("text")).alias("class_id"), "n_chars")
-    return d.groupBy("class_id").agg(F.count(F.lit(1)).alias("cnt"), F.sum("n_chars").alias("chars"))
+    key = lambda raw: text.class_id(text.fingerprint(raw))
+    return dg.rewritten_classes(t.documents, "text", key, "class_id", sums={"chars": "n_chars"}).select("class_id", "cnt", "chars")
 
 
 @query("conversation_classes", f"""
 SELECT upper(right(md5({fp_sql('text')}), 16)) AS class_id, role, count(*) AS cnt FROM conversations GROUP BY 1, 2""")
 def conversation_classes(t: Tables):
-    c = t.conversations.select(text.class_id(text.fingerprint("text")).alias("class_id"), "role")
-    return c.groupBy("class_id", "role").agg(F.count(F.lit(1)).alias("cnt"))
+    key = lambda raw: text.class_id(text.fingerprint(raw))
+    return dg.rewritten_classes(t.conversations, "text", key, "class_id", ["role"])
 
 
 @query("strip_comments", r"""

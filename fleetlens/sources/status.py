@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import numbers
@@ -63,43 +65,52 @@ DERIVED = (
 # -------------------------------------------------------------------------------------------
 
 
-def status_metrics(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, metric, value) of engine status texts; counters are DECIMAL(38,0).
+METRIC = "struct<metric:string,hi:int,lo:int,hex:boolean>"
+#: What lines of any beginning may contain; those that begin otherwise than any pattern are looked at only if they do.
+HELD = "|".join(re.escape(text) for how, text, _ in PATTERNS if how == HOLD)
 
-    Metrics that repeat are added up, others take their last line. Differences
-    of counters are added as metrics of their own.
-    """
-    lines = texts.select(*keys, F.posexplode(F.split(text, "\n")).alias("_n", "_l")).withColumn("_l", F.trim("_l"))
-    lines = lines.withColumn("_w", F.split("_l", " +"))
-    line = F.col("_l")
 
-    def token(i: int):
-        return F.get("_w", F.lit(i))
+def _by_word(spark: SparkSession) -> DataFrame:
+    """For each word a line may begin with the patterns to try, in order; the empty word stands for all others."""
+    def row(i: int):
+        how, text, metrics = PATTERNS[i]
+        return how, text, [(name, hi, lo[0] if lo else None, name in HEX_COUNTERS) for name, hi, *lo in metrics]
 
-    def digits(i: int):
-        return F.regexp_extract(token(i), r"(\d+)", 1).try_cast("decimal(38,0)")
+    words = {text.split(" ")[0] for how, text, _ in PATTERNS if how == START}
+    rows = []
+    for word in ("", *sorted(words)):
+        wanted = [i for i, (how, text, _) in enumerate(PATTERNS) if how == HOLD or text.split(" ")[0] == word]
+        rows.append((word, [row(i) for i in wanted]))
+    return spark.createDataFrame(rows, f"_word string, _try array<struct<how:string,text:string,metrics:array<{METRIC}>>>")
 
-    def entry(metric):
-        name, hi, *lo = metric
-        if not lo:
-            value = digits(hi)
-        else:
-            low = F.when(token(lo[0]).rlike(r"\A\d+\z"), token(lo[0]))
-            single = numbers.hi_lo(token(hi)) if name in HEX_COUNTERS else digits(hi)
-            value = F.when(low.isNull(), single).otherwise(numbers.hi_lo(digits(hi), low))
-        return F.struct(F.lit(name).alias("metric"), value.cast("decimal(38,0)").alias("value"))
 
+def status_metrics(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, metric, value) of engine status texts; counters are DECIMAL(38,0).
+
+    A line meets the patterns of the word it begins with in a join, so it is tried
+    against a few of them only. Metrics that repeat are added up, others take their
+    last line. Differences of counters are added as metrics of their own.
+    """
+    patterns = _by_word(texts.sparkSession)
+    lines = texts.select(*keys, F.posexplode(F.split(text, "\n")).alias("_n", "_l")).withColumn("_l", F.trim("_l"))
+    line, word = F.col("_l"), F.substring_index("_l", " ", 1)
+    known = word.isin(*sorted({t.split(" ")[0] for how, t, _ in PATTERNS if how == START}))
+    counted = F.when(line.startswith("---TRANSACTION"), F.when(line.contains("ACTIVE"), F.array(F.lit("current_transactions"), F.lit("active_transactions"))).otherwise(F.array(F.lit("current_transactions"))))
+    counted = counted.when(line.startswith("LOCK WAIT"), F.array(F.lit("locked_transactions")))
+    lines = lines.withColumns({"_counted": counted, "_word": F.when(known, word).otherwise("")})
     one = F.lit(1).cast("decimal(38,0)")
-    found = F.when(
-        line.startswith("---TRANSACTION"),
-        F.array(F.struct(F.lit("current_transactions").alias("metric"), one.alias("value")),
-                F.when(line.contains("ACTIVE"), F.struct(F.lit("active_transactions").alias("metric"), one.alias("value")))),
-    ).when(line.startswith("LOCK WAIT"), F.array(F.struct(F.lit("locked_transactions").alias("metric"), one.alias("value"))))
-    for how, wanted, metrics in PATTERNS:
-        test = line.startswith(wanted) if how == START else F.position(F.lit(wanted), line) > 1
-        found = found.when(test, F.array(*[entry(m) for m in metrics]))
-    rows = lines.select(*keys, "_n", F.explode(found).alias("_m")).filter("_m.value is not null")
-    rows = rows.select(*keys, "_n", "_m.metric", "_m.value")
+    first = lines.filter("_counted is not null").select(*keys, "_n", F.explode("_counted").alias("metric"), one.alias("value"))
+
+    held = lines.filter(F.col("_counted").isNull() & ((F.col("_word") != "") | line.rlike(HELD)))
+    met = F.filter("_try", lambda p: F.when(p["how"] == START, F.startswith(line, p["text"])).otherwise(F.position(p["text"], line) > 1))
+    found = held.join(patterns, "_word").select(*keys, "_n", F.split("_l", " +").alias("_w"), F.explode(F.get(met, F.lit(0))["metrics"]).alias("_m"))
+    hi, lo = F.get("_w", F.col("_m.hi")), F.get("_w", F.col("_m.lo"))
+    digits = F.regexp_extract(hi, r"(\d+)", 1).try_cast("decimal(38,0)")
+    low = F.when(lo.rlike(r"\A\d+\z"), lo)
+    single = F.when(F.col("_m.hex"), numbers.hi_lo(hi)).otherwise(digits)
+    value = F.when(F.col("_m.lo").isNull(), digits).when(low.isNull(), single).otherwise(numbers.hi_lo(digits, low))
+    second = found.select(*keys, "_n", F.col("_m.metric").alias("metric"), value.cast("decimal(38,0)").alias("value"))
+    rows = first.unionByName(second).filter("value is not null")
     agg = rows.groupBy(*keys, "metric").agg(F.sum("value").alias("_sum"), F.max_by("value", "_n").alias("_last"))
     value = F.when(F.col("metric").isin(*SUMMED), F.col("_sum")).otherwise(F.col("_last")).cast("decimal(38,0)")
     pick = lambda name: F.max(F.when(F.col("metric") == name, F.col("value")))
