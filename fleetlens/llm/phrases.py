@@ -22,7 +22,11 @@ is scanned several times.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -127,12 +131,14 @@ def counted(places: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarr
     return np.stack([found, *out[::-1]], 1), n
 
 
-def scanned(documents: DataFrame, reached: np.ndarray, scan: int, shards: int = SHARDS, longest: int = LONGEST) -> DataFrame:
-    """``lang``, ``phrase`` and ``n`` for what this scan counts; the empty phrase stands for all words, in the first cycle."""
-    table = documents.sparkSession.sparkContext.broadcast(reached)
+def scanned(documents: DataFrame, table, scan: int, shards: int = SHARDS, longest: int = LONGEST) -> DataFrame:
+    """``lang``, ``phrase`` and ``n`` for what this scan counts; the empty phrase stands for all words, in the first cycle.
+
+    ``table`` is the broadcast table of reached phrases, packed: few of its slots are set.
+    """
 
     def run(batches):
-        since = table.value
+        since = np.frombuffer(zlib.decompress(table.value), np.uint8)
         numbers = Numbers()
         hashes = np.empty(0, np.uint64)
         held: dict[str, list[bytes]] = {}
@@ -197,8 +203,16 @@ def scanned(documents: DataFrame, reached: np.ndarray, scan: int, shards: int =
     return documents.select("lang", "data").mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def slot_bits(phrases: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """Whether a slot is one of the phrases': bits are gathered by words of 64, so at most ``slots / 64`` rows reach the driver."""
+def bits_of(slots_found: DataFrame, slots: int) -> np.ndarray:
+    """Whether a slot is among those of the rows: bits are gathered by words of 64, so at most ``slots / 64`` rows reach the driver."""
+    found = slots_found.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(slots // 64, "<i8")
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def reached_slots(phrases: DataFrame, slots: int) -> DataFrame:
+    """The slots of phrases by the hash that scans use."""
 
     def run(batches):
         for batch in batches:
@@ -211,35 +225,46 @@ def slot_bits(phrases: DataFrame, slots: int = SLOTS) -> np.ndarray:
                 out.append(int(slots_of(h, slots)[0]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["slot"])
 
-    rows = phrases.select("lang", "phrase").mapInArrow(run, "slot long")
-    found = rows.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(max(1, slots // 64), "<i8")
-    out[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little")[:slots].astype(bool)
+    return phrases.select("lang", "phrase").mapInArrow(run, "slot long")
+
+
+def _slot(slots: int) -> Column:
+    return F.xxhash64("lang", "phrase").bitwiseAND(F.lit(slots - 1))
 
 
 def frequent(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """All phrases of ``longest`` words at most with their counts from ``threshold`` on, and the words of each language."""
     if not (1 <= shards < 16 and slots & (slots - 1) == 0 and slots >= 64):
         raise ValueError("15 shards at most, and a power of two of slots, are needed")
+    context = documents.sparkSession.sparkContext
     rows = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"), F.col(key).alias("key"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "data"), F.lit(shards)))
     reached = np.full(slots, NEVER, np.uint8)
+    strong = np.zeros(slots, bool)
     scans: list[DataFrame] = []
-    strong = None
     last, scan = -1, 0
+
+    def sums(parts: list[DataFrame], use):
+        """What ``use`` makes of the phrases whose counts over some scans come to the threshold."""
+        table = context.broadcast(zlib.compress(np.packbits(strong).tobytes(), 1))
+        out = use(over(parts, table, threshold, slots))
+        table.destroy()
+        return out
+
     while scan < shards or scan <= last + shards:
         part = rows.filter(F.col("shard") == scan % shards)
-        scans.append(written(scanned(part, reached, scan, shards, longest), f"phrases-{scan}"))
+        table = context.broadcast(zlib.compress(reached.tobytes(), 1))
+        scans.append(written(scanned(part, table, scan, shards, longest), f"phrases-{scan}"))
+        table.destroy()
         # Nobody comes to the threshold over that many shards without this much in one of them.
-        found = scans[-1].filter((F.col("phrase") != "") & (F.col("n") >= -(-threshold // shards))).select("lang", "phrase")
-        strong = written((strong.unionAll(found) if scan else found).distinct(), f"strong-{scan}")
-        new = slot_bits(over(scans, strong, threshold).filter(n_words(F.col("phrase")) < longest), slots) & (reached == NEVER)
+        strong |= bits_of(scans[-1].filter((F.col("phrase") != "") & (F.col("n") >= -(-threshold // shards))).select(_slot(slots).alias("slot")), slots)
+        # What is counted in this scan was begun less than a cycle ago.
+        new = sums(scans[-shards:], lambda found: bits_of(reached_slots(found.filter(n_words(F.col("phrase")) < longest), slots), slots)) & (reached == NEVER)
         if new.any():
             reached[new], last = scan, scan
         scan += 1
     totals = union(scans[:shards]).filter("phrase = ''").groupBy("lang").agg(F.sum("n").alias("n"))
-    return over(scans, strong, threshold), totals
+    return sums(scans, lambda found: written(found, "phrase-counts")), totals
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -249,9 +274,20 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def over(scans: list[DataFrame], strong: DataFrame, threshold: int) -> DataFrame:
-    """Of the phrases in ``strong`` those whose counts over the scans so far come to the threshold."""
-    rows = union(scans).join(strong, ["lang", "phrase"], "left_semi")
+def over(scans: list[DataFrame], table, threshold: int, slots: int) -> DataFrame:
+    """Phrases whose counts over some scans come to the threshold.
+
+    ``table`` has the bits of the phrases that are strong in some scan; what shares no slot
+    with them leaves before the exchange, what does by chance is summed as well.
+    """
+
+    @F.pandas_udf("boolean")
+    def strong(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(table.value), np.uint8)).astype(bool)
+        for place in places:
+            yield pd.Series(bits[place.to_numpy()])
+
+    rows = union(scans).filter("phrase <> ''").withColumn("slot", _slot(slots)).filter(strong("slot"))
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= threshold)
 
 
@@ -274,7 +310,6 @@ def _salted(phrase: Column, part: Column) -> Column:
 def collocations(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", best: int = BEST, longest: int = LONGEST, **options) -> DataFrame:
     """The best ``best`` phrases of each language by their lowest-scoring cut: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``."""
     counts, totals = frequent(documents, key, text, lang, longest=longest, **options)
-    counts = written(counts, "phrase-counts")
     chosen = counts.filter(n_words(F.col("phrase")) >= 2)
     # A phrase inside a longer one of equal count goes; if any longer one does so, then one that is a word longer.
     inner = chosen.filter(n_words(F.col("phrase")) >= 3).select(
