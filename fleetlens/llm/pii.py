@@ -3,18 +3,25 @@
 Base spans are personal data by fixed patterns. The corpus then tells how strongly the
 terms around a value reveal it: with IC(e) = -log p(e) and the pointwise mutual
 information of term and value over documents, the disclosure of a term is PMI / IC =
-1 + log p(e | term) / IC, which is 1 where the term never occurs without the value. For
-p(e | term) stands the lower end of its confidence interval, so that every pair is judged
-by as much as is known of it. Values are judged alone and pooled: addresses by domain,
-IP addresses by network, card and phone numbers by their first digits. Terms are whole
-words of any length; one occurs with a value wherever both stand in the document. Terms
-whose disclosure exceeds a threshold are generalised, those beyond a second one are
-removed, in every document and wherever they stand in it.
+1 + log p(e | term) / IC, which is 1 where the term never occurs without the value.
+For p(e | term) stands the lower end of its confidence interval, so that a pair is judged by
+as much as is known of it. The context in which a value is met first is no evidence for the
+next one: a term that stands with a value in one context only discloses nothing, in a corpus
+of any size. Values are judged alone
+and pooled: addresses by domain, IP addresses by network, card and phone numbers by their
+first digits. Terms are whole words of any length; one occurs with a value wherever both
+stand in the document. Terms whose disclosure exceeds a threshold are generalised, those
+beyond a second one are removed, in every document and wherever they stand in it.
+
+A pair can only reach the threshold if the term occurs in no more documents than the value
+has, plus what the value's contexts make up for; terms beyond that bound are not paired.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal
-spans each, and rows that share an id are told apart by their text; copies of a passage
-around a value count once as evidence; columns besides the key and the text are passed on by
-``sanitise`` and ignored by ``find``; an empty table gives an empty result.
+spans each, and rows that share an id are told apart by their text; contexts of a value are
+told apart by the ``WINDOW`` terms within ``REACH`` characters on either side of its first
+mention in a document, so copies of a passage around it count once as evidence; columns
+besides the key and the text are passed on by ``sanitise`` and ignored by ``find``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,6 +59,10 @@ PREFIX = 6
 GENERALISE, REMOVE = 0.8, 0.95
 #: Terms counted by a task before it hands them on; bounds memory only.
 COUNTED = 200_000
+#: Most frequent terms that tasks know with their counts before terms are paired; bounds memory only.
+FREQUENT = 200_000
+#: Pairs that a task holds before it hands them on; bounds memory only.
+PAIRED = 200_000
 #: Bits of the filter that tells most other terms from disclosing ones before the join: 4 MB, which bounds memory only.
 FILTER = 1 << 25
 
@@ -187,25 +198,76 @@ def lower_share(k, n, z: float = CONFIDENCE):
     return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def judged_values(seen: DataFrame, n_docs: int, generalise: float = GENERALISE) -> DataFrame:
+    """Values that any term can disclose: ``value``, ``n_value``, and ``bound``, in how many documents such a term occurs at most."""
+    held = seen.select(F.explode("entities").alias("e")).groupBy("e.value", "e.context").agg(F.count("*").alias("n"))
+    values = held.groupBy("value").agg(F.sum("n").alias("n_value"), F.count("*").alias("contexts"))
+    # p >= (n_value / n_docs) ** (1 - threshold) is needed, p <= k / (k + others), k <= contexts and others >= n_term - n_value.
+    least = F.pow(F.col("n_value") / F.lit(n_docs), F.lit(1 - generalise))
+    bound = F.col("n_value") + F.col("contexts") * (1 / least - 1)
+    return values.filter((F.col("contexts") >= 2) & (F.col("n_value") < n_docs)).select("value", "n_value", F.ceil(bound).alias("bound"))
+
+
+def paired(seen: DataFrame, values: DataFrame, frequent: dict[str, int]) -> DataFrame:
+    """``value``, ``term``, ``context`` and ``n`` of pairs that may reach the threshold, counted by task.
+
+    ``frequent`` has the counts of some terms; what it leaves out is paired.
+    """
+    shared = seen.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        counts: Counter = Counter()
+
+        def flush():
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array([k[2] for k in counts], pa.int64()), pa.array(counts.values(), pa.int64())],
+                ["value", "term", "context", "n"],
+            )
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for entities, terms, n in zip(*(c.to_pylist() for c in batch.columns)):
+                often = [shared.value.get(t, 0) for t in terms]
+                for e in entities:
+                    value, context, bound = e["value"], e["context"], e["bound"]
+                    for t, m in zip(terms, often):
+                        if m <= bound:
+                            counts[value, t, context] += n
+                    if len(counts) > PAIRED:
+                        yield flush()
+        if counts:
+            yield flush()
+
+    texts = seen.filter(F.size("entities") > 0).groupBy("text_key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("n"))
+    # Only names and numbers are joined; the terms of a text stay where they are until the last step.
+    texts = written(texts, "texts")
+    told = texts.select("text_key", F.explode("entities").alias("e")).select("text_key", "e.value", "e.context").join(values, "value")
+    told = told.groupBy("text_key").agg(F.collect_list(F.struct("value", "context", "bound")).alias("told"))
+    rows = texts.join(told, "text_key").select("told", "terms", "n")
+    return rows.mapInArrow(run, "value string, term string, context long, n long")
+
+
 def disclosures(seen: DataFrame, documents: DataFrame, text: str = "text", confidence: float = CONFIDENCE, generalise: float = GENERALISE) -> DataFrame:
     """``value``, ``term`` and ``disclosure`` of the pairs at or above the threshold.
 
     ``seen`` is the table of ``mentions``. Evidence for a pair are the different contexts
-    of the value in documents with the term, evidence against it the documents that have
-    the term without the value.
+    of the value in documents with the term, two at least, evidence against it the documents
+    that have the term without the value.
     """
-    texts = seen.filter(F.size("entities") > 0).groupBy("text_key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("n"))
-    held = texts.select("terms", "n", F.explode("entities").alias("e")).select("e.value", "e.context", "n", F.explode("terms").alias("term"))
+    n_docs = seen.count()
+    values = written(judged_values(seen, n_docs, generalise), "values")
+    terms = written(term_counts(documents, text), "terms")
+    frequent = {r["term"]: r["n"] for r in terms.orderBy(F.desc("n"), "term").limit(FREQUENT).collect()}
     # Rows and copies first, so that nothing but sums goes by value and term.
     pairs = (
-        held.groupBy("value", "term", "context").agg(F.sum("n").alias("n"))
-        .groupBy("value", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both"))
+        paired(seen, values, frequent).groupBy("value", "term", "context").agg(F.sum("n").alias("n"))
+        .groupBy("value", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both")).filter("contexts >= 2")
     )
-    values = seen.select(F.explode("entities.value").alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
-    joined = pairs.join(values, "value").join(term_counts(documents, text).withColumnRenamed("n", "n_term"), "term").withColumn("n_docs", F.lit(seen.count()))
-    ic = F.log(F.col("n_docs") / F.col("n_value"))
+    joined = written(pairs, "pairs").join(values, "value").join(terms.withColumnRenamed("n", "n_term"), "term")
+    ic = F.log(F.lit(n_docs) / F.col("n_value"))
     given = lower_share(F.col("contexts"), F.col("contexts") + F.greatest(F.col("n_term") - F.col("n_both"), F.lit(0)), confidence)
-    return joined.withColumn("disclosure", F.when(ic > 0, 1 + F.log(given) / ic)).filter(F.col("disclosure") >= generalise).select("value", "term", "disclosure")
+    return joined.withColumn("disclosure", 1 + F.log(given) / ic).filter(F.col("disclosure") >= generalise).select("value", "term", "disclosure")
 
 
 def term_filter(terms: DataFrame, size: int = FILTER) -> bytes:

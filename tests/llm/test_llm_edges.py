@@ -69,6 +69,17 @@ def test_near(odd, none):
     assert near.classes(none).count() == 0 and near.deduplicate(none).count() == 0
 
 
+def test_near_copies_that_share_an_id_or_have_none(spark):
+    words = PROSE.split()
+    near_copy = " ".join([*words, "and", "more", "of", "it"])
+    rows = [(7, PROSE + "and more of it", None, None, 1), (7, near_copy + " all", None, None, 1), (None, PROSE * 2, None, None, 1), (None, (PROSE * 2).replace("fox", "vixen", 1), None, None, 1), (9, "quite another text than all of these here", None, None, 1)]
+    rows[3] = (None, PROSE * 2 + "again now", None, None, 1)
+    df = table(spark, rows)
+    found = near.classes(df).collect()
+    groups = {(r.class_id, r.class_hash) for r in found}
+    assert len(near.deduplicate(df).collect()) == len(groups) < len(rows)
+
+
 def test_lm(odd, none):
     model = lm.train(odd, odd.filter("source = 'a'"), size=64)
     rows = {(r.doc_id, r.n_tokens): r.score for r in lm.score(odd, model).collect()}

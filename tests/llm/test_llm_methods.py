@@ -51,6 +51,15 @@ def test_byte_pairs_equal_the_library(library, texts):
         assert np.frombuffer(own.encode(t), "i4").tolist() == library(t) and "".join(own.split(t)) == t
 
 
+def test_special_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    own, theirs = bytepairs.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for t in ["<|endoftext|>", "a <|endoftext|> b", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext|", *random_texts(500, longest=30)]:
+        t = t.replace("o", "<|endoftext|>") if len(t) % 3 == 0 else t
+        assert np.frombuffer(own.encode_marked(t), "i4").tolist() == theirs.encode(t, add_special_tokens=False).ids, t
+
+
 def test_pieces_equal_the_library(texts):
     import sentencepiece
 
@@ -279,6 +288,51 @@ def test_terms_are_masked_wherever_they_stand(spark):
     assert not {t.lower() for *_, t in told} & {*filler.split()}
 
 
+def plain_disclosures(texts, generalise=pii.GENERALISE, z=pii.CONFIDENCE):
+    """Every pair of value and term with its disclosure, by counting over a list of texts."""
+    terms = [pii.terms_of(t) for t in texts]
+    held = [pii.contexts(t, pii.base_spans(t)) for t in texts]
+    n_term = collections.Counter(w for t in terms for w in t)
+    n_value = collections.Counter(v for h in held for v in h)
+    pairs = collections.defaultdict(list)
+    for t, h in zip(terms, held):
+        for v, c in h.items():
+            for w in t:
+                pairs[v, w].append(c)
+    out = {}
+    for (v, w), met in pairs.items():
+        k, n = len({*met}), len({*met}) + n_term[w] - len(met)
+        p = k / n
+        low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        ic = np.log(len(texts) / n_value[v])
+        if k >= 2 and ic > 0 and 1 + np.log(low) / ic >= generalise:
+            out[v, w] = 1 + np.log(low) / ic
+    return out
+
+
+def test_disclosures_equal_brute_force(spark, monkeypatch):
+    """3,000 documents with addresses that share words, domains and passages; few frequent terms are known to tasks."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{'x' * (i // 676)}" for i in range(900)]
+    rows = []
+    for i in range(3000):
+        words = [vocabulary[min(899, int(rnd.expovariate(1 / 120)))] for _ in range(rnd.randrange(5, 40))] + [f"only{i}"]
+        if rnd.random() < 0.3:
+            who = rnd.randrange(60)
+            words.insert(rnd.randrange(len(words)), f"p{who}@d{who % 9}.example.org")
+            words += [f"mark{who}"] * (rnd.random() < 0.8) + [f"firm{who % 9}"] * (rnd.random() < 0.9)
+        rows.append((i, " ".join(words)))
+    rows += [(5000 + i, rows[7][1]) for i in range(20)] + [(6000 + i, "one passage quagga bob@copied.example.org with one context each time") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wanted = plain_disclosures([t for _, t in rows])
+    for name, value in (("FREQUENT", 50), ("PAIRED", 500)):
+        monkeypatch.setattr(pii, name, value)
+    got = {(r.value, r.term): r.disclosure for r in pii.disclosures(pii.mentions(df), df).collect()}
+    assert set(got) == set(wanted) and len(wanted) > 50
+    assert all(got[k] == pytest.approx(wanted[k]) for k in wanted)
+    assert not any(w.startswith("only") or w == "quagga" for _, w in got) and {"mark3", "firm3"} <= {w for _, w in got}
+
+
 def test_quality_on_held_out_rows(spark):
     rows = load_all()["op2_quality"][0](spark, MIDDLE).filter("held_out").join(spark.read.parquet(f"{MIDDLE}/labels.parquet"), "doc_id").collect()
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.93
