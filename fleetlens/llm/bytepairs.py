@@ -2,7 +2,9 @@
 
 A text is split into pre-tokens, which the tokenizer never joins, and the ids of each
 pre-token are remembered. The vocabulary of the tokenizers file is used; ids equal
-those of the tokenizers library, in which special tokens' strings are ordinary text.
+those of the tokenizers library: by ``encode`` with special tokens' strings as ordinary
+text, by ``encode_marked`` with these as the tokens they name, as the library does unless
+told otherwise.
 """
 
 from __future__ import annotations
@@ -51,6 +53,10 @@ class Encoder:
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.merger = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in described["added_tokens"]):
+            raise ValueError("special tokens that take the space around them are not known here")
+        self.marks = {t["content"]: array("i", [t["id"]]).tobytes() for t in described["added_tokens"]}
+        self.marked = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")") if self.marks else None
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text, in order; together they are the text."""
@@ -77,6 +83,12 @@ class Encoder:
         except KeyError:
             return b"".join(map(self.ids_of, pieces))
 
+    def encode_marked(self, text: str) -> bytes:
+        """The same, with special tokens' strings as those tokens; what is between them is encoded by itself."""
+        if not self.marked or not any(m in text for m in self.marks):
+            return self.encode(text)
+        return b"".join(self.marks.get(part) or self.encode(part) for part in self.marked.split(text) if part)
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:

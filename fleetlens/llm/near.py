@@ -262,7 +262,7 @@ def links(documents: DataFrame, members: DataFrame, threshold: float = THRESHOLD
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: ``key``, ``text_hash``, ``class_id``, ``n_links`` to other documents and ``n_linked_texts`` to other shingle sets."""
+    """One row per row: ``key``, ``text_hash``, ``class_id`` and ``class_hash``, the key and hash of the row that names its class, ``n_links`` to other documents and ``n_linked_texts`` to other shingle sets."""
     signs = written(signed(documents, key, text), "signed")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash"))
     reps = signs.filter(F.col("digest").isNotNull()).groupBy("digest").agg(first.alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
@@ -272,14 +272,16 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, recall: float =
     linked = written(links(documents, members, threshold, key, text), "links")
     counts = linked.groupBy("a").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     groups = components(linked.filter("b is not null").select("a", "b"), "groups")
-    named = reps.select("digest", "key", "copies").join(groups.withColumnRenamed("node", "digest"), "digest", "left").join(counts.withColumnRenamed("a", "digest"), "digest", "left")
+    named = reps.select("digest", "key", "text_hash", "copies").join(groups.withColumnRenamed("node", "digest"), "digest", "left").join(counts.withColumnRenamed("a", "digest"), "digest", "left")
     named = named.withColumn("component", F.coalesce("component", "digest"))
-    names = named.groupBy("component").agg(F.min("key").alias("class_id"))
-    told = named.join(names, "component").select("digest", "class_id", "copies", "texts", "documents")
+    # The row that names a group: ids may be shared or missing, so its text tells it as well.
+    names = named.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("first"))
+    told = named.join(names, "component").select("digest", F.col("first.key").alias("class_id"), F.col("first.text_hash").alias("class_hash"), "copies", "texts", "documents")
     rows = signs.select("key", "text_hash", "digest").join(told, "digest", "left")
     lone = F.col("digest").isNull()
     return rows.select(
         F.col("key").alias(key), "text_hash", F.when(lone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(lone, F.col("text_hash")).otherwise(F.col("class_hash")).alias("class_hash"),
         F.when(lone, 0).otherwise(F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
     )
@@ -287,7 +289,8 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 def deduplicate(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, one of each group, with all their columns; of a repeated row all stay."""
-    stays = classes(documents, threshold, recall, key, text).filter(F.col(key).eqNullSafe(F.col("class_id")))
+    found = classes(documents, threshold, recall, key, text)
+    stays = found.filter(F.col(key).eqNullSafe(F.col("class_id")) & F.col("text_hash").eqNullSafe(F.col("class_hash")))
     stays = stays.select(F.col(key).alias("stays"), F.col("text_hash").alias("as"))
     rows = documents.select(F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("whole"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
     return rows.join(stays, F.col("key").eqNullSafe(F.col("stays")) & (F.col("hash") == F.col("as")), "left_semi").select("whole.*")
@@ -295,4 +298,4 @@ def deduplicate(documents: DataFrame, threshold: float = THRESHOLD, recall: floa
 
 @query("op4_near_duplicates")
 def op4_near_duplicates(spark, sf_dir):
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "class_hash")

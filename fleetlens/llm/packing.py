@@ -62,7 +62,7 @@ def tokenized(documents: DataFrame, tokenizer: str, length: int = LENGTH, key: s
         for batch in batches:
             counts, crcs = [], []
             for value in batch.column(1).to_pylist():
-                ids = own.encode(value or "") + end
+                ids = own.encode_marked(value or "") + end
                 counts.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + 4 * length]) for i in range(0, len(ids), 4 * length)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["key", "doc_tokens", "crcs"])
