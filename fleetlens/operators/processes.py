@@ -51,7 +51,8 @@ def find_processes(df: DataFrame, match: dict[str, str] | None = None, ignore: d
         keep = keep & field(name, pattern)
         positive = F.lit(True)
     out = df.filter(keep & positive)
-    return out.orderBy(F.col("time").desc()).limit(1) if only_oldest else out
+    ties = [c for c in ("server", "id") if c in df.columns]
+    return out.orderBy(F.col("time").desc(), *ties).limit(1) if only_oldest else out
 
 
 def counts_by_field(df: DataFrame, fields=PROCESS_FIELDS, extra: list[str] = ()) -> DataFrame:

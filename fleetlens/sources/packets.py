@@ -67,12 +67,15 @@ def exchanges(packets: DataFrame, server_port: str, order: list[str], block, ope
     server packet, or whose text matches ``opening``. A busy client is many small
     groups, and these, not clients, are what is shuffled. ``next_ts`` on the last
     packet of an exchange is the time of the client packet that cuts it off. Hex
-    digits that form no bytes give a NULL text.
+    digits that form no bytes give a NULL text, and so does a packet that was not
+    captured whole, where ``packets`` tells so in ``complete``.
     """
     p = packets.filter((F.col("data_len") > 0) & ((F.col("src_port") == server_port) | (F.col("dst_port") == server_port)))
     from_server = F.col("src_port") == server_port
     client = F.when(from_server, F.concat_ws(":", "dst_host", "dst_port")).otherwise(F.concat_ws(":", "src_host", "src_port"))
-    text = F.decode(F.unhex("data"), "ISO-8859-1")
+    # A frame may be padded beyond its packet; it is cut short where bytes of the payload are missing.
+    whole = F.col("complete") | (F.length("data") >= F.col("data_len") * 2) if "complete" in packets.columns else F.lit(True)
+    text = F.when(F.coalesce(whole, F.lit(False)), F.decode(F.unhex("data"), "ISO-8859-1"))
     opens = text.rlike(opening) if opening else F.lit(False)
     p = p.withColumns({"client": client, "from_server": from_server, "text": text, "opens": F.coalesce(opens, F.lit(False))})
     return ordered.islands(

@@ -223,6 +223,15 @@ def test_bad_packets_give_nulls(spark):
     assert [(r.cmd, r.res, r.bytes, r.Query_time) for r in got] == [(None, "NOT_FOUND", 0, 1.0), ("set", "STORED", 0, 1.0), ("get", "\x06", 0, None)]
 
 
+def test_packets_cut_short_give_no_text(spark, write):
+    c, s, d = "10.0.0.1.4000", "10.0.0.2.memcached", "2024-01-01 10:00:0"
+    whole, short = packet(d + "0.500000", s, c, 1, "VALUE k 0 8\r\nSome val\r\nEND\r\n"), packet(d + "2.500000", s, c, 2, "VALUE k 0 8\r\nSome val\r\nEND\r\n")
+    text = packet(d + "0.000000", c, s, 1, "get k\r\n") + whole + packet(d + "2.000000", c, s, 2, "get k\r\n") + short[:-16] + "\n"
+    p = packets.read_packet_text(spark, write(text))
+    assert [r.complete for r in p.orderBy("pos").collect()] == [True, True, True, False]
+    assert [(r.res, r.val) for r in packets.key_value_requests(p).orderBy("pos").collect()] == [("VALUE", "Some val"), (None, "")]
+
+
 STATUS = """Mutex spin waits 0, rounds 265, OS waits 88
 RW-shared spins 2442, OS waits 1219; RW-excl spins 4, OS waits 3
 Trx id counter 861B144C
