@@ -41,11 +41,11 @@ from fleetlens.operators.lineage import written
 ENDS = b".,;:!?\n\x0b\x0c\r"
 LONGEST, THRESHOLD, BEST = 5, 100, 2000
 #: Shards of a cycle.
-SHARDS = 3
+SHARDS = 2
 #: Slots of the table of reached phrases, one byte each: its proven size wherever it is sent.
 SLOTS = 1 << 24
-#: Bytes joined for one pass, bytes held in a task, words remembered and positions gathered before a task hands its counts on; these bound memory only.
-BLOB, HELD, WORDS, POSITIONS = 1 << 20, 1 << 23, 250_000, 1_500_000
+#: Bytes joined for one pass and looked at together, bytes held in a task, words remembered and positions gathered before a task hands its counts on; these bound memory only.
+BLOB, SEGMENT, HELD, WORDS, POSITIONS = 1 << 20, 1 << 16, 1 << 23, 250_000, 1_500_000
 #: Parts into which the rows of one short key are dealt where rows meet.
 SALTS = 16
 
@@ -54,29 +54,65 @@ LETTERS = bytes(255 if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90
 NEVER = 255
 
 
-def words_of(data: bytes) -> list[bytes]:
-    """Words of a text in UTF-8, with a border wherever a piece ends."""
-    return data.translate(LETTERS).replace(BORDER, b" \xff ").split()
+def segments(data: bytes, size: int) -> Iterator[bytes]:
+    """A prepared text in parts of about ``size`` bytes, cut where pieces end."""
+    at = 0
+    while len(data) - at > size:
+        cut = data.rfind(BORDER, at, at + size)
+        if cut <= at:
+            cut = data.find(BORDER, at + size)
+        if cut < 0:
+            break
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
+
+
+BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    if not _POWERS or len(_POWERS["up"]) < n:
+        n = max(n, 1 << 16)
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def placed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a prepared text start and end, the piece each is in, and its hash; no word is taken out of the text."""
+    signs = np.frombuffer(data, np.uint8)
+    border = signs == 255
+    inside = np.concatenate([[False], (signs != 32) & ~border, [False]])
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
+    up, down = _powers(len(signs) + 1)
+    # The sum of a word's signs by powers of the base, moved back to the first power.
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((signs.astype(np.uint64) + np.uint64(1)) * up[: len(signs)])])
+    h = (total[ends] - total[starts]) * down[starts]
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return starts, ends, np.cumsum(border)[starts] if len(starts) else starts, h ^ (h >> np.uint64(29))
 
 
 class Numbers(dict):
-    """Numbers of words as they come, and a hash of each; the border is number 0."""
+    """Numbers of words as they come."""
 
     def __init__(self):
         super().__init__()
-        self.words, self.hashes = [], []
-        self[BORDER]
+        self.words: list[bytes] = []
 
     def __missing__(self, word):
         n = self[word] = len(self.words)
         self.words.append(word)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
         return n
 
 
-MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
-
 def longer(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hashes of phrases that go on by a word."""
     h = (before ^ (before >> np.uint64(31))) * MULTIPLY + word
@@ -91,23 +127,21 @@ def slots_of(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - (slots - 1).bit_length())).astype(np.int64)
 
 
-def active(ids: np.ndarray, hashes: np.ndarray, lang: str, reached: np.ndarray, scan: int, shards: int, longest: int) -> dict[int, np.ndarray]:
-    """For each length the places in a run of words at which a phrase stands that this scan counts."""
-    at = np.flatnonzero(ids)
-    out = {1: at} if scan < shards else {}
-    h = started(lang, hashes[ids[at]])
+def active(pieces: np.ndarray, hashes: np.ndarray, lang: str, reached: np.ndarray, scan: int, shards: int, longest: int) -> dict[int, np.ndarray]:
+    """For each length from two on the words at which a phrase starts that this scan counts."""
+    at, out = np.arange(len(hashes)), {}
+    h = started(lang, hashes)
     since = reached[slots_of(h, len(reached))]
     for length in range(2, longest + 1):
         # Both subphrases: the one that starts here and the one that starts a word later.
         known = since != NEVER
         at, h, since = at[known], h[known], since[known]
-        both = np.flatnonzero(at[1:] == at[:-1] + 1)
+        both = np.flatnonzero((at[1:] == at[:-1] + 1) & (pieces[at[:-1]] == pieces[np.minimum(at[:-1] + length - 1, len(pieces) - 1)]))
         latest = np.maximum(since[both], since[both + 1])
-        # Borders have no place, so neighbours that both reach over length - 1 words reach over length words.
         found = at[both]
         out[length] = found[latest.astype(np.int64) >= scan - shards]
         if length < longest:
-            h = longer(h[both], hashes[ids[found + length - 1]])
+            h = longer(h[both], hashes[found + length - 1])
             # A phrase is never taken for reached before its parts are, even if others share its slot.
             at, since = found, np.maximum(reached[slots_of(h, len(reached))], latest)
     return out
@@ -140,49 +174,59 @@ def scanned(documents: DataFrame, table, scan: int, shards: int = SHARDS, longes
     def run(batches):
         since = np.frombuffer(zlib.decompress(table.value), np.uint8)
         numbers = Numbers()
-        hashes = np.empty(0, np.uint64)
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
         places: dict[tuple[str, int], list[np.ndarray]] = {}
+        words: dict[str, np.ndarray] = {}
         totals: dict[str, int] = {}
         n_places = 0
 
         def take(lang):
-            nonlocal hashes, n_places
-            data = BORDER.join(held.pop(lang)) + b"."
+            nonlocal n_places
             del sizes[lang]
-            ids = np.array([numbers[w] for w in words_of(data)], np.int64)
-            if len(hashes) < len(numbers.hashes):
-                hashes = np.concatenate([hashes, np.array(numbers.hashes[len(hashes) :], np.uint64)])
-            for length, at in active(ids, hashes, lang, since, scan, shards, longest).items():
-                if length == 1:
-                    totals[lang] = totals.get(lang, 0) + len(at)
-                    different, n = np.unique(ids[at], return_counts=True)
-                    places.setdefault((lang, 1), []).append(np.stack([different, n], 1))
-                    n_places += len(different)
-                elif len(at):
-                    places.setdefault((lang, length), []).append(np.stack([ids[at + j] for j in range(length)], 1))
-                    n_places += len(at) * length // 2
+            counted_ids = []
+            for data in segments(BORDER.join(held.pop(lang)).translate(LETTERS), SEGMENT):
+                starts, ends, pieces, hashes = placed_words(data)
+                if not len(starts):
+                    continue
+                found = active(pieces, hashes, lang, since, scan, shards, longest)
+                ids = None
+                if scan < shards:
+                    # All words are counted, so they are taken out of the text together.
+                    listed = data.replace(BORDER, b" ").split()
+                    ids = np.fromiter(map(numbers.__getitem__, listed), np.int64, len(listed))
+                    counted_ids.append(ids)
+                used = np.unique(np.concatenate([at + j for length, at in found.items() for j in range(length)])) if ids is None else None
+                if used is not None and len(used):
+                    # Few phrases are active in later scans: only their words are taken out.
+                    ids = np.full(len(starts), -1, np.int64)
+                    ids[used] = np.fromiter((numbers[data[a:b]] for a, b in zip(starts[used].tolist(), ends[used].tolist())), np.int64, len(used))
+                for length, at in found.items():
+                    if len(at):
+                        places.setdefault((lang, length), []).append(np.stack([ids[at + j] for j in range(length)], 1))
+                        n_places += len(at) * length // 2
+            if counted_ids:
+                n = np.bincount(np.concatenate(counted_ids), minlength=len(numbers.words))
+                totals[lang] = totals.get(lang, 0) + int(n.sum())
+                n[: len(words.get(lang, ()))] += words.get(lang, n[:0])
+                words[lang] = n
 
         def flush():
-            nonlocal numbers, hashes, n_places
-            words = pa.array(numbers.words, pa.binary())
+            nonlocal numbers, n_places
+            known = pa.array(numbers.words, pa.binary())
+            for lang, n in words.items():
+                ids = np.flatnonzero(n)
+                yield made(lang, known.take(pa.array(ids)), n[ids])
             for (lang, length), rows in places.items():
-                if length == 1:
-                    ids, at = np.unique(np.concatenate(rows)[:, 0], return_inverse=True)
-                    n = np.bincount(at, weights=np.concatenate(rows)[:, 1]).astype(np.int64)
-                    text = words.take(pa.array(ids))
-                else:
-                    found, n = counted(rows, length)
-                    text = pc.binary_join_element_wise(*[words.take(pa.array(found[:, j])) for j in range(length)], b" ")
-                yield made(lang, text, n)
+                found, n = counted(rows, length)
+                yield made(lang, pc.binary_join_element_wise(*[known.take(pa.array(found[:, j])) for j in range(length)], b" "), n)
             for lang, n in totals.items():
                 yield made(lang, pa.array([b""], pa.binary()), np.array([n]))
-            places.clear()
-            totals.clear()
+            for kept in (places, words, totals):
+                kept.clear()
             n_places = 0
             if len(numbers.words) > WORDS:
-                numbers, hashes = Numbers(), np.empty(0, np.uint64)
+                numbers = Numbers()
 
         def made(lang, text, n):
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), text.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
@@ -216,12 +260,15 @@ def reached_slots(phrases: DataFrame, slots: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            found = batch.column(1).to_pylist()
+            starts, _, pieces, hashes = placed_words(BORDER.join(p.encode() for p in found))
+            # The words of the n-th phrase are those of the n-th piece.
+            first = np.searchsorted(pieces, np.arange(len(found) + 1))
             out = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = [np.array([xxhash.xxh3_64_intdigest(w)], np.uint64) for w in phrase.encode().split(b" ")]
-                h = started(lang, words[0])
-                for w in words[1:]:
-                    h = longer(h, w)
+            for lang, a, b in zip(batch.column(0).to_pylist(), first, first[1:]):
+                h = started(lang, hashes[a : a + 1])
+                for j in range(a + 1, b):
+                    h = longer(h, hashes[j : j + 1])
                 out.append(int(slots_of(h, slots)[0]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["slot"])
 
@@ -238,7 +285,7 @@ def frequent(documents: DataFrame, key: str = "doc_id", text: str = "text", lang
         raise ValueError("15 shards at most, and a power of two of slots, are needed")
     context = documents.sparkSession.sparkContext
     rows = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"), F.col(key).alias("key"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "data"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", F.octet_length("data")), F.lit(shards)))
     reached = np.full(slots, NEVER, np.uint8)
     strong = np.zeros(slots, bool)
     scans: list[DataFrame] = []

@@ -61,7 +61,7 @@ def made(n=400, seed=4):
 @pytest.mark.parametrize("options", [{"threshold": 3, "shards": 1}, {"threshold": 5, "shards": 3, "slots": 64}, {"threshold": 12, "shards": 2, "best": 4, "longest": 3}])
 def test_equals_a_plain_count(spark, options, monkeypatch):
     # Blobs, memories and gathered places of a few entries, so that every border of theirs is met.
-    for name, size in (("BLOB", 300), ("HELD", 700), ("WORDS", 40), ("POSITIONS", 100)):
+    for name, size in (("BLOB", 300), ("SEGMENT", 80), ("HELD", 700), ("WORDS", 40), ("POSITIONS", 100)):
         monkeypatch.setattr(phrases, name, size)
     rows = made()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).withColumns({c: F.lit(1) for c in ("key", "data", "phrase", "n", "a", "k", "salt", "shard", "rank")})
