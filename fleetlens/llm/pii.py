@@ -60,7 +60,7 @@ GENERALISE, REMOVE = 0.8, 0.95
 #: Terms counted by a task before it hands them on; bounds memory only.
 COUNTED = 200_000
 #: Most frequent terms that tasks know with their counts before terms are paired; bounds memory only.
-FREQUENT = 200_000
+FREQUENT = 100_000
 #: Pairs that a task holds before it hands them on; bounds memory only.
 PAIRED = 200_000
 #: Bits of the filter that tells most other terms from disclosing ones before the join: 4 MB, which bounds memory only.
@@ -248,6 +248,19 @@ def paired(seen: DataFrame, values: DataFrame, frequent: dict[str, int]) -> Data
     return rows.mapInArrow(run, "value string, term string, context long, n long")
 
 
+def frequent_terms(terms: DataFrame, size: int = FREQUENT) -> dict[str, int]:
+    """Terms with their counts, from the least power of two on that no more than ``size`` of them reach."""
+    power = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    per_power = sorted(((r[0], r[1]) for r in terms.groupBy(power.alias("p")).count().collect()), reverse=True)
+    least, held = None, 0
+    for p, n in per_power:
+        held += n
+        if held > size:
+            break
+        least = p
+    return {} if least is None else {r["term"]: r["n"] for r in terms.filter(power >= least).collect()}
+
+
 def disclosures(seen: DataFrame, documents: DataFrame, text: str = "text", confidence: float = CONFIDENCE, generalise: float = GENERALISE) -> DataFrame:
     """``value``, ``term`` and ``disclosure`` of the pairs at or above the threshold.
 
@@ -258,7 +271,7 @@ def disclosures(seen: DataFrame, documents: DataFrame, text: str = "text", confi
     n_docs = seen.count()
     values = written(judged_values(seen, n_docs, generalise), "values")
     terms = written(term_counts(documents, text), "terms")
-    frequent = {r["term"]: r["n"] for r in terms.orderBy(F.desc("n"), "term").limit(FREQUENT).collect()}
+    frequent = frequent_terms(terms, FREQUENT)
     # Rows and copies first, so that nothing but sums goes by value and term.
     pairs = (
         paired(seen, values, frequent).groupBy("value", "term", "context").agg(F.sum("n").alias("n"))
