@@ -434,3 +434,53 @@ def test_pipeline(spark, library):
     packed = stages["packing"](spark, docs, MIDDLE).collect()
     assert check_packing(packed, {k: r.text for k, r in clean.items()}, library) < 0.02
     assert corpus_pipeline.run(spark, MIDDLE).agg(F.sum("length")).collect()[0][0] == sum(r.length for r in packed)
+
+
+def plain_differences(texts, target):
+    """Mean loss differences over all words of the corpus, as the docstring defines them."""
+    words = {k: ["", *t.lower().split()] for k, t in texts.items()}
+    size = len({w for own in words.values() for w in own}) + 1
+
+    def model(keys):
+        both = collections.Counter(p for k in keys for p in zip(words[k], words[k][1:]))
+        one, before, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+        for (a, b), n in both.items():
+            one[b] += n
+            before[a] += n
+            kinds[a] += 1
+        total = sum(one.values())
+
+        def loss(a, b):
+            p = (one[b] + 1) / (total + size)
+            return -np.log(max(both[a, b] - 0.75, 0) / before[a] + 0.75 * kinds[a] / before[a] * p if before[a] else p)
+
+        return loss
+
+    t, b = model(target & set(texts)), model(texts)
+    return lambda text: [t(x, y) - b(x, y) for x, y in zip(["", *text.lower().split()], text.lower().split())]
+
+
+def test_lm_counts_every_word(spark, docs, texts, monkeypatch):
+    """No word is left out, however rare, and words dealt over many buckets keep exact counts."""
+    for name, value in (("TOKENS", 3_000), ("BUCKET", 5_000), ("OFTEN", 40)):
+        monkeypatch.setattr(lm, name, value)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1")
+    plain = plain_differences(texts, {r.doc_id for r in labels.collect()})
+    model = lm.train(docs, labels)
+    got = {r.doc_id: r for r in lm.score_corpus(model).collect()}
+    assert set(got) == set(texts)
+    for k, t in texts.items():
+        wanted = plain(t)
+        assert got[k].n_tokens == len(wanted) and got[k].total == pytest.approx(sum(wanted), abs=1e-6)
+    other = [(1, "words that no document holds: zzyzx qwrtp zzyzx"), (2, None), (3, texts[min(texts)])]
+    rows = lm.score(spark.createDataFrame(other, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.total for r in rows} == pytest.approx({k: sum(plain(t or "")) for k, t in other}, abs=1e-6)
+
+
+def test_lm_tells_rare_words_apart(spark):
+    """Two texts that differ only in words outside the 4,094 most frequent get different scores."""
+    rows = [(i, " ".join(f"w{j}" for j in range(4500))) for i in range(2)] + [(2000, "zeta eta"), (2001, "theta iota")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.train(df, spark.createDataFrame([(2000,), (1,)], "doc_id long"))
+    got = {r.doc_id: r.score for r in lm.score(df, model).collect()}
+    assert got[2000] < got[2001] - 0.5
