@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import digest as dg
 from fleetlens.operators import lineage, ordered
 from fleetlens.plans.registry import Tables, query, rounded
-from fleetlens.sources import logs, packets, status, tables
+from fleetlens.sources import logs, packets, records, status, tables
 from fleetlens.sources.buckets import BucketTable
 
 
@@ -314,8 +314,7 @@ def replaced_table(t: Tables):
 def _stored(t: Tables, rows, name: str, separator: str = "\n") -> str:
     """A folder of logs: the rows (part, pos, value), one folder per part, in order."""
     folder = lineage.shared_dir(t.spark, name)
-    ordered_rows = rows.repartition("part").sortWithinPartitions("part", "pos").select("part", "value")
-    ordered_rows.write.partitionBy("part").option("lineSep", separator).text(folder)
+    records.write_records(rows, folder, "part", ["pos"], "value", separator)
     return f"{folder}/*"
 
 

@@ -88,6 +88,54 @@ def test_files_folders_and_patterns(spark, tmp_path):
         values(str(tmp_path / "nowhere"))
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    wanted = []
+    for i in range(300):
+        (tmp_path / f"p={i:03d}").mkdir()
+        (tmp_path / f"p={i:03d}" / "log").write_bytes(b"" if i % 50 == 7 else b"a%d\n\xff\n" % i if i % 60 == 1 else b"a%d\n\nb" % i)
+        values = [] if i % 50 == 7 else [f"a{i}", "\ufffd"] if i % 60 == 1 else [f"a{i}", "", "b"]
+        at = [0, 2 + len(str(i)), 3 + len(str(i))]
+        wanted += [(f"p={i:03d}", at[k], v) for k, v in enumerate(values)]
+    df = records.read_records(spark, f"{tmp_path}/*")
+    assert df.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted((r.file.split("/")[-2], r.pos, r.value) for r in df.collect()) == wanted
+    begun_here = records.read_records(spark, f"{tmp_path}/*", form="a")
+    assert begun_here.count() == 294 and begun_here.filter("pos > 0").count() == 0
+
+
+def test_ranges_are_dealt_by_cost(tmp_path):
+    for name, size in (("1", 10), ("2", 3_000_000), ("3", 10), ("4", 10)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    reader = records.RecordReader({"path": str(tmp_path), "rangebytes": "1000000"})
+    shares = [[(r.file.rsplit("/", 1)[1], r.start) for r in p.ranges] for p in reader.partitions()]
+    assert shares == [[("1", 0)], [("2", 0)], [("2", 1_000_000)], [("2", 2_000_000)], [("3", 0), ("4", 0)]]
+    assert [list(records.dealt(c, 5)) for c in ([], [9], [2, 3, 1], [5, 5])] == [[], [(0, 1)], [(0, 2), (2, 3)], [(0, 1), (1, 2)]]
+    (tmp_path / "none").mkdir()
+    assert [p.ranges for p in records.RecordReader({"path": str(tmp_path / "none")}).partitions()] == [[]]
+
+
+def test_written_records(spark, tmp_path):
+    rows = [(p, o, None if o == 3 else f"é{p}.{o}") for o in range(5) for p in [*range(-1, 40), None]]
+    df = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), "p long, o int, v string").repartition(7)
+    folder = f"file://{tmp_path}/out"
+    for again in (False, True):
+        records.write_records(df, folder, "p", ["o"], "v", ";\n")
+        assert len(list((tmp_path / "out").iterdir())) == 42
+        for p in [*range(-1, 40), None]:
+            name = "__HIVE_DEFAULT_PARTITION__" if p is None else p
+            text = "".join(("" if o == 3 else f"é{p}.{o}") + ";\n" for o in range(5))
+            inside = tmp_path / "out" / f"p={name}"
+            assert [f.name for f in inside.iterdir()] == ["records"] and (inside / "records").read_text() == text
+    assert records.read_records(spark, f"{folder}/*", ";\n").count() == len(rows)
+    # An input without rows leaves a folder without logs, and a task that was lost leaves a hidden file at most.
+    records.write_records(df.filter("p > 99"), f"{tmp_path}/empty", "p", ["o"], "v")
+    assert records.read_records(spark, f"{tmp_path}/empty/*").count() == 0
+    (tmp_path / "out" / "p=1" / ".lost").write_text("half")
+    assert records.read_records(spark, f"{folder}/*", ";\n").count() == len(rows)
+    with pytest.raises(Exception, match="folder"):
+        records.write_records(spark.createDataFrame([("../x", 1, "v")], "p string, o int, v string"), folder, "p", ["o"], "v")
+
+
 def rows_of(table):
     return sorted((r.k, r.v) for r in table.read().collect())
 
