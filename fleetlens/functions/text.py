@@ -358,15 +358,44 @@ def strip_auto_increment(ddl) -> Column:
     return F.regexp_replace(_c(ddl), r"AUTO_INCREMENT=\d+\s+", "")
 
 
+def last_pairs(keys: Column, values: Column) -> Column:
+    """Parallel arrays as a struct of two, ``k`` and ``v``, with each key once; of repeated keys the last counts."""
+
+    def by_name(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+        last = F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"])
+        return F.struct(names.alias("k"), last.alias("v"))
+
+    def build(both: Column) -> Column:
+        # Names that come once need no look-up.
+        once = F.size(F.array_distinct(both["k"])) == F.size(both["k"])
+        return F.when(once, both).otherwise(F.transform(F.array(F.arrays_zip(both["k"].alias("k"), both["v"].alias("v"))), by_name)[0])
+
+    return F.transform(F.array(F.struct(keys.alias("k"), values.alias("v"))), build)[0]
+
+
+def pairs_to_map(*pairs: Column) -> Column:
+    """Map of what ``last_pairs`` gives; it is built once, and a key of several is an error."""
+    def build(all_pairs: Column) -> Column:
+        parts = [all_pairs[f"_{i}"] for i in range(len(pairs))]
+        return F.map_from_arrays(F.concat(*(p["k"] for p in parts)), F.concat(*(p["v"] for p in parts)))
+
+    return F.transform(F.array(F.struct(*(p.alias(f"_{i}") for i, p in enumerate(pairs)))), build)[0]
+
+
+def pairs_of(text, pattern: str) -> Column:
+    """``last_pairs`` of the two groups of every match of a pattern; the text is made once."""
+    def build(one: Column) -> Column:
+        return last_pairs(F.regexp_extract_all(one, F.lit(pattern), F.lit(1)), F.regexp_extract_all(one, F.lit(pattern), F.lit(2)))
+
+    return F.transform(F.array(_c(text)), build)[0]
+
+
+def embedded_pairs(sql, embed: str, capture: str) -> Column:
+    """Key/value pairs hidden in a statement, later ones instead of earlier ones."""
+    return pairs_of(F.regexp_extract(_c(sql), f"({embed})", 1), capture)
+
+
 def embedded_attributes(sql, embed: str, capture: str) -> Column:
-    """Key/value pairs hidden in a statement, as a map (S2)."""
-    piece = F.regexp_extract(_c(sql), f"({embed})", 1)
-    keys = F.regexp_extract_all(piece, F.lit(capture), F.lit(1))
-    values = F.regexp_extract_all(piece, F.lit(capture), F.lit(2))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    # Later pairs win, so look keys up from the end and keep one of each.
-    names = F.array_distinct(keys)
-    last = F.transform(
-        names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"]
-    )
-    return F.map_from_arrays(names, last)
+    """Key/value pairs hidden in a statement, as a map; later pairs win (S2)."""
+    return pairs_to_map(embedded_pairs(sql, embed, capture))

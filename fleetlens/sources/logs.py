@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import text
 from fleetlens.operators import ordered
-from fleetlens.sources.records import pairs_of, present, read_records
+from fleetlens.sources.records import present, read_records
 
 # --- Fixed values: separators and line forms of the logs. -----------------------------
 RECORD_SEPARATOR = ";\n#"
@@ -19,9 +22,13 @@ FILE_HEADER = (
     r"(?m)^(?:T[cC][pP]\s[pP]ort:\s+\d+|[/A-Z].*mysqld,\sVersion.*(?:started\swith:|embedded\slibrary)"
     r"|Time\s+Id\s+Command).*\n"
 )
+#: Each server header holds one of these, so that texts without them need no search for one.
+FILE_HEADER_PARTS = ("port:", "Port:", "mysqld,", "Command")
 ENTRY_HEADER = r"(?s)\A((?:(?:#|use |SET (?:last_insert_id|insert_id|timestamp))[^\n]*(?:\n|\z))*+)"
-ATTRIBUTE_LINE = r"\A# +[A-Z][A-Za-z_]+: \S+"
-ATTRIBUTE = r"(\w+):\s+(\S+|\Z)"
+ATTRIBUTE_LINE = r"(?md)^# (?!Time:) *[A-Z][A-Za-z_]+: \S[^\n]*"
+ATTRIBUTE = r"\w++:\s+(?:\S+|\Z)"
+SETTING = r"([^\s,=]+)\s*=\s*([^,]*)"
+BLANKS = " \t\n\x0b\f\r"
 ADMIN_LINE = r"(?m)^(# administrator command:.*)$"
 GENERAL_FORM = r"(?:\d{6}\s\d{1,2}:\d\d:\d\d)?\s+\d+\s\w+\s+"
 GENERAL_LINE = r"(?s)\A(\d{6}\s\d{1,2}:\d\d:\d\d)?\s+(\d+)\s(\w+)[^\S\n]+(.*)\z"
@@ -52,12 +59,19 @@ def parse_slow_log(records: DataFrame, embed: str | None = None, capture: str |
     ``Key: value`` and ``SET`` pairs, and those embedded in the statement, are in ``attrs``.
     """
     # Dropping a server header can join two records, so they are cut again.
-    bare = F.regexp_replace("value", FILE_HEADER, "")
-    cut = F.filter(F.split(bare, RECORD_SEPARATOR + f"(?!{ADMIN_MARK})", -1), lambda t: t.rlike(r"[^#;\s]"))
+    value = F.col("value")
+    headers = reduce(or_, (value.contains(p) for p in FILE_HEADER_PARTS))
+    bare = F.when(headers, F.regexp_replace("value", FILE_HEADER, "")).otherwise(value)
+    several = F.split(F.col("_bare"), RECORD_SEPARATOR + f"(?!{ADMIN_MARK})", -1)
+    cut = F.filter(F.when(F.col("_bare").contains(RECORD_SEPARATOR), several).otherwise(F.array("_bare")), lambda t: t.rlike(r"[^#;\s]"))
 
     def entries(text: Column) -> Column:
         hashed = F.when(text.startswith("#"), text).otherwise(F.concat(F.lit("#"), text))
-        return F.transform(F.array(F.split(F.regexp_replace(hashed, r";\n?#?\z", ""), rf";\n(?=#{ADMIN_MARK})", -1)), headed)[0]
+        return F.transform(F.array(F.regexp_replace(hashed, r";\n?#?\z", "")), commands)[0]
+
+    def commands(text: Column) -> Column:
+        apart = F.transform(F.array(F.split(text, rf";\n(?=#{ADMIN_MARK})", -1)), headed)[0]
+        return F.when(text.contains(f";\n#{ADMIN_MARK}"), apart).otherwise(F.array(text))
 
     def headed(parts: Column) -> Column:
         # A header alone goes with the administrator command after it.
@@ -65,34 +79,47 @@ def parse_slow_log(records: DataFrame, embed: str | None = None, capture: str |
         alone = (F.size(parts) > 1) & (F.regexp_replace(first, ENTRY_HEADER, "") == "") & ~first.rlike(ADMIN_LINE)
         return F.when(alone, F.concat(F.array(F.concat_ws(";\n", first, F.get(parts, F.lit(1)))), F.slice(parts, 3, F.size(parts)))).otherwise(parts)
 
-    x = records.select("file", "pos", F.posexplode(F.flatten(F.transform(cut, entries))).alias("part", "_text"))
+    x = records.select("file", "pos", bare.alias("_bare")).select("file", "pos", F.posexplode(F.flatten(F.transform(cut, entries))).alias("part", "_text"))
     x = x.withColumn("_head", F.regexp_extract("_text", ENTRY_HEADER, 1)).withColumn("_arg", F.substr(F.col("_text"), F.length("_head") + 1))
 
+    # Each line is looked for once, in columns of their own, and taken apart alone.
     head = F.col("_head")
-    admin = present(F.regexp_extract(head, ADMIN_LINE, 1))
-    lines = F.filter(
-        F.split(head, "\n"),
-        lambda one: one.rlike(ATTRIBUTE_LINE) & ~one.rlike(r"\A# (?:Time|User@Host|administrator command):"),
-    )
-    listed = F.array_join(lines, "\n")
+    x = x.withColumns({
+        "_admin": F.when(head.contains(f"#{ADMIN_MARK}"), F.regexp_extract(head, ADMIN_LINE, 1)), "_time": F.regexp_extract(head, TIME_LINE, 1),
+        "_account": F.regexp_extract(head, USER_LINE, 0), "_use": F.regexp_extract(head, r"(?m)^use ([^;\n]+)", 1),
+    })
+    x = x.withColumns({"_user": F.regexp_extract("_account", USER_LINE, 1), "_arg": F.coalesce(present(F.col("_admin")), F.col("_arg"))})
+    listed = F.array_join(F.regexp_extract_all(head, F.lit(ATTRIBUTE_LINE), F.lit(0)), "\n")
     setting = F.regexp_extract(head, r"(?m)^SET\s+([^;\n]*)", 1)
-    attrs = F.map_concat(pairs_of(listed, ATTRIBUTE), F.map_filter(pairs_of(setting, r"([^\s,=]+)\s*=\s*([^,]*)"), lambda k, v: k != ""))
-    arg = F.coalesce(admin, F.col("_arg"))
-    if embed:
-        attrs = F.map_concat(attrs, text.embedded_attributes(arg, embed, capture))
+    arg, account = F.col("_arg"), F.col("_account")
+    pairs = [_attributes(listed), text.pairs_of(setting, SETTING)] + ([text.embedded_pairs(arg, embed, capture)] if embed else [])
+
+    def number(name: str) -> Column:
+        found = F.regexp_extract(head, rf"(?m)^# (?:.*?\s)??{name}:\s+(\S+)", 1)
+        return F.when(head.contains(f"{name}:"), found).try_cast("double").alias(name)
+
     out = x.select(
-        "file", "pos", "part", F.when(admin.isNotNull(), "Admin").otherwise("Query").alias("cmd"),
-        present(F.regexp_extract(head, TIME_LINE, 1)).alias("ts"), present(F.regexp_extract(head, USER_LINE, 1)).alias("user"),
-        F.when(head.rlike(USER_LINE), F.regexp_extract(head, USER_LINE, 2)).alias("host"),
-        F.when(head.rlike(USER_LINE), F.regexp_extract(head, USER_LINE, 3)).alias("ip"),
-        present(F.regexp_extract(head, r"(?m)^use ([^;\n]+)", 1)).alias("db"), arg.alias("arg"),
-        F.octet_length(arg).alias("bytes"), attrs.alias("attrs"),
+        "file", "pos", "part", F.when(present(F.col("_admin")).isNotNull(), "Admin").otherwise("Query").alias("cmd"),
+        present(F.col("_time")).alias("ts"), present(F.col("_user")).alias("user"),
+        F.when(account != "", F.regexp_extract(account, USER_LINE, 2)).alias("host"),
+        F.when(account != "", F.regexp_extract(account, USER_LINE, 3)).alias("ip"),
+        present(F.col("_use")).alias("db"), arg.alias("arg"),
+        F.octet_length(arg).alias("bytes"), text.pairs_to_map(*pairs).alias("attrs"),
         # Straight from the header: a query that needs no other attribute never builds the map.
-        *[F.regexp_extract(head, rf"(?m)^# (?:.*?\s)??{c}:\s+(\S+)", 1).try_cast("double").alias(c) for c in SLOW_LOG_COLUMNS],
+        *[number(c) for c in SLOW_LOG_COLUMNS],
     )
     return out
 
 
+def _attributes(listed: Column) -> Column:
+    """The pairs of attribute lines: each is found whole and cut at its colon, so the lines are gone through once."""
+    def build(found: Column) -> Column:
+        names = F.transform(found, lambda a: F.substring_index(a, ":", 1))
+        return text.last_pairs(names, F.transform(found, lambda a: F.ltrim(F.substr(a, F.instr(a, ":") + 1), F.lit(BLANKS))))
+
+    return F.transform(F.array(F.regexp_extract_all(listed, F.lit(ATTRIBUTE), F.lit(0))), build)[0]
+
+
 def slow_log_text(events: DataFrame) -> Column:
     """One event in slow-log form; absent columns of ``events`` are left out."""
     have = set(events.columns)
@@ -222,7 +249,7 @@ def parse_binlog_text(records: DataFrame, block: int = 64 << 20) -> DataFrame:
         F.when(kind == "Query", F.regexp_extract(rest, BINLOG_QUERY, 2).try_cast("double")).alias("Query_time"),
         F.when(kind == "Query", present(F.regexp_extract(rest, BINLOG_QUERY, 3))).alias("error_code"),
         present(F.regexp_extract("_pre", r"(?m)^use ([^;\n]+)", 1)).alias("db"), arg.alias("arg"), F.octet_length(arg).alias("bytes"),
-        pairs_of(F.lower(settings), r"([^\s,=]+)\s*=\s*([^,]*)").alias("attrs"),
+        text.pairs_to_map(text.pairs_of(F.lower(settings), SETTING)).alias("attrs"),
     )
     return out
 

@@ -334,23 +334,6 @@ def write_records(rows: DataFrame, path: str, part: str, order: list[str], value
     x.write.format("records").mode("append").save(path)
 
 
-def pairs_to_map(keys: Column, values: Column) -> Column:
-    """Map of parallel arrays; of repeated keys the last counts."""
-    zipped = F.arrays_zip(keys.alias("k"), values.alias("v"))
-
-    def build(pairs: Column) -> Column:
-        names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-        last = F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"])
-        return F.map_from_arrays(names, last)
-
-    return F.transform(F.array(zipped), build)[0]
-
-
-def pairs_of(text: Column, pattern: str) -> Column:
-    """Map of the two groups of every match of a pattern."""
-    return pairs_to_map(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)))
-
-
 def present(col: Column) -> Column:
     """NULL for empty text."""
     return F.when(col != "", col)

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,22 @@ def test_readers_do_not_shuffle_before_parsing(spark, write):
     assert "Exchange" not in packets.read_packet_text(spark, write("x", "p"))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_slow_log_searches_each_line_once(spark, write):
+    df = logs.read_slow_log(spark, write(SLOW), r"/\*.*?\*/", r"(\w+): (\w+)")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # The line of the account is found once; its three parts are looked for in that line alone.
+    assert plan.count("_head#") > 0 and len(re.findall(r"regexp_extract\(_head#\d+, # User@Host", plan)) == 1 and "RLIKE(_head#" not in plan
+    for line in (r"\(\?m\)\^# Time:", r"\(\?m\)\^use ", r"\(\?m\)\^\(# administrator", r"\(\?md\)\^# "):
+        assert len(re.findall(rf"_head#\d+, {line}", plan)) == 1, line
+
+
+def test_slow_log_attributes(spark, write):
+    text = "# Time: 071015 21:43:52\n#  Time: 3\n# Thread_id: 8  Schema: db  Thread_id: 9\n# lower: 1 No: 2\n# QC_Hit: Yes  Last:   \nSET timestamp=1, a = 2 ,timestamp=3;\nselect 1 /* p: q, r: s, p: t */;\n"
+    e = logs.read_slow_log(spark, write(text), r"/\*.*?\*/", r"(\w+): (\w+)").collect()
+    assert [r.attrs for r in e] == [{"Time": "3", "Thread_id": "9", "Schema": "db", "QC_Hit": "Yes", "Last": "", "timestamp": "3", "a": "2 ", "p": "t", "r": "s"}]
+    assert [(r.Thread_id, r.user, r.host, r.ip, r.Query_time) for r in e] == [(8.0, None, None, None, None)]
+
+
 def test_slow_log_round_trip(spark, write, tmp_path):
     first = logs.read_slow_log(spark, write(SLOW))
     out = str(tmp_path / "again")
