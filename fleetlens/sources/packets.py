@@ -46,14 +46,17 @@ def parse_packets(records: DataFrame) -> DataFrame:
         "seq": number(at(1).cast("int"), 8), "ack": number(at(2).cast("int"), 8),
         "tcp_hlen": number(at(3).cast("int"), 1), "_flags": number(at(3, 2).cast("int"), 2),
     })
-    src, dst = F.regexp_extract("_v", ADDRESS_LINE, 2), F.regexp_extract("_v", ADDRESS_LINE, 3)
+    # The line of addresses is found once, in a column of its own, and taken apart alone.
+    x = x.withColumn("_address", F.regexp_extract("_v", ADDRESS_LINE, 0))
+    x = x.withColumns({"_src": F.regexp_extract("_address", ADDRESS_LINE, 2), "_dst": F.regexp_extract("_address", ADDRESS_LINE, 3)})
+    x = x.withColumns({"_src_port": F.regexp_extract("_src", HOST_PORT, 2), "_dst_port": F.regexp_extract("_dst", HOST_PORT, 2)})
     head = (F.col("ip_hlen") + F.col("tcp_hlen")) * 8
     data = F.substr(F.col("_hex"), (head + 1).cast("int"))
     flag = lambda bit: F.col("_flags").bitwiseAND(F.lit(bit)) != 0
     return x.select(
-        "file", "pos", F.regexp_extract("_v", ADDRESS_LINE, 1).alias("ts"),
-        F.regexp_extract(src, HOST_PORT, 1).alias("src_host"), numbers.port_number(F.regexp_extract(src, HOST_PORT, 2)).alias("src_port"),
-        F.regexp_extract(dst, HOST_PORT, 1).alias("dst_host"), numbers.port_number(F.regexp_extract(dst, HOST_PORT, 2)).alias("dst_port"),
+        "file", "pos", F.regexp_extract("_address", ADDRESS_LINE, 1).alias("ts"),
+        F.regexp_extract("_src", HOST_PORT, 1).alias("src_host"), numbers.port_number("_src_port").alias("src_port"),
+        F.regexp_extract("_dst", HOST_PORT, 1).alias("dst_host"), numbers.port_number("_dst_port").alias("dst_port"),
         "seq", "ack", flag(FIN).alias("fin"), flag(SYN).alias("syn"), flag(RST).alias("rst"),
         (F.length("_hex") == F.col("dgram_len") * 2).alias("complete"), "ip_hlen", "tcp_hlen", "dgram_len",
         (F.col("dgram_len") - (F.col("ip_hlen") + F.col("tcp_hlen")) * 4).alias("data_len"), data.alias("data"),

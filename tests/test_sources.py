@@ -294,3 +294,17 @@ def test_tables_written(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.append_rows(df, path)
     assert [r.id for r in spark.read.parquet(path).orderBy("id").collect()] == [1, 2]
+
+
+def test_packets_of_many_small_dumps(spark, tmp_path):
+    dump = "2008-01-01 00:00:0%d.1 IP 10.0.0.%d.4000 > 10.0.0.2.memcached: tcp 4\n\t0x0000:  4500 002c 0000 0000 4006 0000 0a00 0001\n\t0x0010:  0a00 0002 c000 2bcb 0000 0001 0000 0002\n\t0x0020:  5018 ffff 0000 0000 6162 6364\n"
+    for i in range(200):
+        (tmp_path / f"part={i}").mkdir()
+        (tmp_path / f"part={i}" / "records").write_text(dump % (1, i) + dump % (2, i))
+    p = packets.read_packet_text(spark, f"{tmp_path}/*")
+    assert p.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    rows = sorted((r.ts, r.pos, r.src_host, r.src_port, r.dst_host, r.dst_port, r.data, r.complete) for r in p.collect())
+    size = lambda i: len(dump % (1, i)) + 2
+    assert rows == sorted((f"2008-01-01 00:00:0{n}.1", 0 if n == 1 else size(i), f"10.0.0.{i}", "4000", "10.0.0.2", "11211", "61626364", True) for i in range(200) for n in (1, 2))
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_extract\(_v#\d+, ", plan)) == 1
