@@ -28,6 +28,8 @@ RANGE, READ, BATCH = 128 << 20, 1 << 20, 4 << 20
 BATCH_RECORDS = 8192
 #: Bytes that opening a file counts as where ranges are dealt to tasks.
 OPENING = 256 << 10
+#: Shares of a core where that makes them smaller than a range, so that cores end at about the same time.
+SHARES = 4
 COMPRESSED = (".gz", ".bz2", ".zst", ".lz4")
 SCHEMA = "file string, pos long, size long, value string"
 
@@ -209,7 +211,7 @@ class RecordReader(DataSourceReader):
                     found = [Range(file, at, min(at + self.range, size)) for at in range(0, size, self.range)]
                 ranges += found
                 costs += [OPENING + (size if r.end < 0 else r.end - r.start) for r in found]
-        most = min(self.range, max(OPENING, sum(costs) // self.tasks))
+        most = min(self.range, max(OPENING, sum(costs) // (SHARES * self.tasks)))
         return [Ranges(ranges[i:j]) for i, j in dealt(costs, most)] or [Ranges([])]
 
     def records(self, part: Range) -> Iterator[tuple[int, bytes]]:

@@ -302,9 +302,21 @@ def test_packets_of_many_small_dumps(spark, tmp_path):
         (tmp_path / f"part={i}").mkdir()
         (tmp_path / f"part={i}" / "records").write_text(dump % (1, i) + dump % (2, i))
     p = packets.read_packet_text(spark, f"{tmp_path}/*")
-    assert p.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert p.rdd.getNumPartitions() <= 5 * spark.sparkContext.defaultParallelism
     rows = sorted((r.ts, r.pos, r.src_host, r.src_port, r.dst_host, r.dst_port, r.data, r.complete) for r in p.collect())
     size = lambda i: len(dump % (1, i)) + 2
     assert rows == sorted((f"2008-01-01 00:00:0{n}.1", 0 if n == 1 else size(i), f"10.0.0.{i}", "4000", "10.0.0.2", "11211", "61626364", True) for i in range(200) for n in (1, 2))
     plan = p._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"regexp_extract\(_v#\d+, ", plan)) == 1
+
+
+def test_raw_statements_of_many_small_files(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"part={i}").mkdir()
+        (tmp_path / f"part={i}" / "records").write_text(f"DELETE FROM a;\nUSE `db{i}`;\nDELETE FROM t{i};\n" if i % 3 else f"SELECT {i};\n")
+    s = logs.read_raw_statements(spark, f"{tmp_path}/*")
+    # The database in use never goes on in another file of the same task.
+    wanted = [(f"part={i}", p, d, q) for i in range(200) for p, d, q in ([(0, None, "DELETE FROM a"), (25 + len(str(i)), f"db{i}", f"DELETE FROM t{i}")] if i % 3 else [(0, None, f"SELECT {i}")])]
+    assert sorted((r.file.split("/")[-2], r.pos, r.db, r.sql) for r in s.collect()) == sorted(wanted)
+    found = read_records(spark, f"{tmp_path}/*", logs.STATEMENT_SEPARATOR)
+    assert found.rdd.getNumPartitions() <= 5 * spark.sparkContext.defaultParallelism
